@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, read_loss, records_of
 from lodestone.llm.common import table, text_of
+from lodestone.llm.fingerprints import as_text, fingerprint_vector, likeness
+from lodestone.llm.neighbours import with_next
 from lodestone.llm.sentencepiece_codec import encode_decode
 from lodestone.llm.shuffle_shards import shuffle_shards
 
@@ -31,9 +34,65 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text")).withColumn("vector", fingerprint_vector(F.col("text")))
+    n = F.length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.left("text", n - third), F.left(F.col("next.text"), third))
+    return (
+        with_next(docs, "doc_id", [F.xxhash64("text"), n, F.col("text")], ["text", "vector"])
+        .select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "vector", F.col("next.vector").alias("next_vector"))
+        .withColumn("edited_vector", fingerprint_vector(F.col("edited")))
+        .select(
+            "doc_id",
+            "n_chars",
+            F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+            as_text(F.col("vector")).alias("fingerprint"),
+            as_text(F.col("edited_vector")).alias("edited_fingerprint"),
+            likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+            likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
+        )
+    )
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = format_chat(canonical_turns(records_of(rows), ["conv_id"])).withColumn("read", read_chat(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_spans")))
+    digest = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        "conv_id",
+        F.size("read").cast("long").alias("n_turns"),
+        F.sha2(F.encode(digest, "UTF-8"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP7_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+), sized AS (
+  SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS body,
+    length(replace(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), '%', '%25'), chr(10), '%0A')) AS head
+  FROM said
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    sum(body + head + 24) AS formatted
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
+
 def queries() -> dict:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards}
+    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op5_fingerprints": op5_fingerprints, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat": OP7_SQL}
