@@ -79,21 +79,26 @@ def as_text(vector: Column) -> Column:
     return F.array_join(F.transform(vector, lambda v: F.lower(F.lpad(F.hex(v), 15, "0"))), "")
 
 
-def likeness(left: Column, right: Column) -> Column:
-    """1 - (estimated number of passages in one of the two only) / (passages of both), within 0 and 1."""
-    n, m = F.element_at(left, WIDTH), F.element_at(right, WIDTH)
+def energy(vector: Column) -> Column:
+    """Estimate of the sum of the squared multiplicities of a (signed) multiset, from its vector."""
+    n = F.element_at(vector, WIDTH)
+    balanced = F.when(n > MODULUS // 2, n - MODULUS - 1).otherwise(n)
+
+    def digit(d: Column) -> Column:
+        return F.when(d >= LANE // 2, d - LANE).otherwise(d)
 
     def squares(acc: Column, d: Column) -> Column:
-        # Balanced digits to base 2^20 give back the lanes' differences.
-        d0 = d.bitwiseAND(F.lit(LANE - 1))
-        low = F.when(d0 >= LANE // 2, d0 - LANE).otherwise(d0)
+        # Balanced digits to base 2^20 give back the lanes, whatever has been carried.
+        low = digit(d.bitwiseAND(F.lit(LANE - 1)))
         rest = F.shiftright(d - low, 20)
-        d1 = rest.bitwiseAND(F.lit(LANE - 1))
-        mid = F.when(d1 >= LANE // 2, d1 - LANE).otherwise(d1)
-        d2 = F.shiftright(rest - mid, 20).bitwiseAND(F.lit(LANE - 1))
-        high = F.when(d2 >= LANE // 2, d2 - LANE).otherwise(d2)
-        return acc + sum(((2 * x - (n - m)).cast("double") * (2 * x - (n - m)).cast("double") for x in (low, mid, high)), F.lit(0.0))
-
-    gaps = F.slice(F.zip_with(left, right, lambda a, b: (a - b).bitwiseAND(F.lit(MODULUS))), 1, 2 * SHIFTS)
-    apart = F.aggregate(gaps, F.lit(0.0), squares) / (6 * SHIFTS)
-    return F.when(left == right, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / F.greatest(n + m, F.lit(1)))))
+        mid = digit(rest.bitwiseAND(F.lit(LANE - 1)))
+        high = digit(F.shiftright(rest - mid, 20).bitwiseAND(F.lit(LANE - 1)))
+        return acc + sum(((2 * x - balanced).cast("double") * (2 * x - balanced).cast("double") for x in (low, mid, high)), F.lit(0.0))
+
+    return F.aggregate(F.slice(vector, 1, 2 * SHIFTS), F.lit(0.0), squares) / (6 * SHIFTS)
+
+
+def likeness(left: Column, right: Column) -> Column:
+    """1 - (energy of the difference) / (energies of both), within 0 and 1: for sets, twice the common passages over the passages of both."""
+    apart = energy(F.zip_with(left, right, lambda a, b: (a - b).bitwiseAND(F.lit(MODULUS))))
+    return F.when(left == right, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - apart / F.greatest(energy(left) + energy(right), F.lit(1.0)))))
