@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.best_fit_packing import pack, token_pieces
 from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, read_loss, records_of
 from lodestone.llm.common import table, text_of
 from lodestone.llm.fingerprints import as_text, fingerprint_vector, likeness
@@ -34,6 +35,12 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
+    return pack(pieces, capacity=1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text")).withColumn("vector", fingerprint_vector(F.col("text")))
     n = F.length("text")
@@ -91,7 +98,7 @@ FROM joined
 
 
 def queries() -> dict:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op5_fingerprints": op5_fingerprints, "op7_chat": op7_chat}
+    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
