@@ -11,6 +11,7 @@ from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, r
 from lodestone.llm.common import table, text_of
 from lodestone.llm.fingerprints import as_text, fingerprint_vector, likeness
 from lodestone.llm.neighbours import with_next
+from lodestone.llm.quality_rules import COUNTS, quality_rules
 from lodestone.llm.sentencepiece_codec import encode_decode
 from lodestone.llm.shuffle_shards import shuffle_shards
 
@@ -62,6 +63,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules(docs, drop_text=True).select("doc_id", *COUNTS, "base_failed", "kept", "entropy", "low", "high")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -98,7 +104,7 @@ FROM joined
 
 
 def queries() -> dict:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op7_chat": op7_chat}
+    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
