@@ -10,6 +10,7 @@ from lodestone.llm.best_fit_packing import pack, token_pieces
 from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, read_loss, records_of
 from lodestone.llm.common import table, text_of
 from lodestone.llm.fingerprints import as_text, fingerprint_vector, likeness
+from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.neighbours import with_next
 from lodestone.llm.quality_rules import COUNTS, quality_rules
 from lodestone.llm.sentencepiece_codec import encode_decode
@@ -103,8 +104,14 @@ FROM joined
 """
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_duplicates(docs, width=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def queries() -> dict:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat}
+    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
