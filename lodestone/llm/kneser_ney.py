@@ -9,8 +9,9 @@ probabilities and back-off weights; a batch looks its distinct n-grams up by bin
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ class HashedModel:
     gram_logp: np.ndarray
     context_keys: np.ndarray
     context_logb: np.ndarray
+    #: Tells models apart in a worker that has met several.
+    stamp: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def group(self, name: str | None) -> int:
         return self.groups.get(name or POOLED, self.groups.get(POOLED, 0))

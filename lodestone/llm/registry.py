@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.best_fit_packing import pack, token_pieces
@@ -15,6 +15,18 @@ from lodestone.llm.neighbours import with_next
 from lodestone.llm.quality_rules import COUNTS, quality_rules
 from lodestone.llm.sentencepiece_codec import encode_decode
 from lodestone.llm.shuffle_shards import shuffle_shards
+from lodestone.llm.toxicity import toxicity
+
+
+def held_out(modulus: int) -> Column:
+    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(modulus)) == 2
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(4).alias("held_out"))
+    labelled = docs.filter(~F.col("held_out")).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").select("text", "toxic")
+    scored = toxicity(docs, labelled)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +123,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op9_minhash": op9_minhash}
+    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
