@@ -12,6 +12,7 @@ from lodestone.llm.common import table, text_of
 from lodestone.llm.fingerprints import as_text, fingerprint_vector, likeness
 from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.neighbours import with_next
+from lodestone.llm.page_text import main_text
 from lodestone.llm.quality_rules import COUNTS, quality_rules
 from lodestone.llm.sentencepiece_codec import encode_decode
 from lodestone.llm.shuffle_shards import shuffle_shards
@@ -116,6 +117,10 @@ FROM joined
 """
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs, width=4, percent=80)
@@ -123,7 +128,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op9_minhash": op9_minhash}
+    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
