@@ -6,11 +6,12 @@
    number that two sketches of linked documents share (8 of 16 with a chance above 0.99998 at the threshold; 0.8 |s|, for sure,
    where the sketch is the whole set). In one order of all values, two sketches that share t values share one of these, so passages common
    to many documents make no lists unless a document is hardly anything else.
-3. Lists of up to 64 classes generate pairs, which are deduplicated; the sketch of the union estimates their likeness and drops those
-   4.5 deviations below the threshold; the others are confirmed on the full sets.
-4. Longer lists are cut by set size (linked sets differ by a factor of 0.8 at most) and by a hash into units of bounded
-   weight; each pair of units is compared on full sets in one task by a matrix product, which returns a spanning set of links
-   and not all pairs.
+3. Lists of up to 64 classes generate pairs, and the sketch of the union estimates their likeness; pairs 4.5 deviations below the
+   threshold drop out. Longer lists are dealt as units (see 4), whose tasks compare the sketches' overlaps by a matrix product and
+   return a spanning set of the likely pairs. The components of all likely pairs are the groups within which any link must lie.
+4. Each group is confirmed on full sets: its texts go once to one task, which compares all pairs by a matrix product and returns a spanning
+   set of the links. A group beyond the bounds of a unit is cut by set size (linked sets differ by a factor of 0.8 at most) and by a
+   hash into units, and each pair of units that can hold links is a task of its own. No task holds more than two units, whatever the group.
 5. Components of the links, by class; members take their class's.
 
 Sets are compared by 64-bit hashes of their shingles. Nothing but counts comes to the driver. All tables that are read twice lie in the shared folder.
@@ -94,20 +95,8 @@ def sketched(docs: DataFrame, text: str, width: int) -> DataFrame:
     return docs.select("uid", "doc_id", F.col(text).alias("text")).mapInArrow(run, f"uid long, doc_id {kind}, text string, n long, signature binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(uid, set) of docs (uid, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column("uid"), _as_lists([shingles(t, width) for t in part.column("text").to_pylist()])], names=["uid", "set"])
-
-    return docs.select("uid", "text").mapInArrow(run, "uid long, set array<long>")
-
-
 def list_entries(classes: DataFrame, threshold: float) -> DataFrame:
-    """(v, uid, n): the entries of classes (uid, n, sketch) in inverted lists of two or more."""
+    """(v, uid, n, sketch): the entries of classes (uid, n, sketch) in inverted lists of two or more."""
     least = classes.select("uid", "n", F.slice("sketch", 1, INDEXED).alias("own"))
     single = least.select("uid", "n", F.size("own").alias("k"), F.explode("own").alias("v"))
     often = single.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
@@ -116,8 +105,8 @@ def list_entries(classes: DataFrame, threshold: float) -> DataFrame:
     prefix = F.when(F.col("n") > INDEXED, INDEXED - SHARED + 1).otherwise(k - F.ceil(k * threshold) + 1)
     ranked = single.join(often, "v").groupBy("uid", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     room = F.greatest(F.lit(0), prefix - (k - F.size("shared"))).cast("int")
-    chosen = ranked.select("uid", "n", F.explode(F.slice("shared", F.lit(1), room)).alias("x"))
-    return chosen.select(F.col("x.v").alias("v"), "uid", "n")
+    chosen = ranked.select("uid", F.slice("shared", F.lit(1), room).alias("x")).filter(F.size("x") > 0)
+    return chosen.join(classes, "uid").select(F.explode("x.v").alias("v"), "uid", "n", "sketch")
 
 
 def estimated(a: Column, b: Column) -> Column:
@@ -126,43 +115,38 @@ def estimated(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
-def short_list_links(entries: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the classes of lists (entries) of up to SHORT_LIST."""
+def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Likely pairs of the classes of lists (entries) of up to SHORT_LIST."""
     t = percent / 100
     a, b = entries.alias("a"), entries.alias("b")
     near = (F.col("a.v") == F.col("b.v")) & (F.col("a.uid") < F.col("b.uid")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, near).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct()
-    one, two = (classes.select(F.col("uid").alias(s), F.col("sketch").alias(f"s{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
-    margin = 4.5 * (t * (1 - t) / SKETCH) ** 0.5
-    likely = pairs.join(one, "a").join(two, "b").filter(estimated(F.col("sa"), F.col("sb")) >= t - margin).select("a", "b")
-    first, second = (sets.select(F.col("uid").alias(s), F.col("set").alias(f"s{s}")) for s in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    confirmed = likely.join(first, "a").join(second, "b").withColumn("common", common)
-    return confirmed.filter(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
-
-
-def _spanning(uids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Spanning links between sets of side 0 and side 1 (all alike on one side: among themselves)."""
+    likely = estimated(F.col("a.sketch"), F.col("b.sketch")) >= t - 4.5 * (t * (1 - t) / SKETCH) ** 0.5
+    return a.join(b, near).filter(likely).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct()
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.float32)
     values, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), sizes.astype(np.int64))
     shared = times[back] > 1
-    row, column = row[shared], (np.cumsum(times > 1) - 1)[back[shared]]
+    row, column = np.repeat(np.arange(n), [len(s) for s in sets])[shared], (np.cumsum(times > 1) - 1)[back[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((n, n), np.float32)
+    out = np.zeros((n, n), np.float32)
     for low in range(0, int((times > 1).sum()), 2048):  # values in slices, so the dense matrix stays small
         i, j = np.searchsorted(column, [low, low + 2048])
-        x = np.zeros((n, 2048), np.float32)
+        x = np.zeros((n, min(2048, column[j - 1] - low + 1 if j > i else 1)), np.float32)
         x[row[i:j], column[i:j] - low] = 1
-        common += x @ x.T
-    link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        out += x @ x.T
+    return out
+
+
+def _spanning(uids: np.ndarray, link: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of a boolean matrix; with two sides, links between them only."""
     if side.any():
-        link &= side[:, None] != side[None, :]
-    np.fill_diagonal(link, False)
-    out, free = [], np.ones(n, bool)
-    for start in range(n):
+        link = link & (side[:, None] != side[None, :])
+    out, free = [], np.ones(len(uids), bool)
+    for start in range(len(uids)):
         if not free[start]:
             continue
         free[start], queue = False, [start]
@@ -175,15 +159,41 @@ def _spanning(uids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percen
     return out
 
 
-def long_list_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning links of lists (entries) longer than SHORT_LIST, by pairs of bounded units."""
+def sketch_links(sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Pairs whose sketches overlap as those of linked sets do: 4.5 deviations below what the threshold leads to expect."""
+    t = 2 * percent / (100 + percent)
+    common, size = _common(sketches), np.array([len(s) for s in sketches], np.float32)
+    return common >= (t - 4.5 * (t * (1 - t) / SKETCH) ** 0.5) * np.minimum(size[:, None], size[None, :])
+
+
+def set_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    common, size = _common(sets), np.array([len(s) for s in sets], np.float32)
+    return 100 * common >= percent * (size[:, None] + size[None, :] - common)
+
+
+def _compare_sketches(payload: list, percent: int, width: int) -> np.ndarray:
+    return sketch_links([np.array(s, np.int64).view(np.uint64) for s in payload], percent)
+
+
+def _compare_texts(payload: list, percent: int, width: int) -> np.ndarray:
+    return set_links([shingles(t, width) for t in payload], percent)
+
+
+def unit_tasks(entries: DataFrame, percent: int) -> DataFrame:
+    """entries (v, uid, n, ...) dealt to tasks: with side and task instead of v and n.
+
+    A v that fits a unit is one task. Others are cut by size class and hash, and each pair of units that can hold links is a task."""
     step = float(np.log(100 / percent))
+    weight = F.greatest(F.ceil(F.count("*") / UNIT_ROWS), F.ceil(F.sum("n") / UNIT_WEIGHT)).cast("int")
+    whole = entries.groupBy("v").agg(weight.alias("parts"))
     # Linked sets lie in one size class or in neighbouring ones.
-    sized = entries.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
-    units = sized.groupBy("v", "c").agg(F.greatest(F.ceil(F.count("*") / UNIT_ROWS), F.ceil(F.sum("n") / UNIT_WEIGHT)).cast("int").alias("units"))
+    sized = entries.join(whole, "v").withColumn("c", F.when(F.col("parts") == 1, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / step)).cast("int"))
+    small = sized.filter("parts = 1").withColumn("side", F.lit(0)).withColumn("task", F.xxhash64("v", F.lit(0)))
+    large = sized.filter("parts > 1")
+    units = large.groupBy("v", "c").agg(weight.alias("units"))
     above = units.select("v", (F.col("c") - 1).alias("c"), F.col("units").alias("above"))
     below = units.select("v", (F.col("c") + 1).alias("c"), F.col("units").alias("below"))
-    known = sized.join(units.join(above, ["v", "c"], "left").join(below, ["v", "c"], "left"), ["v", "c"]).withColumn("u", F.pmod(F.xxhash64("uid"), F.col("units")).cast("int"))
+    known = large.join(units.join(above, ["v", "c"], "left").join(below, ["v", "c"], "left"), ["v", "c"]).withColumn("u", F.pmod(F.xxhash64("uid"), F.col("units")).cast("int"))
     numbers = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
     u, c = F.col("u"), F.col("c")
     place = lambda low, i, high, j, side: F.struct(low.alias("c1"), i.alias("u1"), high.alias("c2"), j.alias("u2"), side.cast("int").alias("side"))
@@ -192,43 +202,62 @@ def long_list_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFr
         F.transform(numbers(F.col("above")), lambda k: place(c, u, c + 1, k, F.lit(0))),
         F.transform(numbers(F.col("below")), lambda k: place(c - 1, k, c, u, F.lit(1))),
     )
-    dealt = known.select("v", "uid", F.explode(places).alias("p")).select("uid", "p.side", F.xxhash64("v", "p.c1", "p.u1", "p.c2", "p.u2").alias("task"))
-    loaded = dealt.join(sets, "uid").repartition("task").sortWithinPartitions("task")
+    dealt = known.withColumn("p", F.explode(places)).withColumn("side", F.col("p.side")).withColumn("task", F.xxhash64("v", "p.c1", "p.u1", "p.c2", "p.u2"))
+    rest = [x for x in entries.columns if x not in ("v", "n")]
+    return small.select(*rest, "side", "task").unionByName(dealt.select(*rest, "side", "task"))
+
+
+def task_links(dealt: DataFrame, payload: str, compare, percent: int, width: int) -> DataFrame:
+    """Spanning links (a, b) of each task of dealt (uid, side, task, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: list) -> pa.RecordBatch:
-            found = _spanning(np.array([r[0] for r in rows]), [r[2] for r in rows], np.array([r[1] for r in rows]), percent) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def links(rows: list) -> list[tuple[int, int]]:
+            if len(rows) < 2:
+                return []
+            return _spanning(np.array([r[0] for r in rows]), compare([r[2] for r in rows], percent, width), np.array([r[1] for r in rows]))
 
-        at, held = None, []
+        at, held, found = None, [], []
         for batch in batches:
-            sets_ = batch.column("set")
-            flat, offsets = sets_.flatten().to_numpy(zero_copy_only=False), sets_.offsets.to_numpy() - sets_.offsets[0].as_py()
-            for k, (uid, side, task) in enumerate(zip(batch.column("uid").to_pylist(), batch.column("side").to_pylist(), batch.column("task").to_pylist(), strict=True)):
-                if task != at and held:
-                    yield links(held)
-                    held = []
-                at = task
-                held.append((uid, side, flat[offsets[k] : offsets[k + 1]].copy()))
-        if held:
-            yield links(held)
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
+                for row in zip(*(part.column(c).to_pylist() for c in ("task", "uid", "side", payload)), strict=True):
+                    if row[0] != at:
+                        found += links(held)
+                        at, held = row[0], []
+                    held.append(row[1:])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = []
+        found += links(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return loaded.select("uid", "side", "set", "task").mapInArrow(run, "a long, b long")
+    return dealt.select("uid", "side", "task", payload).repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 80) -> DataFrame:
-    """(uid columns of docs without the text) as: doc_id, n_shingles, component_id, keep; and text, as read again from the shared folder.
+    """A row for each document: uid (its number in this run), doc_id, n_shingles, component_id, keep.
 
     width: words of a shingle; percent: least likeness of linked sets, of 100."""
+    return duplicate_classes(base_table(docs, text, doc_id, width), width, percent)
+
+
+def base_table(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
+    """uid, doc_id, text, n, signature and sketch of each row, in the shared folder."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias(text))
-    base = materialize(sketched(rows, text, width), "sketches")
+    return materialize(sketched(rows, text, width), "sketches")
+
+
+def duplicate_classes(base: DataFrame, width: int, percent: int) -> DataFrame:
     groups = base.filter("n > 0").groupBy("signature").agg(F.min("uid").alias("uid"))
-    classes = materialize(base.select("uid", "n", "sketch").join(groups.select("uid"), "uid", "left_semi"), "classes")
-    entries = materialize(list_entries(classes, percent / 100), "entries")
+    classes = base.select("uid", "n", "sketch").join(groups.select("uid"), "uid", "left_semi")
+    entries = materialize(list_entries(materialize(classes, "classes"), percent / 100), "entries")
     length = entries.groupBy("v").agg(F.count("*").alias("m"))
     short, long_ = (entries.join(length.filter(c).select("v"), "v", "left_semi") for c in (f"m > 1 AND m <= {SHORT_LIST}", f"m > {SHORT_LIST}"))
-    sets = full_sets(base.join(entries.select("uid").distinct(), "uid", "left_semi"), width)
-    links = short_list_links(short, classes, sets, percent).unionByName(long_list_links(long_, sets, percent))
+    likely = short_list_pairs(short, percent).unionByName(task_links(unit_tasks(long_, percent), "sketch", _compare_sketches, percent, width))
+    # Any link lies within a component of the likely pairs.
+    suspects = components(likely)
+    suspects = suspects.unionByName(suspects.select(F.col("root").alias("node"), "root").distinct())
+    members = base.select("uid", "n", "text").join(suspects.select(F.col("node").alias("uid"), F.col("root").alias("v")), "uid")
+    links = task_links(unit_tasks(members, percent), "text", _compare_texts, percent, width)
     rooted = components(links)
     own = base.select("uid", "doc_id", "n", "signature").join(groups.select("signature", F.col("uid").alias("class")), "signature", "left")
     placed = own.join(rooted.select(F.col("node").alias("class"), "root"), "class", "left")
