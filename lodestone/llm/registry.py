@@ -10,6 +10,7 @@ from lodestone.llm.best_fit_packing import pack, token_pieces
 from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, read_loss, records_of
 from lodestone.llm.common import table, text_of
 from lodestone.llm.fingerprints import as_text, fingerprint_vector, likeness
+from lodestone.llm.maxent_lm import score_texts
 from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.neighbours import with_next
 from lodestone.llm.page_text import main_text
@@ -127,8 +128,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(7).alias("held_out")).withColumn("learn_from", ~F.coalesce("held_out", F.lit(False)))
+    return score_texts(docs, "learn_from").drop("learn_from")
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash}
+    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash, "op10_lm_scores": op10_lm_scores}
 
 
 def oracle_sql() -> dict[str, str]:
