@@ -53,3 +53,13 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def fold(df: DataFrame, *open_: str) -> DataFrame:
+    """df with all columns but the open ones in a struct named row, so an operator's new columns can't clash with them."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in open_]
+    return df.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), *open_)
+
+
+def unfold(df: DataFrame, columns: list[str], *open_: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in open_ else F.col("row").getField(c).alias(c) for c in columns])

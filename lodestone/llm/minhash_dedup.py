@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm.common import materialize
 from lodestone.llm.components import components
@@ -79,8 +80,8 @@ def _as_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def sketched(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """docs (uid, doc_id, text) with n (set size), signature (of the whole set) and sketch (its least hashes, in order, as longs)."""
+def sketched(docs: DataFrame, width: int) -> DataFrame:
+    """docs (uid, doc_id, text, ...) with n (set size), signature (of the whole set) and sketch (its least hashes, in order, as longs)."""
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +90,10 @@ def sketched(docs: DataFrame, text: str, width: int) -> DataFrame:
                 part = batch.slice(at, 1000)
                 sets = [shingles(t, width) for t in part.column("text").to_pylist()]
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _as_lists([s[:SKETCH] for s in sets])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("uid", "doc_id", "text")), *columns], names=["uid", "doc_id", "text", "n", "signature", "sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "n", "signature", "sketch"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("uid", "doc_id", F.col(text).alias("text")).mapInArrow(run, f"uid long, doc_id {kind}, text string, n long, signature binary, sketch array<long>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("n", T.LongType()), T.StructField("signature", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(run, schema)
 
 
 def list_entries(classes: DataFrame, threshold: float) -> DataFrame:
@@ -240,10 +241,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return duplicate_classes(base_table(docs, text, doc_id, width), width, percent)
 
 
-def base_table(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """uid, doc_id, text, n, signature and sketch of each row, in the shared folder."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias(text))
-    return materialize(sketched(rows, text, width), "sketches")
+def without_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs, one of each component: the row of the least doc_id."""
+    base = base_table(docs, text, doc_id, width, keep=True)
+    kept = duplicate_classes(base, width, percent).filter("keep").select("uid")
+    return base.select("uid", "row").join(kept, "uid", "left_semi").select("row.*")
+
+
+def base_table(docs: DataFrame, text: str, doc_id: str, width: int, keep: bool = False) -> DataFrame:
+    """uid, doc_id, text, n, signature and sketch of each row, in the shared folder; with keep=True also row, all its columns."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")] if keep else []))
+    base = materialize(sketched(rows, width), "sketches")
+    if keep:
+        base = base.withColumn("row", F.struct(*[(F.col("text") if c == text else F.col("rest")[c]).alias(c) for c in docs.columns])).drop("rest")
+    return base
 
 
 def duplicate_classes(base: DataFrame, width: int, percent: int) -> DataFrame:
