@@ -18,6 +18,7 @@ added ones; equal rows are scored each; other columns stay.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import free_name, materialize
+from lodestone.llm.common import bound_batches, free_name, materialize, release_memory, worker_cached
 
-CLASSES, SINGLE, SKIPS, PAIRS = 256, 96, 16, 4096
+CLASSES, SINGLE, SKIPS, PAIRS = 256, 96, 16, 1024
 FREQUENT = 200_000
 END = b"\n"  # no word has white space
 
@@ -73,23 +74,17 @@ class Lexicon:
     """The frequent words with their counts and classes."""
 
     def __init__(self, words: list[bytes], counts: list[int]):
-        self.words, self.counts = words, np.array(counts, np.int64)
+        self.words, self.counts, self.stamp = words, np.array(counts, np.int64), uuid.uuid4().hex
         self.classes = np.array([k if k < SINGLE else bucket_class(w) for k, w in enumerate(words)], np.int64)
 
     def end_class(self) -> int:
         return next((int(c) for w, c in zip(self.words, self.classes, strict=True) if w == END), bucket_class(END))
 
 
-_codes: dict[int, tuple] = {}
-
-
 def word_codes(shared) -> tuple[Lexicon, WordCodes]:
     """One table for each worker process and lexicon."""
     lexicon = shared.value
-    if id(lexicon) not in _codes:
-        _codes.clear()
-        _codes[id(lexicon)] = (lexicon, WordCodes(lexicon.words))
-    return _codes[id(lexicon)]
+    return worker_cached(("lexicon", lexicon.stamp), lambda: (lexicon, WordCodes(lexicon.words)))
 
 
 def coded(texts: list[str | None], lexicon: Lexicon, codes: WordCodes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +162,7 @@ def gradient(weights: dict[str, np.ndarray], ctx: np.ndarray, class_: np.ndarray
 def train(rows: DataFrame, updates: int = 12, rate: float = 0.3, ridge: float = 1.0) -> dict[str, np.ndarray]:
     """Weights after `updates` full gradients of the ridge-penalised likelihood of rows (ctx, class, n), each summed over all tasks."""
     spark = rows.sparkSession
-    rows = materialize(rows.repartition(8, "ctx"), "classes")  # bounded by the model's size
+    rows = materialize(rows.repartition(4, "ctx"), "classes")  # bounded by the model's size
     two = rows.groupBy(F.floor(F.col("ctx") / SKIPS).alias("before"), "class").agg(F.sum("n").alias("n")).toArrow()
     by = np.zeros((CLASSES, CLASSES))
     by[two.column("before").to_numpy(), two.column("class").to_numpy()] = two.column("n").to_numpy()
@@ -186,7 +181,7 @@ def train(rows: DataFrame, updates: int = 12, rate: float = 0.3, ridge: float =
                 flat = np.concatenate([g[k].ravel() for k in sorted(g)]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([fit], pa.float64())], names=["g", "fit"])
 
-        got = rows.mapInArrow(run, "g binary, fit double").collect()  # one gradient a task, of 8 tasks
+        got = rows.mapInArrow(run, "g binary, fit double").collect()  # one gradient a task, of 4 tasks
         if not got:
             break
         flat, at = sum(np.frombuffer(r["g"], np.float32).astype(np.float64) for r in sorted(got, key=lambda r: r["fit"])), 0
@@ -195,7 +190,7 @@ def train(rows: DataFrame, updates: int = 12, rate: float = 0.3, ridge: float =
             at += weights[k].size
             scale[k] += step**2
             weights[k] = weights[k] + rate * step / np.sqrt(scale[k])
-        shared.unpersist()
+        shared.destroy()
     return weights
 
 
@@ -203,11 +198,14 @@ def score_texts(docs: DataFrame, learn_from: str, text: str = "text") -> DataFra
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10). learn_from: a boolean column, the training texts."""
     new = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs = docs.drop(*new)
+    bound_batches(docs.sparkSession)
     spark, uid = docs.sparkSession, free_name(docs, "uid")
     training = docs.filter(F.col(learn_from)).select(text)
     counts = materialize(word_counts(training, text), "words")
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
-    lexicon = Lexicon([bytes(r["word"]) for r in top], [r["c"] for r in top])
+    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    lexicon = Lexicon(top.column("word").to_pylist(), top.column("c").to_pylist())
+    del top
+    release_memory()
     shared = spark.sparkContext.broadcast(lexicon)  # FREQUENT words at most
     # The same classes in SQL: the most frequent words by place, all others by their last two characters.
     single = {w: k for k, w in enumerate(lexicon.words[:SINGLE])}
