@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.bpe_ids import pretoken_table
-from lodestone.llm.common import free_name, materialize
+from lodestone.llm.common import bound_batches, free_name, materialize
 from lodestone.llm.grouping_ga import evolve
 
 PIECE = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids_crc32": T.LongType()}
@@ -64,6 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int
                 columns = [*(part.column(n).take(take) for n in names), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(kept_ids, pa.binary())] if ids else []), names=[*names, *new])
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

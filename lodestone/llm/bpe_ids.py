@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 
+from lodestone.llm.common import worker_cached
+
 #: Letters, numbers and white space among the plain characters, as in the library's pre-tokenizer.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼½¾"
@@ -68,6 +69,5 @@ class PretokenTable(dict):
         return [self.whole(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
 
 
-@lru_cache(maxsize=2)
 def pretoken_table(tokenizer: str, limit: int = 200_000) -> PretokenTable:
-    return PretokenTable(tokenizer, limit)
+    return worker_cached(("pretokens", tokenizer, limit), lambda: PretokenTable(tokenizer, limit))

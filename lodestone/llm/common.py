@@ -12,6 +12,39 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+_slot: dict = {}
+
+
+def worker_cached(key: tuple, make):
+    """The value that make() gives for key, kept from task to task in this process. One value is kept: another operator's takes its place, so tables don't pile up in a worker."""
+    if key not in _slot:
+        _slot.clear()
+        release_memory()
+        _slot[key] = make()
+    return _slot[key]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, where it has the means."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Bound what goes to a Python worker at once, so long texts don't add up. Lower settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,6 @@ are), and exactly one row of each component is kept: of least doc_id, nulls last
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import bound_batches, materialize, worker_cached
 from lodestone.llm.components import components
 
 SKETCH, INDEXED, SHARED = 64, 16, 8
@@ -46,15 +45,14 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return worker_cached(("hashes",), WordHashes)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -250,6 +248,7 @@ def without_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 def base_table(docs: DataFrame, text: str, doc_id: str, width: int, keep: bool = False) -> DataFrame:
     """uid, doc_id, text, n, signature and sketch of each row, in the shared folder; with keep=True also row, all its columns."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest")] if keep else []))
     base = materialize(sketched(rows, width), "sketches")
     if keep:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import free_name
+from lodestone.llm.common import bound_batches, free_name
 from lodestone.llm.html_blocks import Line, common_lines, page_lines
 from lodestone.llm.neighbours import position
 
@@ -127,4 +127,5 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
         table = pa.Table.from_batches([d[0] for d in done]).combine_chunks()
         return pa.RecordBatch.from_arrays([*(table.column(n).chunk(0) for n in names), pa.array([d[1] for d in done], pa.string())], names=[*names, "text"])
 
+    bound_batches(pages.sparkSession)
     return loaded.mapInArrow(run, T.StructType([*kept, T.StructField("text", T.StringType())]))

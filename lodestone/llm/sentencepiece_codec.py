@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.common import bound_batches, worker_cached
+
 MARK = "▁"
 _MARKED = re.compile(" +[^ ]+| +")
 
@@ -62,10 +63,9 @@ class WordTable(dict):
         return b"".join([self.begin, *[e[0] for e in entries], self.end]), "".join([e[1] for e in entries])[1:]
 
 
-@lru_cache(maxsize=2)
 def word_table(model: str, table_words: int) -> WordTable:
     """One table for each worker process: it stays from task to task."""
-    return WordTable(model, table_words)
+    return worker_cached(("words", model, table_words), lambda: WordTable(model, table_words))
 
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", table_words: int = 150_000) -> DataFrame:
@@ -87,4 +87,5 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", table_words:
                     names=[*names, *new],
                 )
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)

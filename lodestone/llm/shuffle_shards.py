@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import free_name, materialize
+from lodestone.llm.common import bound_batches, free_name, materialize
 
 #: Rows of a block, about: what one task permutes. Blocks grow once there would be more than MOST_BLOCKS of them.
 BLOCK_ROWS = 20_000
@@ -79,6 +79,7 @@ def matrix_row(counts: np.ndarray, capacity: np.ndarray, part: int, seed: int) -
 def shuffle_shards(docs: DataFrame, n_shards: int, seed: int = 7, stable: bool = False, block_rows: int | None = None) -> DataFrame:
     """docs, each row with shard (0 to n_shards - 1) and slot (gapless from 0 in its shard), uniformly at random."""
     docs = docs.drop("shard", "slot")
+    bound_batches(docs.sparkSession)
     if not stable:
         docs = materialize(docs, "shards")
     part, block, at = (free_name(docs, n) for n in ("part", "block", "at"))
