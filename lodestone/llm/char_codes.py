@@ -39,11 +39,14 @@ def codes(text: str) -> np.ndarray:
     return code_table()[np.minimum(points, 65535)]
 
 
-def grams(text: str) -> np.ndarray:
-    """The 4-gram that ends at each character, as an integer to base 43, the oldest character first; the text begins with three edges."""
+def grams(text: str, letters_only: bool = False) -> np.ndarray:
+    """The 4-gram that ends at each character, as an integer to base 43, the oldest character first; the text begins with three edges. letters_only: those of letters and white space."""
     c = codes(text).astype(np.int32)
     padded = np.concatenate([np.full(ORDER - 1, EDGE, np.int32), c])
     out = np.zeros(len(c), np.int32)
     for k in range(ORDER):
         out = out * SIZE + padded[k : k + len(c)]
+    if letters_only:
+        plain = (padded <= UPPER) | (padded == EDGE)
+        return out[plain[:-3] & plain[1:-2] & plain[2:-1] & plain[3:]]
     return out

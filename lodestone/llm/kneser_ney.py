@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.char_codes import ORDER, SIZE, grams
+from lodestone.llm.common import release_memory
 
 #: Groups with a model of their own; all others share one. Bounds the model.
 MOST_GROUPS = 32
@@ -70,8 +71,8 @@ class HashedModel:
         return out
 
 
-def gram_counts(docs: DataFrame, group: str, text: str, take=None) -> DataFrame:
-    """(group, gram, n): how often each 4-gram comes in the texts of a group. take(text): whether a text counts."""
+def gram_counts(docs: DataFrame, group: str, text: str, take=None, letters_only: bool = False) -> DataFrame:
+    """(group, gram, n): how often each 4-gram comes in the texts of a group. take(text): whether a text counts. letters_only: 4-grams of letters and white space alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -91,7 +92,7 @@ def gram_counts(docs: DataFrame, group: str, text: str, take=None) -> DataFrame:
                 by: dict[str, list] = {}
                 for name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if t and (take is None or take(t)):
-                        by.setdefault(name or POOLED, []).append(grams(t))
+                        by.setdefault(name or POOLED, []).append(grams(t, letters_only))
                 for name, found in by.items():
                     held.setdefault(name, []).append(np.unique(np.concatenate(found), return_counts=True))
                     size[name] = size.get(name, 0) + len(held[name][-1][0])
@@ -123,7 +124,10 @@ def fit(counts: DataFrame) -> HashedModel:
         grams_ = grams_.unionByName(t)
     rows = grams_.toArrow()  # at most MOST_GROUPS * 43^4 rows, whatever the corpus
     group, order, gram, n = (rows.column(c).to_numpy() for c in ("group", "order", "gram", "n"))
-    return _smooth({POOLED: 0} | names, group.astype(np.int64), order.astype(np.int64), gram.astype(np.int64), n.astype(np.float64))
+    model = _smooth({POOLED: 0} | names, group.astype(np.int64), order.astype(np.int64), gram.astype(np.int64), n.astype(np.float64))
+    del rows, group, order, gram, n
+    release_memory()
+    return model
 
 
 def discounts(n: np.ndarray) -> np.ndarray:

@@ -232,7 +232,7 @@ def score_texts(docs: DataFrame, learn_from: str, text: str = "text") -> DataFra
                 part = batch.slice(at, 1000)
                 words, code, class_, ctx, start = coded(part.column(text).to_pylist(), lexicon, codes)
                 classed = np.add.reduceat(table[ctx, class_].astype(np.float64) - within[class_], start)
-                counted = np.add.reduceat(np.where(code >= 0, logc[code], 0.0), start)
+                counted = np.add.reduceat(np.where(code >= 0, logc[np.maximum(code, 0)], 0.0), start)
                 known = np.add.reduceat((code >= 0).astype(np.int64), start)
                 ends = [*start[1:].tolist(), len(code)]
                 others = [[words[k][i] for i in np.flatnonzero(code[s:e] < 0).tolist()] for k, (s, e) in enumerate(zip(start.tolist(), ends, strict=True))]
