@@ -47,7 +47,7 @@ def drizzle(files: DataFrame) -> DataFrame:
 
 def django(files: DataFrame) -> DataFrame:
     """Flags are read off the whole class."""
-    blocks = matches(files.filter(F.col("path").rlike(r"(?:^|/)models(?:\.py$|/.*\.py$)")), r"class\s+(\w+)\s*\([^)]*models\.Model[^)]*\)\s*:([\s\S]*?)(?=\nclass\s|\n\S|$(?!\n))", {"name": 1, "body": 2}, "path")
+    blocks = matches(files.filter(F.col("path").rlike(r"(?:^|/)models(?:\.py$|/.*\.py$)")), r"class\s+(\w+)\s*\([^)]*models\.Model[^)]*\)\s*:([\s\S]*?)(?=\nclass\s|\n\S|\Z)", {"name": 1, "body": 2}, "path")
     pattern = r"(\w+)\s*=\s*models\.(\w+)\s*\(\s*['\"]?(\w+)?"
     triple = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "n"), (2, "t"), (3, "target"))])
     links, body = ("ForeignKey", "OneToOneField", "ManyToManyField"), F.col("body")
