@@ -63,7 +63,7 @@ class WordCodes(dict):
         self.base, self.frequent = len(self), frequent
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.base + 200_000:
+        if len(self) > self.base + 100_000:
             self.clear()
             self.update((w, k) for k, w in enumerate(self.frequent))
         value = self[word] = -1 - bucket_class(word)
@@ -113,7 +113,7 @@ def word_counts(texts: DataFrame, text: str) -> DataFrame:
             for at in range(0, batch.num_rows, 500):
                 for t in batch.slice(at, 500).column(0).to_pylist():
                     held.update(tokens(t))
-                if len(held) > 500_000:
+                if len(held) > 300_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
                     held = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
@@ -128,8 +128,8 @@ def class_counts(texts: DataFrame, text: str, shared) -> DataFrame:
         lexicon, codes = word_codes(shared)
         total = np.zeros(CLASSES * SKIPS * CLASSES, np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                _, _, class_, ctx, _ = coded(batch.slice(at, 2000).column(0).to_pylist(), lexicon, codes)
+            for at in range(0, batch.num_rows, 400):
+                _, _, class_, ctx, _ = coded(batch.slice(at, 400).column(0).to_pylist(), lexicon, codes)
                 total += np.bincount(ctx * CLASSES + class_, minlength=len(total)).astype(np.int32)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells // CLASSES, pa.int64()), pa.array(cells % CLASSES, pa.int64()), pa.array(total[cells], pa.int64())], names=["ctx", "class", "n"])
@@ -228,8 +228,8 @@ def score_texts(docs: DataFrame, learn_from: str, text: str = "text") -> DataFra
         table, within = model.value
         logc = np.log10(np.append(lexicon.counts, 0) + 1.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 words, code, class_, ctx, start = coded(part.column(text).to_pylist(), lexicon, codes)
                 classed = np.add.reduceat(table[ctx, class_].astype(np.float64) - within[class_], start)
                 counted = np.add.reduceat(np.where(code >= 0, logc[np.maximum(code, 0)], 0.0), start)
