@@ -11,6 +11,7 @@ from lodestone.operators import extract as X
 from lodestone.operators import graph as G
 from lodestone.operators import matching as M
 from lodestone.operators import models as D
+from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
 from lodestone.operators import routes as RT
 from lodestone.plans.contracts import EDGES_SQL, NODES_SQL, SOURCES_SQL, documents_as_files, foreign_key_graph, sources, table
@@ -562,3 +563,122 @@ def annotation_replies(spark: SparkSession, sf: str) -> DataFrame:
 def pass_fail_rollup(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select(F.when(F.col("l_returnflag") == "A", "x").otherwise(F.col("l_returnflag")).alias("k"), (F.col("l_quantity") > 25).alias("resolved"))
     return E.pass_fail(rows, "k")
+
+
+# Further sources and reports
+
+
+@query("SELECT concat('r', o_custkey % 7) AS log, concat('c', o_custkey) AS author, count(*) AS files FROM orders GROUP BY o_custkey")
+def git_log_forward_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """A log for each seventh of the customers: a commit line for each, then its orders as files."""
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 7).alias("g"), "o_custkey", "o_orderkey")
+    heads = o.select("g", "o_custkey").distinct().select("g", "o_custkey", F.lit(-1).cast("long").alias("o_orderkey"))
+    rows = o.unionByName(heads)
+    text = F.when(F.col("o_orderkey") < 0, F.concat(F.lit("COMMIT:c"), "o_custkey")).otherwise(F.concat(F.lit("o"), "o_orderkey"))
+    lines = rows.select(F.concat(F.lit("r"), "g").alias("log"), (F.col("o_custkey") * 10_000_000 + F.col("o_orderkey") + 1).alias("line"), text.alias("text"))
+    return tree.git_log(lines).groupBy("log", "author").agg(F.count("*").alias("files"))
+
+
+@query("SELECT count(*) FILTER (doc_id % 11 = 0 AND doc_id > 100) AS changed, count(*) AS files, count(*) FILTER (doc_id % 11 = 0 AND doc_id > 100) > 5 AS stale FROM documents")
+def index_staleness(spark: SparkSession, sf: str) -> DataFrame:
+    files = documents_as_files(spark, sf).select("path", F.col("ord").alias("modified"), "ord")
+    return tree.staleness(files.select("path", "modified"), files.filter(F.col("ord") % 11 == 0).select("path"), 100)
+
+
+@query("SELECT lang AS ext, count(*) AS n, (SELECT least(4000, greatest(800, 800 + 15 * count(*))) FROM documents) AS tokens FROM documents GROUP BY lang ORDER BY n DESC, lang LIMIT 8")
+def plan_report(spark: SparkSession, sf: str) -> DataFrame:
+    return P.plan_report(documents_as_files(spark, sf)).select("ext", "n", "tokens")
+
+
+@query("SELECT source AS layer, count(*) AS files, CAST(sum(ceil(octet_length(encode(coalesce(text, ''))) / 3.7::DOUBLE)) AS BIGINT) AS tokens FROM documents GROUP BY source")
+def token_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return P.token_statistics(documents_as_files(spark, sf).select(F.col("dir").alias("layer"), F.col("content").alias("text"))).select("layer", "files", "tokens")
+
+
+@query("SELECT concat('pkg', p_size) AS name, max(concat('1.', p_partkey)) AS version FROM part WHERE p_partkey % 3 = 0 GROUP BY p_size HAVING count(*) = 1 UNION ALL SELECT concat('own', p_partkey), concat('2.', p_size) FROM part WHERE p_partkey % 3 = 1")
+def manifest_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifests made from parts; names that only one manifest has."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    shared = F.concat(F.lit('{"dependencies":{"pkg'), size, F.lit('":"^1.'), key, F.lit('"}}'))
+    own = F.concat(F.lit('{"dependencies":{"own'), key, F.lit('":"~9"},"devDependencies":{"own'), key, F.lit('":"^2.'), size, F.lit('"}}'))
+    m = table(spark, sf, "part").filter(key % 3 != 2).select(F.when(key % 3 == 0, shared).otherwise(own).alias("content"))
+    once = table(spark, sf, "part").filter(key % 3 == 0).groupBy("p_size").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("pkg"), "p_size").alias("name"))
+    return tree.manifest_versions(m).join(once, "name", "left_anti")
+
+
+@query("SELECT concat('packages/', source, '/', doc_id) AS path, CASE WHEN doc_id % 2 = 0 THEN concat('packages/', source) END AS package FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT concat('misc/', doc_id), NULL FROM documents WHERE doc_id % 2 = 1")
+def workspace_packages(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    paths = d.select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("packages/"), "source", F.lit("/"), "doc_id")).otherwise(F.concat(F.lit("misc/"), "doc_id")).alias("path"))
+    return tree.workspace_of(paths, ["packages/*"])
+
+
+@query("SELECT name, source, description, category FROM (SELECT concat('VAR_', n_nationkey, '_URL') AS name, '.env.example' AS source, concat('about ', n_nationkey) AS description, 'api' AS category FROM nation)")
+def env_example_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """One example file that lists a variable for each nation, each under a comment."""
+    line = F.concat(F.lit("# about "), "n_nationkey", F.lit("\nVAR_"), "n_nationkey", F.lit("_URL=x\n"))
+    text = table(spark, sf, "nation").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    files = text.select(F.lit(".env.example").alias("path"), F.lit(".example").alias("ext"), "content")
+    return X.env_vars(files).select("name", "source", "description", "category")
+
+
+@query("SELECT concat('Repo', s_suppkey, '.find') AS name, 'method' AS kind, concat('find(key: int) -> N', s_nationkey) AS signature FROM supplier UNION ALL SELECT concat('Repo', s_suppkey), 'class', concat('Repo', s_suppkey, '(Base)') FROM supplier UNION ALL SELECT concat('run', s_suppkey), 'function', concat('run', s_suppkey, '(x)') FROM supplier")
+def synth_python_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    text = F.concat(F.lit("class Repo"), k, F.lit("(Base):\n    def find(self, key: int) -> N"), n, F.lit(":\n        pass\n    def _hide(self):\n        pass\n\ndef run"), k, F.lit("(x):\n    pass\n"))
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("py/s"), k, F.lit(".py")).alias("path"), F.lit(".py").alias("ext"), text.alias("content"))
+    return X.symbols(files).select("name", "kind", "signature")
+
+
+@query("SELECT concat('Store', s_suppkey, '.read') AS name, concat('read(key: N', s_nationkey, '): string') AS signature FROM supplier")
+def synth_class_methods(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    text = F.concat(F.lit("export class Store"), k, F.lit(" {\n  read(key: N"), n, F.lit("): string {\n    if (key) {\n    }\n    return key;\n  }\n  private hide(): void {\n  }\n}\n"))
+    files = table(spark, sf, "supplier").select(F.concat(F.lit("ts/s"), k, F.lit(".ts")).alias("path"), F.lit(".ts").alias("ext"), text.alias("content"))
+    return X.symbols(files).filter("kind = 'method'").select("name", "signature")
+
+
+@query("SELECT concat('/c/', c_custkey % 50) AS path, CASE WHEN c_custkey % 50 % 10 = 0 THEN concat('  GET,POST /c/', c_custkey % 50, ' [required, body:CustomerSchema, requireAuth]') ELSE concat('  GET /c/', c_custkey % 50) END AS text FROM customer GROUP BY c_custkey % 50")
+def route_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return P.route_lines(RT.group_routes(RT.routes(sources(spark, sf))))
+
+
+@query("""SELECT dir, keyword FROM (SELECT 'src/customer' AS dir, unnest(['customer', concat('c', c_custkey), concat('f', c_custkey)]) AS keyword FROM customer WHERE true)
+WHERE length(keyword) > 3 OR starts_with(keyword, 'c') GROUP BY dir, keyword""")
+def synth_module_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    files = sources(spark, sf).filter(F.col("path").startswith("src/customer/"))
+    return R.module_keywords(files, X.symbols(files))
+
+
+@query("SELECT dir, files, complexity FROM (SELECT 'src/nation' AS dir, count(*) AS files, floor((1 / 3.0::DOUBLE + 6 / 200.0::DOUBLE + 0.1::DOUBLE) * 10 + 0.5) / 10 AS complexity FROM nation)")
+def synth_modules(spark: SparkSession, sf: str) -> DataFrame:
+    files = sources(spark, sf).filter(F.col("path").startswith("src/nation/"))
+    declared, none = X.symbols(files), files.select("path", F.lit(0).alias("fan_in"))
+    cx = X.complexity(files, none, declared.groupBy("path").agg(F.count("*").alias("symbol_count")), X.imports(files))
+    return R.modules(files, R.module_keywords(files, declared), cx).select("dir", F.size("files").cast("long").alias("files"), "complexity")
+
+
+@query("SELECT grp, count(*) AS n FROM (SELECT concat('src/', c_mktsegment) AS grp, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS k, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY concat('n', c_nationkey)) AS f FROM customer) WHERE k <= 4 AND f <= 6 GROUP BY grp")
+def overview_groups(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    rows = c.select(F.concat(F.lit("src/"), "c_mktsegment", F.lit("/n"), "c_nationkey").alias("path"), F.col("c_custkey").alias("line"), F.col("c_name").alias("name"))
+    return P.overview_groups(rows).groupBy(F.col("group").alias("grp")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT concat('f', o_custkey) AS caller, concat('g', o_orderkey) AS callee, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT caller AS id, count(*) AS callees FROM t WHERE k <= 5 GROUP BY caller""")
+def call_trace_capped(spark: SparkSession, sf: str) -> DataFrame:
+    calls = table(spark, sf, "orders").select(F.concat(F.lit("f"), "o_custkey").alias("caller"), F.concat(F.lit("g"), "o_orderkey").alias("callee"), F.col("o_orderkey").alias("pos"))
+    return G.call_trace(calls, calls.select(F.col("caller").alias("id")).distinct()).groupBy("id").agg(F.count("*").alias("callees"))
+
+
+@query("SELECT category, text FROM (VALUES ('auth', 'V10_TOKEN, V11_TOKEN, V12_TOKEN +22 more')) v(category, text)")
+def required_variables(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.concat(F.lit("V"), F.col("n_nationkey") + 1, F.lit("_TOKEN")).alias("name"))
+    return P.required_variables(n.select("name", F.lit(False).alias("has_default"), F.lit(True).alias("required"), S.env_category(F.col("name")).alias("category")))
+
+
+@query()
+def danger_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes made from parts against a request; tested on a fixture."""
+    notes = table(spark, sf, "part").select(F.concat(F.lit("src/size"), "p_size", F.lit("/part"), "p_partkey", F.lit(".ts")).alias("file"), F.concat(F.lit("make"), "p_partkey").alias("symbol"), F.concat("p_name", F.lit(" requires the "), F.lower("p_type"), F.lit(" handling")).alias("danger"))
+    return P.danger_hits(notes, R.terms_of(spark, "why does the economy handling of make12 fail", "bm25"))

@@ -75,10 +75,10 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def git_log(lines: DataFrame) -> DataFrame:
-    """(author, file) from a log whose commits start with COMMIT:author; the lines after it are files. lines: (line, text), one log."""
-    by = Window.partitionBy(F.lit(0)).orderBy("line")
+    """(log, author, file) from logs whose commits start with COMMIT:author; the lines after it are files. lines: (log, line, text); log tells repositories apart."""
+    by = Window.partitionBy("log").orderBy("line")
     head = F.when(F.col("text").startswith("COMMIT:"), F.substr("text", F.lit(8)))
-    return lines.withColumn("author", F.last(head, ignorenulls=True).over(by)).filter(~F.col("text").startswith("COMMIT:") & (F.trim("text") != "")).select("author", F.trim("text").alias("file"))
+    return lines.withColumn("author", F.last(head, ignorenulls=True).over(by)).filter(~F.col("text").startswith("COMMIT:") & (F.trim("text") != "")).select("log", "author", F.trim("text").alias("file"))
 
 
 def git_signals(commits: DataFrame) -> DataFrame:

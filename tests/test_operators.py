@@ -201,7 +201,7 @@ def test_csv_tasks(spark, tmp_path):
 
 
 def test_git_sources(spark):
-    log = spark.createDataFrame([(k, t) for k, t in enumerate(["COMMIT:ann", "a.ts", "", "COMMIT:bob", "a.ts", "b.ts"])], "line int, text string")
+    log = spark.createDataFrame([("r", k, t) for k, t in enumerate(["COMMIT:ann", "a.ts", "", "COMMIT:bob", "a.ts", "b.ts"])], "log string, line int, text string")
     commits = tree.git_log(log)
     assert {(r.author, r.file) for r in commits.collect()} == {("ann", "a.ts"), ("bob", "a.ts"), ("bob", "b.ts")}
     many = spark.createDataFrame([("f", "x")] * 30 + [("f", "y")], "file string, author string")
