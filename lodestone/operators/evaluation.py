@@ -124,3 +124,17 @@ def annotations_of(replies: DataFrame, raw: str = "raw") -> DataFrame:
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     """Rows in a random order that the seed fixes."""
     return rows.withColumn("_order", F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns])).orderBy("_order").drop("_order")
+
+
+def judge_prompts(tasks: DataFrame) -> DataFrame:
+    """(name, prompt) for a judge that doesn't know the arm: tasks have name, question, answer, must_contain and must_not."""
+    points = lambda head, c: F.concat(F.lit(head), F.array_join(F.transform(c, lambda x: F.concat(F.lit("\n- "), x)), ""))
+    return tasks.select("name", F.concat_ws("\n\n", F.concat(F.lit("Question:\n"), "question"), F.concat(F.lit("Answer:\n"), "answer"), points("It should say:", F.col("must_contain")), points("It must not say:", F.col("must_not")), F.lit("Score each field from 1 to 5 and reply as JSON.")).alias("prompt"))
+
+
+def token_sums(events: DataFrame, cell: list[str]) -> DataFrame:
+    """(cell..., input_tokens, output_tokens, cost, turns): sums over assistant events, cost and turns of the result event; turns are null where unknown."""
+    usage = lambda f: F.coalesce(F.col(f"message.usage.{f}"), F.lit(0))
+    said, ended = F.col("type") == "assistant", F.col("type") == "result"
+    read = usage("input_tokens") + usage("cache_read_input_tokens") + usage("cache_creation_input_tokens")
+    return events.groupBy(*cell).agg(F.sum(F.when(said, read).otherwise(0)).alias("input_tokens"), F.sum(F.when(said, usage("output_tokens")).otherwise(0)).alias("output_tokens"), F.max(F.when(ended, F.col("total_cost_usd"))).alias("cost"), F.max(F.when(ended, F.col("num_turns"))).alias("turns"))

@@ -61,6 +61,20 @@ def context_hits(keywords: DataFrame, terms: DataFrame, key: str = "dir") -> Dat
     return match.groupBy(key).agg(F.sum("times").cast("long").alias("hits"))
 
 
+def keyword_hits(keywords: DataFrame, prompt: str, key: str = "dir") -> DataFrame:
+    """(key, hits): how many of a module's keywords the prompt holds; the measure for indexes without BM25 statistics."""
+    return keywords.filter(F.contains(F.lit(prompt.lower()), F.lower("keyword"))).groupBy(key).agg(F.count("*").alias("hits"))
+
+
+def test_lines(mapping: DataFrame, assertions: DataFrame, names: int = 5, each: int = 2) -> DataFrame:
+    """(source, text): the tests of a file, its first names with up to two assertions each. mapping: (source, test, test_names); assertions: (path, test, k, text)."""
+    listed = mapping.select("source", "test", F.size("test_names").alias("n"), F.posexplode(F.slice("test_names", 1, names)).alias("i", "name"))
+    few = assertions.withColumn("r", F.row_number().over(Window.partitionBy("path", "test").orderBy("k"))).filter(F.col("r") <= each)
+    own = few.groupBy(F.col("path").alias("test"), F.col("test").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: F.concat(F.lit("\n    "), F.trim(x["text"]))), "").alias("a"))
+    wide = listed.join(own, ["test", "name"], "left").withColumn("line", F.concat(F.lit("\n  - "), "name", F.coalesce("a", F.lit(""))))
+    return wide.groupBy("source", "test", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("lines")).select("source", F.concat(F.lit("# Tests for "), "source", F.lit(": "), "test", F.lit(" ("), F.col("n").cast("string"), F.lit(" tests)"), "lines").alias("text"))
+
+
 def terms_of(spark, query: str, kind: str) -> DataFrame:
     """(term, times) of a query; repeated terms count again."""
     one = spark.createDataFrame([(query,)], "q string").select(F.explode(query_terms(F.col("q"), kind)).alias("term"))

@@ -545,10 +545,10 @@ def predictions_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return tree.latest_predictions(table(spark, sf, "orders").select(F.col("o_custkey").alias("instance_id"), F.col("o_orderkey").alias("line")))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 5 AND p_partkey % 6 BETWEEN 1 AND 5 THEN CAST(p_size + p_partkey % 6 AS BIGINT) END AS total FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 5 AND p_partkey % 6 BETWEEN 1 AND 5 THEN CAST(p_size + p_partkey % 6 AS BIGINT) ELSE CAST(-1 AS BIGINT) END AS total FROM part")
 def judge_scores(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit('Sure.\n```json\n{"accuracy": '), F.col("p_size"), F.lit(', "depth": '), F.col("p_partkey") % 6, F.lit(', "notes": "n"}\n```'))
-    return E.judge_scores(table(spark, sf, "part").select("p_partkey", raw.alias("raw")), ["accuracy", "depth"]).select("p_partkey", (F.col("score.accuracy") + F.col("score.depth")).cast("long").alias("total"))
+    return E.judge_scores(table(spark, sf, "part").select("p_partkey", raw.alias("raw")), ["accuracy", "depth"]).select("p_partkey", F.coalesce((F.col("score.accuracy") + F.col("score.depth")).cast("long"), F.lit(-1).cast("long")).alias("total"))
 
 
 @query("SELECT concat('src/p', p_partkey, '.ts') AS path, concat('f', p_size) AS name, p_name AS description, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS danger FROM part")

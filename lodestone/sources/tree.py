@@ -147,6 +147,30 @@ def stack_of(files: DataFrame, versions: DataFrame) -> DataFrame:
     return languages.unionByName(hit.filter("kind = 'framework'").select("kind", "value")).unionByName(single)
 
 
+def installed_versions(declared: DataFrame, installed: DataFrame) -> DataFrame:
+    """(name, version): the installed version of each package where it is known, else the declared one. Both: (name, version)."""
+    own = installed.select("name", F.col("version").alias("found"))
+    return declared.join(own, "name", "full_outer").select("name", F.coalesce("found", "version").alias("version"))
+
+
+def monorepo_of(manifests: DataFrame) -> DataFrame:
+    """(kind, globs): the first kind of workspace that manifests (path, content) at the root declare, and the globs of its packages."""
+    name, text = F.col("path"), F.col("content")
+    listed = lambda c, pattern: F.filter(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x: x != "")
+    array = F.coalesce(F.from_json(F.get_json_object("content", "$.workspaces"), "array<string>"), F.from_json(F.get_json_object("content", "$.workspaces.packages"), "array<string>"))
+    block = lambda pattern: F.regexp_extract(text, pattern, 1)
+    found = (
+        F.when((name == "package.json") & array.isNotNull(), F.struct(F.lit(0).alias("k"), F.lit("npm").alias("kind"), array.alias("globs")))
+        .when(name == "pnpm-workspace.yaml", F.struct(F.lit(1).alias("k"), F.lit("pnpm").alias("kind"), listed(text, r"(?m)^\s*-\s*['\"]?([^'\"\n#!]+?)['\"]?\s*$").alias("globs")))
+        .when(name == "turbo.json", F.struct(F.lit(2).alias("k"), F.lit("turbo").alias("kind"), F.array(F.lit("apps/*"), F.lit("packages/*")).alias("globs")))
+        .when(name == "go.work", F.struct(F.lit(3).alias("k"), F.lit("go").alias("kind"), listed(block(r"use\s*\(([\s\S]*?)\)"), r"(?m)^\s*(?:\./)?(\S+)\s*$").alias("globs")))
+        .when(name == "lerna.json", F.struct(F.lit(4).alias("k"), F.lit("lerna").alias("kind"), F.coalesce(F.from_json(F.get_json_object("content", "$.packages"), "array<string>"), F.array(F.lit("packages/*"))).alias("globs")))
+        .when(name == "nx.json", F.struct(F.lit(5).alias("k"), F.lit("nx").alias("kind"), F.array(F.lit("apps/*"), F.lit("libs/*"), F.lit("packages/*")).alias("globs")))
+        .when((name == "Cargo.toml") & text.contains("[workspace]"), F.struct(F.lit(6).alias("k"), F.lit("cargo").alias("kind"), listed(block(r"members\s*=\s*\[([\s\S]*?)\]"), r"\"([^\"]+)\"").alias("globs")))
+    )
+    return manifests.select(found.alias("f")).filter("f IS NOT NULL").agg(F.min_by("f", "f.k").alias("f")).filter("f IS NOT NULL").select("f.kind", "f.globs")
+
+
 def workspace_of(paths: DataFrame, globs: list[str]) -> DataFrame:
     """(path, package): the workspace package of each path, by globs of package directories; the longest that fits."""
     spots = [re.escape(g.rstrip("/")).replace(r"\*\*", ".+").replace(r"\*", "[^/]+") for g in globs]

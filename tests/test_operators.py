@@ -243,3 +243,25 @@ def test_catalogue_queries_have_rows(spark):
 
     for name in ("synth_import_edges", "synth_routes_grouped", "bm25_scores", "transcript_metrics", "diff_block_islands", "synth_skeleton"):
         assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1, name
+
+
+def test_monorepos_and_installed_versions(spark):
+    m = lambda *rows: tree.monorepo_of(spark.createDataFrame(list(rows), "path string, content string")).collect()
+    assert [tuple(r) for r in m(("package.json", '{"workspaces":["a/*","b"]}'), ("turbo.json", "{}"))] == [("npm", ["a/*", "b"])]
+    assert [tuple(r) for r in m(("package.json", "{}"), ("pnpm-workspace.yaml", "packages:\n  - 'apps/*'\n  - libs/x\n"))] == [("pnpm", ["apps/*", "libs/x"])]
+    assert m(("go.work", "go 1.2\nuse (\n  ./a\n  b\n)\n"))[0].globs == ["a", "b"] and m(("Cargo.toml", '[workspace]\nmembers = ["x", "y/*"]'))[0].kind == "cargo"
+    assert m(("package.json", "{}")) == []
+    v = lambda *rows: spark.createDataFrame(list(rows), "name string, version string")
+    assert {tuple(r) for r in tree.installed_versions(v(("a", "1"), ("b", "2")), v(("a", "1.5"))).collect()} == {("a", "1.5"), ("b", "2")}
+
+
+def test_hits_test_lines_prompts_and_sums(spark):
+    words = spark.createDataFrame([("m1", "modal"), ("m1", "menu"), ("m2", "menu")], "dir string, keyword string")
+    assert {r.dir: r.hits for r in R.keyword_hits(words, "Open the MODAL").collect()} == {"m1": 1}
+    mapping = spark.createDataFrame([("a.ts", "a.test.ts", ["t1", "t2"])], "source string, test string, test_names array<string>")
+    said = spark.createDataFrame([("a.test.ts", "t1", k, f" expect({k})") for k in range(3)], "path string, test string, k int, text string")
+    assert R.test_lines(mapping, said).first().text == "# Tests for a.ts: a.test.ts (2 tests)\n  - t1\n    expect(0)\n    expect(1)\n  - t2"
+    tasks = spark.createDataFrame([("n", "q?", "a", ["x"], [])], "name string, question string, answer string, must_contain array<string>, must_not array<string>")
+    assert "It should say:\n- x" in E.judge_prompts(tasks).first().prompt
+    rows = spark.createDataFrame([('{"type":"assistant","message":{"usage":{"input_tokens":3,"output_tokens":1}}}',), ('{"type":"result","total_cost_usd":0.25}',)], "v string").select(F.lit("c").alias("cell"), F.from_json("v", E.EVENT).alias("e")).select("cell", "e.*")
+    assert tuple(E.token_sums(rows, ["cell"]).first()) == ("c", 3, 1, 0.25, None)
