@@ -71,3 +71,31 @@ def test_index_and_tools(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "edges")).count() == 2
     got = P.auth_context(index["routes"], index["symbols"], index["models"])
     assert got["routes"].count() == 1 and got["models"].first().name == "User"
+
+
+def test_route_graph_and_prompts(spark):
+    from lodestone.operators import extract as X
+    from lodestone.operators import graph as G
+    from lodestone.operators import matching as M
+    from lodestone.operators import routes as RT
+    from lodestone.sources import tree
+
+    text = 'import { save } from "./db";\nexport function createUser(q: Req): string {\n  return save(q);\n}\n'
+    rows = [("a.ts", ".ts", text), ("r.ts", ".ts", 'import { createUser } from "./a";\nrouter.post("/users", validateBody(UserSchema), createUser);\nrouter.get("/ping", h); router.get("/ping", h);\n'), ("db.ts", ".ts", "export function save(q: Req): string {\n}\n")]
+    files = spark.createDataFrame(rows, "path string, ext string, content string")
+    symbols, used = X.symbols(files), X.imports(files)
+    found = RT.routes(files)
+    calls = spark.createDataFrame([("r.ts", "createUser")], "caller string, callee string")
+    models = spark.createDataFrame([("User", ["id", "name"])], "name string, fields array<string>")
+    tests = spark.createDataFrame([("r.ts", [f"t{k}" for k in range(7)])], "source_file string, test_names array<string>")
+    got = {(r.method, r.path): r for r in RT.route_graph(found, symbols, calls, models, tests).collect()}
+    assert len(got) == 2 and got["POST", "/users"].fields == ["id", "name"] and got["POST", "/users"].calls == ["createUser"] and len(got["GET", "/ping"].tests) == 5
+    resolved = X.resolve_imports(files, used)
+    edges, nodes = X.import_edges(resolved), files.select(F.col("path").alias("id"))
+    chains = G.call_chain(edges, G.page_rank(nodes, edges, rounds=2), nodes)
+    contexts = M.caller_context(files, X.symbol_refs(resolved))
+    tiers = nodes.select(F.col("id").alias("path"), F.lit("standard").alias("tier"))
+    asked = {r.path: r.text for r in P.prompt_rows(symbols, M.code_windows(symbols), X.lines(files), chains, contexts, X.test_assertions(files), tiers).collect()}
+    assert "Describe:\nsave" in asked["db.ts"] and "a.ts:3: return save(q);" in asked["db.ts"] and "r.ts → a.ts → db.ts" in asked["db.ts"]
+    assert files.agg(tree.mentions(files, "USERSCHEMA").alias("m")).first().m and not files.agg(tree.mentions(files, "nothing").alias("m")).first().m
+    assert {r.path: r.group for r in RT.filter_routes(found, "GET").collect()} == {"/ping": "ping"}
