@@ -39,25 +39,15 @@ def _add(a: Column, b: Column) -> Column:
 def passage_sum(items: Column) -> Column:
     """The sum of the vectors of the passages in an array: 45 longs below 2^60."""
     hashed = F.transform(items, lambda p: F.struct(*[F.xxhash64(F.lit(s), p).alias(f"h{s}") for s in range(2 + WHOLE)]))
-    zeros = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), SHIFTS).alias("a"),
-        F.array_repeat(F.lit(0).cast("long"), SHIFTS).alias("b"),
-        *[F.lit(0).cast("long").alias(f"w{i}") for i in range(WHOLE)],
-        F.lit(0).cast("long").alias("n"),
-    )
-
-    def lanes(of: Column, h: Column) -> Column:
-        return F.transform(of, lambda a, i: _add(a, F.call_function("shiftright", h, i).bitwiseAND(F.lit(BITS))))
+    zeros = F.struct(*[F.lit(0).cast("long").alias(f"v{i}") for i in range(WIDTH)])
 
     def step(acc: Column, x: Column) -> Column:
-        return F.struct(
-            lanes(acc["a"], x["h0"]).alias("a"),
-            lanes(acc["b"], x["h1"]).alias("b"),
-            *[_add(acc[f"w{i}"], x[f"h{2 + i}"].bitwiseAND(F.lit(MODULUS))).alias(f"w{i}") for i in range(WHOLE)],
-            _add(acc["n"], F.lit(1).cast("long")).alias("n"),
-        )
+        # Plain fields: a lambda for each component would cost several times as much.
+        lanes = [F.shiftright(x[f"h{k}"], i).bitwiseAND(F.lit(BITS)) for k in (0, 1) for i in range(SHIFTS)]
+        whole = [x[f"h{2 + i}"].bitwiseAND(F.lit(MODULUS)) for i in range(WHOLE)]
+        return F.struct(*[_add(acc[f"v{i}"], v).alias(f"v{i}") for i, v in enumerate([*lanes, *whole, F.lit(1).cast("long")])])
 
-    return F.aggregate(hashed, zeros, step, lambda acc: F.concat(acc["a"], acc["b"], F.array(*[acc[f"w{i}"] for i in range(WHOLE)], acc["n"])))
+    return F.aggregate(hashed, zeros, step, lambda acc: F.array(*[acc[f"v{i}"] for i in range(WIDTH)]))
 
 
 def fingerprint_vector(text: Column) -> Column:
@@ -82,20 +72,18 @@ def as_text(vector: Column) -> Column:
 def energy(vector: Column) -> Column:
     """Estimate of the sum of the squared multiplicities of a (signed) multiset, from its vector."""
     n = F.element_at(vector, WIDTH)
-    balanced = F.when(n > MODULUS // 2, n - MODULUS - 1).otherwise(n)
-
-    def digit(d: Column) -> Column:
-        return F.when(d >= LANE // 2, d - LANE).otherwise(d)
+    half = F.lit(LANE // 2)
 
     def squares(acc: Column, d: Column) -> Column:
         # Balanced digits to base 2^20 give back the lanes, whatever has been carried.
-        low = digit(d.bitwiseAND(F.lit(LANE - 1)))
-        rest = F.shiftright(d - low, 20)
-        mid = digit(rest.bitwiseAND(F.lit(LANE - 1)))
-        high = digit(F.shiftright(rest - mid, 20).bitwiseAND(F.lit(LANE - 1)))
-        return acc + sum(((2 * x - balanced).cast("double") * (2 * x - balanced).cast("double") for x in (low, mid, high)), F.lit(0.0))
-
-    return F.aggregate(F.slice(vector, 1, 2 * SHIFTS), F.lit(0.0), squares) / (6 * SHIFTS)
+        second = F.shiftright(d + half, 20)
+        third = F.shiftright(second + half, 20)
+        digits = [(x + half).bitwiseAND(F.lit(LANE - 1)) - half for x in (d, second, third)]
+        return F.struct(sum((F.pow(2 * x - acc["n"], F.lit(2.0)) for x in digits), acc["sum"]).alias("sum"), acc["n"].alias("n"))
+
+    # The count rides along: in a lambda it would be worked out anew for each component.
+    start = F.struct(F.lit(0.0).alias("sum"), F.when(n > MODULUS // 2, n - MODULUS - 1).otherwise(n).alias("n"))
+    return F.aggregate(F.slice(vector, 1, 2 * SHIFTS), start, squares, lambda acc: acc["sum"]) / (6 * SHIFTS)
 
 
 def likeness(left: Column, right: Column) -> Column:
