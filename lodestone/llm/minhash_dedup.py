@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import bound_batches, materialize, worker_cached
 from lodestone.llm.components import components
 
-SKETCH, INDEXED, SHARED = 64, 16, 8
+SKETCH, INDEXED = 64, 16
 SHORT_LIST = 64
 #: Classes and shingles of a unit of a long list, about.
 UNIT_ROWS, UNIT_WEIGHT = 512, 300_000
@@ -99,9 +99,11 @@ def list_entries(classes: DataFrame, threshold: float) -> DataFrame:
     least = classes.select("uid", "n", F.slice("sketch", 1, INDEXED).alias("own"))
     single = least.select("uid", "n", F.size("own").alias("k"), F.explode("own").alias("v"))
     often = single.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    k = F.col("k")
+    k, expected = F.col("k"), 2 * threshold / (1 + threshold)
+    # Five deviations below what linked sketches share on average: 8 of 16 for a threshold of 0.8.
+    shared = max(1, round(INDEXED * expected - 5 * (INDEXED * expected * (1 - expected)) ** 0.5))
     # As many values as can be missing from the other sketch, and one more; values of one document only fill their share of these.
-    prefix = F.when(F.col("n") > INDEXED, INDEXED - SHARED + 1).otherwise(k - F.ceil(k * threshold) + 1)
+    prefix = F.when(F.col("n") > INDEXED, INDEXED - shared + 1).otherwise(k - F.ceil(k * threshold) + 1)
     ranked = single.join(often, "v").groupBy("uid", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     room = F.greatest(F.lit(0), prefix - (k - F.size("shared"))).cast("int")
     chosen = ranked.select("uid", F.slice("shared", F.lit(1), room).alias("x")).filter(F.size("x") > 0)
