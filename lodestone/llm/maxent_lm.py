@@ -33,6 +33,8 @@ from lodestone.llm.common import bound_batches, free_name, materialize, release_
 
 CLASSES, SINGLE, SKIPS, PAIRS = 256, 96, 16, 1024
 FREQUENT = 200_000
+#: Bytes of a frequent word at most; longer words are joined, so the table's size is bounded.
+LONGEST = 64
 END = b"\n"  # no word has white space
 
 
@@ -202,11 +204,11 @@ def score_texts(docs: DataFrame, learn_from: str, text: str = "text") -> DataFra
     spark, uid = docs.sparkSession, free_name(docs, "uid")
     training = docs.filter(F.col(learn_from)).select(text)
     counts = materialize(word_counts(training, text), "words")
-    top = counts.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
+    top = counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     lexicon = Lexicon(top.column("word").to_pylist(), top.column("c").to_pylist())
     del top
     release_memory()
-    shared = spark.sparkContext.broadcast(lexicon)  # FREQUENT words at most
+    shared = spark.sparkContext.broadcast(lexicon)  # FREQUENT words of LONGEST bytes at most
     # The same classes in SQL: the most frequent words by place, all others by their last two characters.
     single = {w: k for k, w in enumerate(lexicon.words[:SINGLE])}
     bucket = (F.crc32(F.encode(F.right(F.decode("word", "UTF-8"), F.lit(2)), "UTF-8")) % (CLASSES - SINGLE) + SINGLE).cast("int")
