@@ -223,7 +223,7 @@ def restorer(spark):
     return Restorer(fit(gram_counts(spark.createDataFrame([(None, t) for t in texts], "g string, t string"), "g", "t")))
 
 
-@pytest.mark.parametrize("bad,good", [("1d1ot", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooooot", "idiot"), ("m0r0n", "moron"), ("l0$er", "loser"), ("stuuupid", "stupid"), ("cl0wn", "clown"), ("w0rthl3ss", "worthless")])
+@pytest.mark.parametrize("bad,good", [("1d1ot", "idiot"), ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("idiooooot", "idiot"), ("m0r0n", "moron"), ("l0$er", "loser"), ("stuuupid", "stupid"), ("cl0wn", "clown"), ("w0rthl3ss", "worthless"), ("cl000wn", "clown"), ("1111diot", "idiot")])
 def test_obfuscated_words_are_restored(restorer, bad, good):
     assert restorer.text(f"the {bad} is") == f"the {good} is"
 
