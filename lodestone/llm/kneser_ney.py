@@ -87,8 +87,8 @@ def gram_counts(docs: DataFrame, group: str, text: str, take=None, letters_only:
             size[name] = len(first)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 by: dict[str, list] = {}
                 for name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if t and (take is None or take(t)):
@@ -96,7 +96,7 @@ def gram_counts(docs: DataFrame, group: str, text: str, take=None, letters_only:
                 for name, found in by.items():
                     held.setdefault(name, []).append(np.unique(np.concatenate(found), return_counts=True))
                     size[name] = size.get(name, 0) + len(held[name][-1][0])
-                    if size[name] > 1_000_000 and len(held[name]) > 1:
+                    if size[name] > 500_000 and len(held[name]) > 1:
                         fold(name)
         for name in held:
             fold(name)
