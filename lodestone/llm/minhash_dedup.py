@@ -73,9 +73,10 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 
 
 def _as_lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Hashes as longs in the same order: the sign bit is turned, as SQL compares longs by sign."""
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((flat ^ np.uint64(1 << 63)).view(np.int64)))
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
@@ -173,7 +174,7 @@ def set_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _compare_sketches(payload: list, percent: int, width: int) -> np.ndarray:
-    return sketch_links([np.array(s, np.int64).view(np.uint64) for s in payload], percent)
+    return sketch_links([np.array(s, np.int64) for s in payload], percent)
 
 
 def _compare_texts(payload: list, percent: int, width: int) -> np.ndarray:
