@@ -2,10 +2,11 @@
 
 1. Shingles of four words are hashed to 64 bits; a document's sketch is its 64 least hashes. Documents of equal sets form a class, and
    one of each class goes on.
-2. Inverted lists: each class enters the lists of its 16 least hashes, of which only the rarest `|s| - t + 1` are kept, t being the
-   number that two sketches of linked documents share (8 of 16 with a chance above 0.99998 at the threshold; 0.8 |s|, for sure,
-   where the sketch is the whole set). In one order of all values, two sketches that share t values share one of these, so passages common
-   to many documents make no lists unless a document is hardly anything else.
+2. Inverted lists: each class enters the lists of its 16 least hashes, of which only the rarest `16 - t + 1` are kept, t being the
+   number that two linked documents share of these (5 with a chance above 0.99999 at the threshold, whatever their sizes). Sets of up to
+   64 are compared whole: among them t is 0.8 |s|, for sure. Sets from 51, which may be linked with longer ones, enter both ways. In one
+   order of all values, two sets that share t values share one of these, so passages common to many documents make no lists unless a
+   document is hardly anything else.
 3. Lists of up to 64 classes generate pairs, and the sketch of the union estimates their likeness; pairs 4.5 deviations below the
    threshold drop out. Longer lists are dealt as units (see 4), whose tasks compare the sketches' overlaps by a matrix product and
    return a spanning set of the likely pairs. The components of all likely pairs are the groups within which any link must lie.
@@ -24,6 +25,7 @@ are), and exactly one row of each component is kept: of least doc_id, nulls last
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb, floor
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +97,32 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def sure_overlap(threshold: float) -> int:
+    """How many of its INDEXED least hashes a set shares with those of a linked one, but for a chance below 1 in 100,000.
+
+    A hash of both sets among the INDEXED least of the union is among those of each, and of the union's hashes `threshold` are of both at the
+    least, so a binomial tail bounds the chance, whatever the sets' sizes."""
+    chance = 0.0
+    for k in range(INDEXED + 1):
+        chance += comb(INDEXED, k) * threshold**k * (1 - threshold) ** (INDEXED - k)
+        if chance >= 1e-5:
+            return max(1, k)
+    return INDEXED
+
+
 def list_entries(classes: DataFrame, threshold: float) -> DataFrame:
     """(v, uid, n, sketch): the entries of classes (uid, n, sketch) in inverted lists of two or more."""
-    least = classes.select("uid", "n", F.slice("sketch", 1, INDEXED).alias("own"))
-    single = least.select("uid", "n", F.size("own").alias("k"), F.explode("own").alias("v"))
+    whole, n = F.col("whole"), F.col("n")
+    # Two sets of up to SKETCH are compared whole, all others by their least; sets that may have partners of both kinds enter both ways. The values of the whole sets make lists of their own.
+    kinds = F.array(F.when(n <= SKETCH, F.lit(True)), F.when(n >= floor(SKETCH * threshold), F.lit(False)))
+    dealt = classes.select("uid", "n", "sketch", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("whole"))
+    own = F.when(whole, F.transform("sketch", lambda v: F.xxhash64(v))).otherwise(F.slice("sketch", 1, INDEXED))
+    single = dealt.select("uid", "n", "whole", F.explode(own).alias("v"))
     often = single.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    k, expected = F.col("k"), 2 * threshold / (1 + threshold)
-    # Five deviations below what linked sketches share on average: 8 of 16 for a threshold of 0.8.
-    shared = max(1, round(INDEXED * expected - 5 * (INDEXED * expected * (1 - expected)) ** 0.5))
-    # As many values as can be missing from the other sketch, and one more; values of one document only fill their share of these.
-    prefix = F.when(F.col("n") > INDEXED, INDEXED - shared + 1).otherwise(k - F.ceil(k * threshold) + 1)
-    ranked = single.join(often, "v").groupBy("uid", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
+    k = F.when(whole, n).otherwise(F.least(n, F.lit(INDEXED)))
+    # As many values as can be missing from the other set or sketch, and one more; values of one document only fill their share of these.
+    prefix = F.when(whole, n - F.ceil(n * round(100 * threshold) / 100) + 1).otherwise(k - sure_overlap(threshold) + 1)
+    ranked = single.join(often, "v").groupBy("uid", "n", "whole").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("shared"))
     room = F.greatest(F.lit(0), prefix - (k - F.size("shared"))).cast("int")
     chosen = ranked.select("uid", F.slice("shared", F.lit(1), room).alias("x")).filter(F.size("x") > 0)
     return chosen.join(classes, "uid").select(F.explode("x.v").alias("v"), "uid", "n", "sketch")

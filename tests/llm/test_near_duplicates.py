@@ -28,3 +28,19 @@ def test_contained_sets_about_the_sketch_size_are_linked(spark):
     rng = random.Random(3)
     pairs = [(large, -(-large * percent // 100)) for large in range(66, 200, 2) for percent in (80, 81, 82, 83, 85)]
     assert lost(spark, contained(rng, pairs)) == 0
+
+
+def test_short_contained_sets_are_linked(spark):
+    rng = random.Random(4)
+    pairs = [(large, -(-large * 80 // 100)) for large in [20] * 60 + list(range(2, 90))]
+    assert lost(spark, contained(rng, pairs)) == 0
+
+
+def test_the_index_overlap_is_that_of_contained_sets():
+    from lodestone.llm.minhash_dedup import INDEXED, sure_overlap
+
+    rng, least = np.random.default_rng(5), INDEXED
+    for _ in range(20_000):
+        values = rng.permutation(200)
+        least = min(least, int((values[:INDEXED] < 160).sum()))  # of the large set's least, those of the small one
+    assert sure_overlap(0.8) <= least and sure_overlap(1.0) == INDEXED
