@@ -7,9 +7,9 @@
    64 are compared whole: among them t is 0.8 |s|, for sure. Sets from 51, which may be linked with longer ones, enter both ways. In one
    order of all values, two sets that share t values share one of these, so passages common to many documents make no lists unless a
    document is hardly anything else.
-3. Lists of up to 64 classes generate pairs, and the sketch of the union estimates their likeness; pairs 4.5 deviations below the
-   threshold drop out. Longer lists are dealt as units (see 4), whose tasks compare the sketches' overlaps by a matrix product and
-   return a spanning set of the likely pairs. The components of all likely pairs are the groups within which any link must lie.
+3. Lists of up to 64 classes generate pairs, and the part of the union that both sketches reach estimates their likeness; pairs 4.5
+   deviations below the threshold drop out. Longer lists are dealt as units (see 4), whose tasks make the same estimate by a matrix
+   product and return a spanning set of the likely pairs. The components of all likely pairs are the groups within which any link must lie.
 4. Each group is confirmed on full sets: its texts go once to one task, which compares all pairs by a matrix product and returns a spanning
    set of the links. A group beyond the bounds of a unit is cut by set size (linked sets differ by a factor of 0.8 at most) and by a
    hash into units, and each pair of units that can hold links is a task of its own. No task holds more than two units, whatever the group.
@@ -128,10 +128,19 @@ def list_entries(classes: DataFrame, threshold: float) -> DataFrame:
     return chosen.join(classes, "uid").select(F.explode("x.v").alias("v"), "uid", "n", "sketch")
 
 
+def least_estimate(percent: int) -> float:
+    """The estimates of linked sets lie above this: 4.5 deviations below the threshold."""
+    t = percent / 100
+    return t - 4.5 * (t * (1 - t) / SKETCH) ** 0.5
+
+
 def estimated(a: Column, b: Column) -> Column:
-    """The likeness of two sets from the sketch of their union."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
+    """The likeness of two sets from their hashes up to the lower of the two sketches' ends, up to which both are known."""
+    end = lambda x: F.when(F.size(x) >= SKETCH, F.element_at(x, -1))
+    cut = F.least(F.coalesce(end(a), end(b)), F.coalesce(end(b), end(a)))
+    known = lambda x: F.size(F.filter(x, lambda v: cut.isNull() | (v <= cut)))
+    common = F.size(F.array_intersect(a, b))  # all below the cut
+    return common / (known(a) + known(b) - common)
 
 
 def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
@@ -139,7 +148,7 @@ def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
     t = percent / 100
     a, b = entries.alias("a"), entries.alias("b")
     near = (F.col("a.v") == F.col("b.v")) & (F.col("a.uid") < F.col("b.uid")) & (F.least("a.n", "b.n") >= t * F.greatest("a.n", "b.n"))
-    likely = estimated(F.col("a.sketch"), F.col("b.sketch")) >= t - 4.5 * (t * (1 - t) / SKETCH) ** 0.5
+    likely = estimated(F.col("a.sketch"), F.col("b.sketch")) >= least_estimate(percent)
     return a.join(b, near).filter(likely).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b")).distinct()
 
 
@@ -179,10 +188,16 @@ def _spanning(uids: np.ndarray, link: np.ndarray, side: np.ndarray) -> list[tupl
 
 
 def sketch_links(sketches: list[np.ndarray], percent: int) -> np.ndarray:
-    """Pairs whose sketches overlap as those of linked sets do: 4.5 deviations below what the threshold leads to expect."""
-    t = 2 * percent / (100 + percent)
-    common, size = _common(sketches), np.array([len(s) for s in sketches], np.float32)
-    return common >= (t - 4.5 * (t * (1 - t) / SKETCH) ** 0.5) * np.minimum(size[:, None], size[None, :])
+    """Pairs that are likely by the estimate of short lists (estimated)."""
+    common = _common(sketches)
+    ends = np.array([s[-1] for s in sketches])
+    order = np.argsort(ends)
+    whole = np.array([len(s) < SKETCH for s in sketches])
+    known = np.empty(common.shape, np.float32)  # of each row's set, the hashes up to the end of each column's
+    for k, s in enumerate(sketches):
+        known[k, order] = np.searchsorted(s, ends[order], "right")
+        known[k, whole] = len(s)
+    return common / (known + known.T - common).astype(np.float64) >= least_estimate(percent)
 
 
 def set_links(sets: list[np.ndarray], percent: int) -> np.ndarray:

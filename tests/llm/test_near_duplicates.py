@@ -44,3 +44,27 @@ def test_the_index_overlap_is_that_of_contained_sets():
         values = rng.permutation(200)
         least = min(least, int((values[:INDEXED] < 160).sum()))  # of the large set's least, those of the small one
     assert sure_overlap(0.8) <= least and sure_overlap(1.0) == INDEXED
+
+
+@pytest.mark.parametrize("large", [60, 70, 100, 500, 2000])
+def test_long_lists_pass_contained_sets(large):
+    rng = np.random.default_rng(large)
+    for _ in range(400):
+        values = rng.integers(-(2**63), 2**63, large)
+        small, all_ = (np.sort(values[:n])[: minhash_dedup.SKETCH] for n in (-(-large * 4 // 5), large))
+        assert minhash_dedup.sketch_links([small, all_], 80)[0, 1]
+
+
+def test_lists_of_any_length_follow_one_rule(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(200):
+        values = rng.integers(-(2**63), 2**63, rng.integers(2, 400))
+        sets.append([np.sort(values[rng.random(len(values)) < rng.choice([0.7, 0.8, 0.9])])[: minhash_dedup.SKETCH] for _ in range(2)])
+    sets = [p for p in sets if all(map(len, p))]
+    frame = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(sets)], "k int, a array<bigint>, b array<bigint>")
+    got = {r.k: r.e for r in frame.select("k", minhash_dedup.estimated(F.col("a"), F.col("b")).alias("e")).collect()}
+    for k, p in enumerate(sets):
+        assert (got[k] >= minhash_dedup.least_estimate(80)) == minhash_dedup.sketch_links(p, 80)[0, 1]
