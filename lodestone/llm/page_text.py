@@ -3,8 +3,9 @@
 Pages are put in order of host and URL path. Each is aligned, line by line, with the neighbour on its host that shares the longer
 beginning of the path (a longest common subsequence), and the lines that both have are deleted: a site's own text stands on all its pages. Before
 that, the markup takes out what it names itself (menus, footers, forms, scripts, classes such as `ad`), and lines within an article
-or main element are safe from deletion, as copies of an article are articles. Where nearly all of a page's open lines are in its
-neighbour, the two are copies and no line goes. In pages without such an element, lines that are mostly links go too.
+or main element are safe from deletion, as copies of an article are articles. Lines outside such an element stay unless they are
+shared or mostly links. A neighbour that is a copy is passed over for the next one that differs, within a bucket of the order and one
+page beyond its ends; where there is none, no line goes.
 
 The order is made without a window by host, as one host may have a third of the pages: bounds from a sample of the keys cut the order
 into buckets, and the last and first page of each bucket, found by an aggregation, go to the neighbouring bucket as well.
@@ -30,17 +31,23 @@ BUCKET_PAGES, MOST_BUCKETS, SAMPLE = 500, 20_000, 40
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
 
 
+def shared_lines(lines: list[Line], near: list[Line]) -> set[int] | None:
+    """Positions of the lines that the other page has too; None where it is a copy, with more than four fifths of the article, or of a page without one."""
+    shared = common_lines([x.text for x in lines], [x.text for x in near])
+    article = any(x.content for x in lines)
+    own = [k for k, x in enumerate(lines) if x.content or not article]
+    return None if sum(len(lines[k].text) for k in own if k in shared) > 0.8 * sum(len(lines[k].text) for k in own) else shared
+
+
+def is_copy(lines: list[Line], near: list[Line]) -> bool:
+    """Whether near is a copy; not asked of pages with nothing open to deletion."""
+    return any(not x.content for x in lines) and shared_lines(lines, near) is None
+
+
 def main_lines(lines: list[Line], near: list[Line] | None) -> list[str]:
     """The lines of a page that are its main text, given its neighbour's."""
-    article = any(x.content for x in lines)
-    open_ = [k for k, x in enumerate(lines) if not x.content]
-    gone: set[int] = set()
-    if open_ and near:
-        shared = common_lines([x.text for x in lines], [x.text for x in near])
-        found = [k for k in open_ if k in shared]
-        if sum(len(lines[k].text) for k in found) < 0.8 * sum(len(lines[k].text) for k in open_):
-            gone = set(found)
-    return [x.text for k, x in enumerate(lines) if x.content or (not article and k not in gone and x.linked <= 0.5)]
+    gone = (shared_lines(lines, near) or set()) if near and any(not x.content for x in lines) else set()
+    return [x.text for k, x in enumerate(lines) if x.content or (k not in gone and x.linked <= 0.5)]
 
 
 def _shared_start(a: str, b: str) -> int:
@@ -104,22 +111,29 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
                     for k, (b, g, h, p, t) in enumerate(zip(*(part.column(c).to_pylist() for c in (bucket, ghost, host, path, page)), strict=True)):
                         yield own.slice(k, 1), b, g, h, p, page_lines(t or "")
 
-        def close(last, at, next_):
-            near = [x for x in (last, next_) if x is not None and x[1] == at[1] and x[3] == at[3]]
+        def close(at, prior, next_):
+            near = [x for x in (prior, next_) if x is not None]
             near.sort(key=lambda x: -_shared_start(x[4], at[4]))
             return at[0], "\n".join(main_lines(at[5], near[0][5] if near else None))
 
         done: list = []
-        last = at = None
+        # Pages that wait for the next differing one, each with the differing one before it: a page, or copies in a row.
+        held: list[tuple] = []
         for row in rows():
-            if at is not None and not at[2]:
-                done.append(close(last, at, row))
-            last, at = at, row
+            prior = None
+            if held:
+                last, before = held[-1]
+                near = last[1] == row[1] and last[3] == row[3]
+                if near:
+                    prior = before if is_copy(row[5], last[5]) else last
+                if not (near and is_copy(last[5], row[5])):
+                    done += [close(x, y, row if near else None) for x, y in held if not x[2]]
+                    held = []
+            held.append((row, prior))
             if len(done) >= 200:
                 yield emit(done)
                 done = []
-        if at is not None and not at[2]:
-            done.append(close(last, at, None))
+        done += [close(x, y, None) for x, y in held if not x[2]]
         if done:
             yield emit(done)
 
