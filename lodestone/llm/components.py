@@ -13,11 +13,19 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialize
 
 
+#: Parts that a node's links are dealt to, so a hub's links are no single task's.
+SALTS = 64
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """links (a > b). Each node's neighbours above it (large) or below it (small) are tied to the least of the node and its neighbours."""
+    """links (a > b). Each node's neighbours above it (large) or below it (small) are tied to the least of the node and its neighbours.
+
+    The least is found by part and then by node, and joined back by part: a hub has SALTS parts, other nodes as many as they have links."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    tied = both.join(least, "a")
+    salted = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    part = salted.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = part.groupBy("a").agg(F.min("m").alias("m"), F.collect_list("s").alias("parts")).select("a", F.least("a", "m").alias("m"), "parts")
+    tied = salted.join(least.select("a", "m", F.explode("parts").alias("s")), ["a", "s"])
     if large:
         out = tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
