@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.best_fit_packing import pack, token_pieces
 from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, read_loss, records_of
 from lodestone.llm.common import table, text_of
-from lodestone.llm.fingerprints import as_text, fingerprint_vector, likeness
+from lodestone.llm.fingerprints import as_text, likeness, with_vectors
 from lodestone.llm.maxent_lm import score_texts
 from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.neighbours import with_next
@@ -58,23 +58,26 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text")).withColumn("vector", fingerprint_vector(F.col("text")))
+    """One exchange of the texts: windows and sums all keep the buckets that with_next deals."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.left("text", n - third), F.left(F.col("next.text"), third))
-    return (
-        with_next(docs, "doc_id", [F.xxhash64("text"), n, F.col("text")], ["text", "vector"])
-        .select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "vector", F.col("next.vector").alias("next_vector"))
-        .withColumn("edited_vector", fingerprint_vector(F.col("edited")))
-        .select(
-            "doc_id",
-            "n_chars",
-            F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-            as_text(F.col("vector")).alias("fingerprint"),
-            as_text(F.col("edited_vector")).alias("edited_fingerprint"),
-            likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
-            likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
-        )
+    edited = F.concat(F.left("text", n - third), F.left(F.coalesce("next.text", F.lit("")), third))
+    placed = with_next(docs, "doc_id", [F.xxhash64("text"), n, F.col("text")], ["text"], keep=True)
+    # Each document twice, as it is and edited; the place tells rows apart that are alike.
+    both = placed.select("bucket", "place", "ghost", "doc_id", n.cast("long").alias("n_chars"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.coalesce(edited, F.lit("")).alias("text")))).alias("x"))
+    rows = both.select("bucket", "place", "ghost", "doc_id", "n_chars", "x.kind", "x.text", F.when(F.col("x.kind") == 1, F.sha2(F.encode("x.text", "UTF-8"), 256)).alias("sha"))
+    summed = with_vectors(rows, ["bucket", "place", "kind", "ghost", "doc_id", "n_chars", "sha"], "text")
+    following = Window.partitionBy("bucket").orderBy("place", "kind")
+    wide = summed.select("*", F.lead("vector", 1).over(following).alias("edited_vector"), F.lead("sha", 1).over(following).alias("edited_sha256"), F.lead("vector", 2).over(following).alias("next_vector"))
+    return wide.filter("kind = 0 AND ghost = 0").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        as_text(F.col("vector")).alias("fingerprint"),
+        as_text(F.col("edited_vector")).alias("edited_fingerprint"),
+        likeness(F.col("vector"), F.col("edited_vector")).alias("near_edited"),
+        likeness(F.col("vector"), F.col("next_vector")).alias("near_next"),
     )
 
 
