@@ -45,6 +45,13 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def tasks_for(df: DataFrame, bytes_each: int = 16_000_000) -> int:
+    """Tasks for an exchange of df: the session's number of partitions, or more where the optimizer's estimate of df's size asks for them."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = 0 if size >= 2**60 else size  # the estimate of plans of unknown size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // bytes_each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

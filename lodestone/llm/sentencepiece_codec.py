@@ -2,29 +2,40 @@
 
 No piece of the model has a white-space marker after another character, so no merge can cross from one marked
 word (a run of markers and the characters up to the next marker) into the next one: the words can be segmented alone.
-Each Python worker keeps a table of the distinct marked words that it has met; a word is segmented once, and a text's
-ids are the table's entries joined by position. The table holds `table_words` entries at most and starts anew beyond, so
-memory is bounded whatever the corpus; the ids never depend on that. A table of all words of the corpus would have
-to be joined back to every word occurrence, a shuffle of several times the input.
+
+1. Each block of about eight thousand documents gives its distinct marked words, as rows (block, word).
+2. An exchange by word brings the rows of a word together, wherever it stands: there it is segmented, once in the whole job, and its ids go back to each
+   block that has it. This is the table of distinct words; its rows are as many as the blocks' distinct words, a small share of all words.
+3. An exchange by block brings a block's entries and its documents together. A document's ids are the entries of its words, joined by their positions, with begin
+   and end; the ids are decoded by the library.
+
+A task holds one block's entries and one slice of documents, whatever the corpus. Blocks are numbered by the rows' places in their partitions. Should a
+plan that isn't deterministic deal other rows to a block when it is read again, a word without an entry is segmented on the spot: ids never depend on blocks.
 
 Defined results: a null text counts as empty; an empty text gets the begin and end ids alone; repeated rows are encoded
-each; an empty table gives an empty one; other columns of the input are kept, and `ids`, `n_tokens` and `decoded` replace
+each; very long texts and texts without white space are encoded like others, whole (a text without a space is one word, which is segmented
+in one piece); an empty table gives an empty one; other columns of the input are kept, and `ids`, `n_tokens` and `decoded` replace
 columns of these names.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bound_batches, worker_cached
+from lodestone.llm.common import bound_batches, free_name, tasks_for, worker_cached
 
 MARK = "▁"
-_MARKED = re.compile(" +[^ ]+| +")
+_MARKED = re.compile(" ( *[^ ]+| *)")
+#: Rows of a block, as a power of two.
+BLOCK_BITS = 13
 
 
 def crossing_pieces(processor) -> list[str]:
@@ -32,10 +43,18 @@ def crossing_pieces(processor) -> list[str]:
     return [p for p in map(processor.id_to_piece, range(processor.get_piece_size())) if re.search(f"[^{MARK}]{MARK}", p)]
 
 
+def marked_words(text: str) -> list[str]:
+    """The marked words of a text, each without its first marker, which the library adds."""
+    if MARK in text:
+        text = text.replace(MARK, " ")
+    # Between single spaces a cut at each space is enough.
+    return text.split(" ") if "  " not in text and text[:1] != " " and text[-1:] != " " else _MARKED.findall(" " + text)
+
+
 class WordTable(dict):
-    """Marked word -> (its ids as little-endian 32-bit integers, its decoded text)."""
+    """Marked word, without its first marker -> its ids as little-endian 32-bit integers."""
 
-    def __init__(self, model: str, table_words: int):
+    def __init__(self, model: str, table_words: int = 0):
         import sentencepiece
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -46,46 +65,108 @@ class WordTable(dict):
         self.end = self.processor.eos_id().to_bytes(4, "little")
         self.lone_mark = self.processor.piece_to_id(MARK)
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        # The library puts one marker before a text, so the word goes in without its first.
-        ids = self.processor.encode(word[1:]) if len(word) > 1 else [self.lone_mark]
-        entry = (b"".join(i.to_bytes(4, "little") for i in ids), " " + self.processor.decode(ids))
-        if len(word) < 64:
-            self[word] = entry
-        return entry
+    def segment(self, word: str) -> bytes:
+        ids = self.processor.encode(word) if word else [self.lone_mark]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        if not text:
-            return self.begin + self.end, ""
+    def __missing__(self, word: str) -> bytes:
         if len(self) > self.limit:
             self.clear()
-        entries = [self[w] for w in _MARKED.findall(" " + text.replace(MARK, " "))]
-        return b"".join([self.begin, *[e[0] for e in entries], self.end]), "".join([e[1] for e in entries])[1:]
+        entry = self[word] = self.segment(word)
+        return entry
 
+    def ids(self, text: str) -> bytes:
+        return b"".join([self.begin, *map(self.__getitem__, marked_words(text)), self.end]) if text else self.begin + self.end
 
-def word_table(model: str, table_words: int) -> WordTable:
-    """One table for each worker process: it stays from task to task."""
-    return worker_cached(("words", model, table_words), lambda: WordTable(model, table_words))
+    def decoded(self, ids: list[bytes]) -> list[str]:
+        return self.processor.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1) if ids else []
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        ids = self.ids(text)
+        return ids, self.decoded([ids])[0]
+
+
+def word_table(model: str) -> WordTable:
+    """One processor for each worker process."""
+    return worker_cached(("words", model), lambda: WordTable(model))
 
 
-def encode_decode(docs: DataFrame, model: str, text: str = "text", table_words: int = 150_000) -> DataFrame:
+def block_words(docs: DataFrame, block: str, text: str) -> DataFrame:
+    """(block, word): the distinct marked words of each block. Blocks come in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words = None, set()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                for b, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if b != at:
+                        yield from emit(at, words)
+                        at, words = b, set()
+                    if t:
+                        words.update(marked_words(t))
+        yield from emit(at, words)
+
+    def emit(at: int | None, words: set[str]) -> Iterator[pa.RecordBatch]:
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([at] * len(words), pa.int64()), pa.array(list(words), pa.string())], names=["block", "word"])
+
+    return docs.select(F.col(block).alias("block"), F.col(text).alias("text")).mapInArrow(run, "block long, word string")
+
+
+def entries(words: DataFrame, model: str, tasks: int) -> DataFrame:
+    """(block, word, entry): words (block, word) with their ids; each distinct word is segmented once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, last, entry = word_table(model), None, b""
+        for batch in batches:
+            out = []
+            for w in batch.column(1).to_pylist():
+                if w != last:
+                    last, entry = w, table.segment(w)
+                out.append(entry)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["block", "word", "entry"])
+
+    return words.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(run, "block long, word string, entry binary")
+
+
+def encode_decode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """Adds ids (binary, little-endian unsigned 32-bit, with begin and end), n_tokens and decoded, the text that the ids decode to."""
     new = {"ids": T.BinaryType(), "n_tokens": T.LongType(), "decoded": T.StringType()}
     kept = [f for f in docs.schema.fields if f.name not in new]
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in new.items())])
     names = [f.name for f in kept]
+    block, word, entry = (free_name(docs, n) for n in ("block", "word", "entry"))
+    bound_batches(docs.sparkSession)
+    numbered = docs.select(*[f"`{n}`" for n in names]).withColumn(block, F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS))
+    tasks = tasks_for(docs)
+    found = entries(block_words(numbered, block, text), model, tasks).select(F.col("block").alias(block), F.col("word").alias(word), F.col("entry").alias(entry))
+    both = found.unionByName(numbered, allowMissingColumns=True)
+    # A block's entries stand before its documents.
+    dealt = both.repartition(tasks, block).sortWithinPartitions(block, F.col(entry).isNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(model, table_words)
+        table, at = word_table(model), None
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                coded = [table.encode(t or "") for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                ids = [c[0] for c in coded]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(part.schema.get_field_index(n)) for n in names), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([c[1] for c in coded], pa.string())],
-                    names=[*names, *new],
-                )
-
-    bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                rows, ids = [], []
+                for k, (b, w, e, t) in enumerate(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in (block, word, entry, text)), strict=True)):
+                    if b != at:
+                        table.clear()
+                        table.limit, at = 1_000, b
+                    if e is not None:
+                        table[w] = e
+                        table.limit += 1
+                    else:
+                        rows.append(k)
+                        ids.append(table.ids(t or ""))
+                if rows:
+                    own = part.take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(own.column(own.schema.get_field_index(n)) for n in names), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(table.decoded(ids), pa.string())],
+                        names=[*names, *new],
+                    )
+        table.clear()
+
+    return dealt.mapInArrow(run, schema)
