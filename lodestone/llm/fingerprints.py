@@ -2,7 +2,7 @@
 
 A document is the multiset of its passages. Lines are paragraphs, and no passage crosses from one to the next. Within a paragraph, cuts
 depend on the characters beside them, so an edit moves the cuts around it and few others: at white space after a mark,
-after a Latin letter or digit whose code is 1 modulo 4, or after any letter of another script, and after eight words at the latest; in scripts beyond U+0E00, many of which have no spaces, after a character of
+after a Latin letter or digit whose code is 5 or 6 modulo 8, or after any letter of another script, and after eight words at the latest; in scripts beyond U+0E00, many of which have no spaces, after a character of
 one sixteen of each sixty-four codes, and after sixteen at the latest. A run of more than 24 other characters is cut after those whose code is 5 modulo 8, in pieces of 16 to
 64. Each passage hashes to a wide vector; a document's fingerprint is the sum of its passages' vectors, each component
 modulo 2^60. Sums don't depend on the order, and adding or taking away a passage's vector inserts or deletes it.
@@ -35,7 +35,7 @@ WIDTH = 2 * SHIFTS + WHOLE + 1
 
 def _passage_pattern() -> str:
     """Three kinds of passages: words up to one that ends in a cut, pieces of a run of more than 24 characters, and pieces of scripts beyond U+0E00, which may have no spaces. Possessive repeats keep the cost linear."""
-    word_end = "".join(chr(c) for c in range(128) if chr(c).isalnum() and c % 4 == 1)
+    word_end = "".join(chr(c) for c in range(128) if chr(c).isalnum() and c % 8 in (5, 6))
     anywhere = "".join(f"\\x{{{c:x}}}" for c in range(33, 127) if c % 8 == 5)
     cuts = "".join(f"\\x{{{c:x}}}-\\x{{{c + 15:x}}}" for c in range(0x0E00, 0xA000, 64))
     one = r"[^ \t\n\x0B\f\r\x{E00}-\x{FFFF}]"
