@@ -1,8 +1,9 @@
-"""Character n-gram models with modified Kneser-Ney smoothing: counted by Spark, looked up in sorted hash arrays.
+"""Character n-gram models with modified Kneser-Ney smoothing: counted by Spark, looked up in sorted hash arrays. The spelling model of toxicity;
+the models of quality rules, one for each language, are in byte_model.
 
 Tasks count 4-grams of a 43-letter alphabet (char_codes) by group and send each distinct one once; Spark adds them up and
-derives the lower orders' continuation counts, contexts and discounts with joins and aggregates. The model is bounded by the
-alphabet, not by the corpus: 43^4 4-grams for each of at most MOST_GROUPS groups, so it may be collected and broadcast.
+derives the lower orders' continuation counts with aggregates; discounts and back-off weights follow on the driver. The model is bounded by the
+alphabet, not by the corpus: 43^4 4-grams for each of at most MOST_GROUPS groups (toxicity has one), so it may be collected and broadcast.
 Each n-gram's key (group, order, gram) is mixed to 64 bits, one to one, and the keys are kept sorted beside their
 probabilities and back-off weights; a batch looks its distinct n-grams up by binary search.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.char_codes import ORDER, SIZE, grams
@@ -140,27 +141,47 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.1), k + 0.9) for k, x in enumerate(d))])
 
 
+def smoothed_levels(gram: np.ndarray, n: np.ndarray, base: int = SIZE, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 1: n-grams and their log10 probabilities, contexts and their log10 back-off weights, from distinct n-grams of the highest order and their counts."""
+    sort = np.argsort(gram)
+    levels = [(gram[sort], n[sort])]
+    for k in range(order - 1, 0, -1):  # continuation counts: distinct characters before
+        ids, c = np.unique(levels[-1][0] % base**k, return_counts=True)
+        levels.append((ids, c.astype(np.float64)))
+    yield from _levels(levels[::-1], base)
+
+
+def _levels(levels: list[tuple[np.ndarray, np.ndarray]], base: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same from the counts of each order, sorted by n-gram."""
+    lower_keys, lower_p = np.zeros(1, np.int64), np.array([1 / base])  # order 0: all alike
+    for k, (ids, c) in enumerate(levels, 1):
+        if not len(ids):
+            yield ids, np.empty(0), ids, np.empty(0)
+            continue
+        d = discounts(c)[np.minimum(c, 3).astype(int)]
+        context, start = np.unique(ids // base, return_index=True)
+        total = np.add.reduceat(c, start)
+        kept = np.add.reduceat(d, start) / total
+        of = np.searchsorted(context, ids // base)
+        below = ids % base ** (k - 1)
+        p = (c - d) / total[of] + kept[of] * lower_p[np.searchsorted(lower_keys, below)]
+        yield ids, np.log10(p), context, np.log10(kept)
+        lower_keys, lower_p = ids, p
+
+
 def _smooth(groups: dict[str, int], group, order, gram, n) -> HashedModel:
     keys, logp, ckeys, logb = [], [], [], []
     for g in np.unique(group):
-        lower_keys, lower_p = np.zeros(1, np.int64), np.array([1 / SIZE])  # order 0: all alike
-        for k in range(1, ORDER + 1):
+        levels = []
+        for k in range(1, int(order[group == g].max()) + 1):
             mine = (group == g) & (order == k)
-            ids, c = gram[mine], n[mine]
-            sort = np.argsort(ids)
-            ids, c = ids[sort], c[sort]
-            d = discounts(c)[np.minimum(c, 3).astype(int)]
-            context, start = np.unique(ids // SIZE, return_index=True)
-            total = np.add.reduceat(c, start)
-            kept = np.add.reduceat(d, start) / total
-            of = np.searchsorted(context, ids // SIZE)
-            below = ids % SIZE ** (k - 1)
-            p = (c - d) / total[of] + kept[of] * lower_p[np.searchsorted(lower_keys, below)]
+            sort = np.argsort(gram[mine])
+            levels.append((gram[mine][sort], n[mine][sort]))
+        for k, (ids, p, context, kept) in enumerate(_levels(levels, SIZE), 1):
             keys.append(key_of(int(g), k, ids))
-            logp.append(np.log10(p))
+            logp.append(p)
             ckeys.append(key_of(int(g), k, context))
-            logb.append(np.log10(kept))
-            lower_keys, lower_p = ids, p
+            logb.append(kept)
     empty = [np.empty(0, np.uint64)], [np.empty(0)]
     a, b = np.concatenate(keys or empty[0]), np.concatenate(logp or empty[1])
     x, y = np.concatenate(ckeys or empty[0]), np.concatenate(logb or empty[1])

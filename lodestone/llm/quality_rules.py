@@ -1,13 +1,18 @@
 """Quality rules: base counts, and bands of n-gram perplexity for each language.
 
-A character model with modified Kneser-Ney smoothing (kneser_ney) is counted for each language over all its documents of ten words or
-more whose words hold at most one symbol in a hundred characters, and one for all languages together. Each document's perplexity
-is measured under its language's model or, where that is lower, under the common one, as a document may hold passages in
-other languages. The bands are measured too: from all reference documents of a language, the median of the entropy and the median of its deviation, scaled
-to one character, as short texts stray further. Documents outside the upper or the lower bound are rejected.
-
-Defined results: null texts have no words; texts of fewer than ten words fail the base rules; a language that is null or beyond the
-32 with the most text is measured by a model of all languages; equal rows get equal verdicts; an empty table gives an empty
+A byte model with modified Kneser-Ney smoothing (byte_model) is counted for each language over all its documents of ten words or
+more whose words hold at most one symbol in a hundred characters, and one for all languages together. A document's perplexity is measured under
+its language's model; languages of fewer than `least_texts` such documents, and null, use the common one. The bands are measured too, for each language: from all its
+reference documents, the median of the entropy, and the median of the deviations below and above it, each scaled
+to one byte, as short texts stray further. Documents below the lower bound are repetitive or of few words; above the upper bound they are
+not of their language. As clean documents may hold passages in other languages, a document above its language's upper bound stays if it lies below
+the bound that the language's documents have under the common model. Its own language's model alone decides the lower bound.
+
+Models are rows of a table. Documents are dealt to parts by language, a language having parts in proportion to its text, and each part gets a copy of
+its language's model and of the common one, so a task holds two models, whatever the number of languages.
+
+Defined results: null texts have no words; texts of fewer than ten words fail the base rules; a null language, and one of few documents, is measured by the common model, and
+all of these share one band; very long texts are measured whole, like others; equal rows get equal verdicts; an empty table gives an empty
 one; other columns stay, and columns with the names of the new ones are replaced.
 """
 
@@ -21,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.char_codes import grams
-from lodestone.llm.common import bound_batches, materialize
-from lodestone.llm.kneser_ney import HashedModel, fit, gram_counts
+from lodestone.llm.byte_model import ByteModel, byte_grams, counts, models
+from lodestone.llm.common import bound_batches, free_name, materialize, tasks_for
+from lodestone.llm.kneser_ney import POOLED
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
 
+#: How far a band reaches from the median: scaled median deviations, and bits a byte.
+WIDTH, SLACK = 6.0, 0.05
 #: Columns that the rules add.
 COUNTS = {"n_words": T.LongType(), "word_chars": T.LongType(), "n_symbols": T.LongType(), "n_dup_lines": T.LongType(), "n_repeat_words": T.LongType()}
 
@@ -73,57 +80,107 @@ def is_reference(text: str) -> bool:
     return 100 * (len(raw) - len(raw.translate(None, SYMBOLS))) <= len(raw) and len(raw.split(None, 10)) > 9
 
 
-def language_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> HashedModel:
-    return fit(gram_counts(docs, lang, text, is_reference))
-
-
-def measure(docs: DataFrame, model: HashedModel, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the base counts, base_failed, model_group, n_scored (characters), entropy (bits a character) and reference."""
-    new = COUNTS | {"base_failed": T.BooleanType(), "model_group": T.IntegerType(), "n_scored": T.LongType(), "entropy": T.DoubleType(), "reference": T.BooleanType()}
-    kept = [f for f in docs.schema.fields if f.name not in new]
-    names = [f.name for f in kept]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet and the number of models
+#: What a text is measured to: its language's group, bytes, bits a byte under its group's model and under the common one, and whether it is a reference.
+MEASURES = {"model_group": T.StringType(), "n_scored": T.LongType(), "entropy": T.DoubleType(), "common": T.DoubleType(), "reference": T.BooleanType()}
+#: Characters of a part's texts, about.
+PART_CHARS = 16_000_000
+
+
+def language_models(docs: DataFrame, text: str = "text", lang: str = "lang", least_texts: int = 50) -> DataFrame:
+    return materialize(models(counts(docs, lang, text, is_reference), least_texts), "models")
+
+
+def measure(docs: DataFrame, found: DataFrame, text: str = "text", lang: str = "lang", drop_text: bool = False) -> DataFrame:
+    """A struct row of docs' other columns, text (but for drop_text), the base counts, base_failed and MEASURES. found: the models' rows."""
+    spare = free_name(docs, "none")  # a struct needs a field
+    kept = [*(f for f in docs.schema.fields if f.name != text), T.StructField(spare, T.IntegerType(), False)]
+    new = COUNTS | {"base_failed": T.BooleanType()} | MEASURES
+    parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / PART_CHARS)).cast("int")
+    # A row for each language: a small table, which Spark broadcasts if its size allows, and joins by language otherwise.
+    plan = materialize(found.filter(F.col("group") != POOLED).select(F.col("group").alias("g"), parts.alias("parts"), F.col("keys").isNotNull().alias("own")), "plan")
+    group = F.coalesce(F.nullif(F.col(f"`{lang}`").cast("string"), F.lit(POOLED)), F.lit(POOLED))
+    rows = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in kept[:-1]], F.lit(0).alias(spare)).alias("row"), F.col(f"`{text}`").alias("text"), group.alias("g"), F.monotonically_increasing_id().alias("id"))
+    rest = found.filter(F.col("group") == POOLED).select(parts.alias("p")).first()
+    known = rows.join(plan, "g", "left")
+    own = F.coalesce("own", F.lit(False))
+    # Parts of languages without a model of their own are numbered together, as parts of the common one.
+    texts = known.select("row", "text", F.when(own, F.col("g")).otherwise(POOLED).alias("g"), F.pmod(F.col("id"), F.when(own, F.col("parts")).otherwise(rest["p"] if rest else 1)).cast("int").alias("part"))
+    arrays = ["keys", "logp", "contexts", "logb"]
+    numbered = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("g", "part")
+    places = numbered(plan.filter("own").select("g", "parts")).unionByName(numbered(found.filter(F.col("group") == POOLED).select(F.col("group").alias("g"), parts.alias("parts"))))
+    mine = places.join(found.select(F.col("group").alias("g"), *arrays), "g").select("g", "part", F.lit(1).alias("kind"), *arrays)
+    shared = places.crossJoin(found.filter(F.col("group") == POOLED).select(*arrays)).select("g", "part", F.lit(0).alias("kind"), *arrays)  # the one common model, for each part
+    both = texts.withColumn("kind", F.lit(2)).unionByName(mine.unionByName(shared), allowMissingColumns=True)
+    dealt = both.repartition(tasks_for(docs, 24_000_000), "g", "part").sortWithinPartitions("g", "part", "kind")
+    columns = ["g", "kind", "text", *arrays]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        common = model = None
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                texts = [t or "" for t in part.column(text).to_pylist()]
-                base = [base_counts(t) for t in texts]
-                group = np.array([model.group(g) for g in part.column(lang).to_pylist()], np.int64)
-                found = [grams(t) for t in texts]
-                entropy, sizes = np.zeros(len(texts)), np.array([len(f) for f in found])
-                for g in np.unique(group):
-                    mine = np.flatnonzero((group == g) & (sizes > 0))
-                    if len(mine):
-                        ids, back = np.unique(np.concatenate([found[i] for i in mine]), return_inverse=True)
-                        start = np.r_[0, np.cumsum(sizes[mine])[:-1]]
-                        own, pooled = (np.add.reduceat(-np.log2(10) * model.log10(k, ids.astype(np.int64))[back], start) / sizes[mine] for k in (int(g), 0))
-                        entropy[mine] = np.minimum(own, pooled)
-                failed = [b[0] < 10 or 100 * b[4] > 20 * b[0] for b in base]
-                columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
-                columns += [pa.array(failed, pa.bool_()), pa.array(group, pa.int32()), pa.array(sizes, pa.int64()), pa.array(entropy, pa.float64()), pa.array([not f and is_reference(t) for f, t in zip(failed, texts, strict=True)], pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *columns], names=[*names, *new])
-
-    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(k, v) for k, v in new.items())]))
-
-
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = 8.0, slack: float = 0.25, drop_text: bool = False) -> DataFrame:
+                g, kind, text = (part.column(c).to_pylist() for c in columns[:3])
+                low = 0
+                for k in range(len(kind) + 1):
+                    if k == len(kind) or kind[k] < 2:
+                        if k > low:
+                            yield judged(part.slice(low, k - low), text[low:k], g[low:k], model, common)
+                        low = k + 1
+                    if k < len(kind) and kind[k] < 2:
+                        blobs = [part.column(c)[k].as_py() for c in arrays]
+                        if kind[k] == 0:
+                            common = ByteModel(*blobs)
+                        else:
+                            model = ByteModel(*blobs)
+
+    own_columns = ["row"] if drop_text else ["row", "text"]
+
+    def judged(part: pa.RecordBatch, texts: list, group: list, model, common) -> pa.RecordBatch:
+        texts = [t or "" for t in texts]
+        base = [base_counts(t) for t in texts]
+        found = [byte_grams(t) for t in texts]
+        sizes = np.array([len(f) for f in found])
+        entropy, pooled = np.zeros(len(texts)), np.zeros(len(texts))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            ids, back = np.unique(np.concatenate([found[i] for i in some]), return_inverse=True)
+            start = np.r_[0, np.cumsum(sizes[some])[:-1]]
+            for out, by in ((entropy, model), (pooled, common)):
+                out[some] = np.add.reduceat((-np.log2(10) * by.log10(ids))[back], start) / sizes[some]
+        failed = [b[0] < 10 or 100 * b[4] > 20 * b[0] for b in base]
+        columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
+        columns += [pa.array(failed, pa.bool_()), pa.array(group, pa.string()), pa.array(sizes, pa.int64()), pa.array(entropy), pa.array(pooled)]
+        columns.append(pa.array([not f and is_reference(t) for f, t in zip(failed, texts, strict=True)], pa.bool_()))
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in own_columns), *columns], names=[*own_columns, *new])
+
+    kinds = [T.StructField("row", T.StructType(kept)), T.StructField("text", T.StringType())][: len(own_columns)]
+    return dealt.mapInArrow(run, T.StructType([*kinds, *(T.StructField(k, v) for k, v in new.items())]))
+
+
+def bands(measured: DataFrame) -> DataFrame:
+    """(model_group, middle, below, above, common_middle, common_above) from the reference documents: medians of the entropies, and of their deviations times the root of the length."""
+    reference = measured.filter("reference").select("model_group", "n_scored", "entropy", "common")
+    median = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    middle = reference.groupBy("model_group").agg(median("entropy").alias("middle"), median("common").alias("common_middle"))
+    apart = lambda c, m: (F.col(c) - F.col(m)) * F.sqrt("n_scored")
+    side = lambda x, sign: F.coalesce(median(F.when(sign * x > 0, sign * x)), F.lit(0.0))
+    own, common = apart("entropy", "middle"), apart("common", "common_middle")
+    # A row for each language, joined as Spark finds best.
+    return reference.join(middle, "model_group").groupBy("model_group").agg(F.first("middle").alias("middle"), side(own, -1).alias("below"), side(own, 1).alias("above"), F.first("common_middle").alias("common_middle"), side(common, 1).alias("common_above"))
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = WIDTH, slack: float = SLACK, drop_text: bool = False, least_texts: int = 50) -> DataFrame:
     """docs with the counts, base_failed, entropy, low and high (the bounds of its band) and kept.
 
-    A band reaches from the language's median entropy by `slack` bits and `width` scaled median deviations of a text of that length."""
+    A band reaches from the language's median entropy by `slack` bits and `width` scaled median deviations of a text of that length, to either side."""
     bound_batches(docs.sparkSession)
-    measured = measure(docs, language_model(docs, text, lang), text, lang)
-    measured = materialize(measured.drop(text) if drop_text else measured, "quality")
-    reference = measured.filter("reference")
-    middle = reference.groupBy("model_group").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("middle"))
-    stray = F.abs(F.col("entropy") - F.col("middle")) * F.sqrt("n_scored")
-    # One row for each model, of which there are 32 at most.
-    bands = reference.join(F.broadcast(middle), "model_group").groupBy("model_group").agg(F.first("middle").alias("middle"), F.percentile_approx(stray, 0.5, 10_000).alias("stray"))
-    reach = F.lit(slack) + width * 1.4826 * F.col("stray") / F.sqrt(F.greatest("n_scored", F.lit(1)))
-    judged = measured.join(F.broadcast(bands), "model_group", "left").withColumn("low", F.col("middle") - reach).withColumn("high", F.col("middle") + reach)
-    inside = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(True))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("middle", "stray", "reference", "n_scored", "model_group")
-
-
+    added = [*COUNTS, "base_failed", "entropy", "low", "high", "kept"]
+    columns = [c for c in docs.columns if c not in added]
+    measured = materialize(measure(docs.select(*[f"`{c}`" for c in columns]), language_models(docs, text, lang, least_texts), text, lang, drop_text), "quality")
+    judged = measured.join(bands(measured), "model_group", "left")
+    reach = lambda side: F.lit(slack) + width * 1.4826 * F.col(side) / F.sqrt(F.greatest("n_scored", F.lit(1)))
+    judged = judged.withColumn("low", F.col("middle") - reach("below")).withColumn("high", F.col("middle") + reach("above"))
+    inside = (F.col("entropy") >= F.col("low")) & ((F.col("entropy") <= F.col("high")) | (F.col("common") <= F.col("common_middle") + reach("common_above")))
+    judged = judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    own = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns if not (drop_text and c == text)]
+    return judged.select(*own, *added)
