@@ -21,7 +21,8 @@ from lodestone.llm.toxicity import toxicity
 
 
 def held_out(modulus: int) -> Column:
-    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(modulus)) == 2
+    """Whether a document is kept from training; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(modulus)) == 2, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +133,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(7).alias("held_out")).withColumn("learn_from", ~F.coalesce("held_out", F.lit(False)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(7).alias("held_out")).withColumn("learn_from", ~F.col("held_out"))
     return score_texts(docs, "learn_from").drop("learn_from")
 
 

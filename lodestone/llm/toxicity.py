@@ -2,18 +2,20 @@
 
 The character language model is counted over all documents (kneser_ney). Word weights come from labelled rows: at most about `train_rows` of
 them, chosen by a hash, enter. A feature is a restored word or a prefix of 4 to 6 letters of one, as inflected words share these.
-For each feature of at least three toxic training texts (one in a hundred, if that is more), its weight is the lower confidence bound of the
+For each feature of so many toxic training texts that chance alone would hardly keep it out of all clean ones, its weight is the lower confidence bound of the
 share of toxic ones among the texts that have it; on the toxic side a feature counts once for each distinct pair of neighbour words, so copies of one text
 don't make all its words suspect. Weights below 0.5 are dropped, and below 0.9 those of
 prefixes, which clean words may share. A text's score is the chance that at least
 one of its distinct words is toxic, with a small floor.
 
-Defined results: null and empty texts get the floor; equal texts get equal scores; without toxic labels every score is the floor;
+Defined results: null and empty texts get the floor; equal texts get equal scores; very long texts, words and spelled-out spans are read whole; without toxic labels every score is the floor; an empty table
+gives an empty one;
 other columns stay, and columns with the names of the new ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bound_batches, worker_cached
+from lodestone.llm.common import bound_batches, materialize, worker_cached
 from lodestone.llm.deobfuscation import Restorer
 from lodestone.llm.kneser_ney import HashedModel, fit, gram_counts
 
 FLOOR = 0.02
+#: Toxic texts, and places, that a feature must have at least.
+LEAST = 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,7 +55,8 @@ def learn(labelled: DataFrame, shared_model, train_rows: int = 20_000, z: float
     known = labelled.filter(F.col("text").isNotNull() & F.col("toxic").isNotNull())
     total = known.count()
     share = min(1.0, train_rows / max(1, total))
-    taken = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "toxic")
+    # A hash as a number from 0 to 1, fine enough for any share.
+    taken = known.filter(F.xxhash64("text").cast("double") / 2.0**64 + 0.5 <= share).select("text", "toxic")
 
     def toxic_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fix = restorer(shared_model)
@@ -65,8 +70,11 @@ def learn(labelled: DataFrame, shared_model, train_rows: int = 20_000, z: float
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["f", "d", "c"])
 
     toxic = taken.filter("toxic = 1").select("text")
-    least = max(3, toxic.count() // 100)
     counted = toxic.mapInArrow(toxic_side, "f string, d long, c long").groupBy("f").agg(F.count_distinct("d").alias("d"), F.count_distinct("c").alias("c"))
+    counted = materialize(counted, "features")
+    # So many toxic texts and no clean one: by chance alone, less than one feature is expected to have that.
+    share_toxic = min(0.5, toxic.count() / max(1, taken.count()))
+    least = max(LEAST, math.ceil(math.log(max(1, counted.count())) / -math.log(share_toxic))) if share_toxic else LEAST
     often = {r["f"]: min(r["d"], r["c"]) for r in counted.filter(f"d >= {least} AND c >= {least}").collect()}  # bounded by train_rows
     wanted = labelled.sparkSession.sparkContext.broadcast(set(often))
 
