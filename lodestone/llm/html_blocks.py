@@ -18,6 +18,8 @@ CONTENT = frozenset(("article", "main"))
 BOILER_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices alert menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead share sharing social related recommended newsletter subscribe subscription signup popup modal overlay comment comments respond reply replies disqus pagination pager widget toolbar login search skip".split()
 )
+#: Of these, the ones that count within an article too: the kinds of text that are never its own.
+INNER_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr menu nav navbar navigation breadcrumb breadcrumbs sidebar comment comments respond disqus".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 
 _TOKEN = re.compile(
@@ -36,10 +38,12 @@ class Line:
     linked: float
 
 
-def _boiler(attributes: str) -> bool:
+def _boiler(attributes: str, inside: bool = False) -> bool:
+    """Whether attributes mark what is not the article. inside: the element stands in an article."""
+    words = INNER_WORDS if inside else BOILER_WORDS
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and not BOILER_WORDS.isdisjoint(w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)):
+        if name in ("class", "id") and not words.isdisjoint(w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)):
             return True
         if name == "role" and value.lower() in BOILER_ROLES:
             return True
@@ -99,7 +103,7 @@ def page_lines(page: str) -> list[Line]:
                 pop()
         if name in ("p", "li", "a") and stack and stack[-1][0] == name:
             pop()
-        outside = name in OUTSIDE or (name == "header" and not content) or (attributes and name not in ("html", "body") and _boiler(attributes))
+        outside = name in OUTSIDE or (name == "header" and not content) or (attributes and name not in ("html", "body") and _boiler(attributes, content > 0))
         kind = 1 if outside else 2 if name in CONTENT and not left_out else 0
         stack.append((name, kind))
         left_out += kind == 1

@@ -1,17 +1,18 @@
 """Main text of web pages, by differencing pages with the nearest URLs.
 
 Pages are put in order of host and URL path. Each is aligned, line by line, with the neighbour on its host that shares the longer
-beginning of the path (a longest common subsequence), and the lines that both have are deleted: a site's own text stands on all its pages. Before
-that, the markup takes out what it names itself (menus, footers, forms, scripts, classes such as `ad`), and lines within an article
-or main element are safe from deletion, as copies of an article are articles. Lines outside such an element stay unless they are
-shared or mostly links. A neighbour that is a copy is passed over for the next one that differs, within a bucket of the order and one
+beginning of the path (a longest common subsequence), and the lines that both have are deleted: a site's own text stands on all its pages. What
+differencing can't tell, the markup does: menus, footers, forms, scripts and classes such as `ad` are out even where they differ from page to page, and lines within an article
+or main element are safe from deletion, as articles may share passages. Outside such an element every line stays that is not
+shared, but for lines that are links from end to end (menus without markup of their own). A neighbour that carries the same text (the whole article, or more of a page without one than it lacks) says nothing of the
+site's: it is passed over for the next one, within a bucket of the order and one
 page beyond its ends; where there is none, no line goes.
 
 The order is made without a window by host, as one host may have a third of the pages: bounds from a sample of the keys cut the order
 into buckets, and the last and first page of each bucket, found by an aggregation, go to the neighbouring bucket as well.
 
-Defined results: null or empty pages have an empty text; pages with a null or odd URL have the empty host; pages of equal URLs are in
-order of page_id; a page alone on its host is judged by its markup; other columns stay, columns named text are replaced.
+Defined results: null or empty pages have an empty text; very long pages are read whole; pages with a null or odd URL have the empty host; pages of equal URLs are in
+order of page_id, and repeated rows are copies, each judged by the next page that differs; a page alone on its host is judged by its markup; an empty table gives an empty one; other columns stay, columns named text are replaced.
 """
 
 from __future__ import annotations
@@ -23,31 +24,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bound_batches, free_name
+from lodestone.llm.common import bound_batches, free_name, tasks_for
 from lodestone.llm.html_blocks import Line, common_lines, page_lines
-from lodestone.llm.neighbours import position
+from lodestone.llm.neighbours import position, rows_of_bucket, sampled_cuts
 
-BUCKET_PAGES, MOST_BUCKETS, SAMPLE = 500, 20_000, 40
+#: Pages of a bucket at least (beyond, see rows_of_bucket), and sampled keys for each.
+BUCKET_PAGES, SAMPLE = 500, 10
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
 
 
-def shared_lines(lines: list[Line], near: list[Line]) -> set[int] | None:
-    """Positions of the lines that the other page has too; None where it is a copy, with more than four fifths of the article, or of a page without one."""
-    shared = common_lines([x.text for x in lines], [x.text for x in near])
-    article = any(x.content for x in lines)
-    own = [k for k, x in enumerate(lines) if x.content or not article]
-    return None if sum(len(lines[k].text) for k in own if k in shared) > 0.8 * sum(len(lines[k].text) for k in own) else shared
+def open_lines(lines: list[Line]) -> list[int]:
+    """Positions of the lines that a neighbour may delete: those outside an article."""
+    return [k for k, x in enumerate(lines) if not x.content]
+
+
+def shared_lines(lines: list[Line], near: list[Line]) -> set[int]:
+    """Positions of the lines that the other page has too."""
+    return common_lines([x.text for x in lines], [x.text for x in near])
 
 
 def is_copy(lines: list[Line], near: list[Line]) -> bool:
-    """Whether near is a copy; not asked of pages with nothing open to deletion."""
-    return any(not x.content for x in lines) and shared_lines(lines, near) is None
+    """Whether near carries the same text: the whole article, or of a page without one more than it lacks. Not asked of pages with nothing open to deletion."""
+    if not open_lines(lines):
+        return False
+    shared = shared_lines(lines, near)
+    article = [k for k, x in enumerate(lines) if x.content]
+    if article:
+        return shared.issuperset(article)
+    return sum(len(x.text) * (1 if k in shared else -1) for k, x in enumerate(lines)) > 0
 
 
 def main_lines(lines: list[Line], near: list[Line] | None) -> list[str]:
     """The lines of a page that are its main text, given its neighbour's."""
-    gone = (shared_lines(lines, near) or set()) if near and any(not x.content for x in lines) else set()
-    return [x.text for k, x in enumerate(lines) if x.content or (k not in gone and x.linked <= 0.5)]
+    gone = shared_lines(lines, near) if near and open_lines(lines) and not is_copy(lines, near) else set()
+    return [x.text for k, x in enumerate(lines) if x.content or (k not in gone and x.linked < 1)]
 
 
 def _shared_start(a: str, b: str) -> int:
@@ -63,10 +73,7 @@ def ordered_buckets(pages: DataFrame, key: str, bucket: str, ghost: str) -> Data
     """pages with a bucket number that follows the order of key, and copies (ghost 1) of the pages on either side of each bucket."""
     keys = pages.select(key)
     total = keys.count()
-    n = max(1, min(MOST_BUCKETS, total // BUCKET_PAGES))
-    every = max(1, total // (SAMPLE * n))
-    sample = sorted({r[0] for r in keys.filter(F.pmod(F.xxhash64(key), F.lit(every)) == 0).collect()})  # about SAMPLE keys a bucket
-    cuts = sorted({sample[(i + 1) * len(sample) // n - 1] for i in range(n) if (i + 1) * len(sample) // n}) if sample else []
+    cuts = sampled_cuts(keys, key, total, rows_of_bucket(total, BUCKET_PAGES), SAMPLE) if total else []
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(""))
     at = position(bounds, len(cuts) + 1, F.col(key)) if cuts else F.lit(1)
     placed = pages.withColumn(bucket, at)
@@ -100,7 +107,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     keyed = pages.withColumn(host, F.lower(F.regexp_extract(address, _URL, 1))).withColumn(path, F.regexp_extract(address, _URL, 2))
     keyed = keyed.withColumn(key, F.concat_ws("\x01", host, path, F.lpad(F.coalesce(F.col(page_id).cast("string"), F.lit("")), 20, "0"), address))
     dealt = ordered_buckets(keyed, key, bucket, ghost).select(*names, page, host, path, key, bucket, ghost)
-    loaded = dealt.repartition(bucket).sortWithinPartitions(bucket, key, F.col(ghost))
+    loaded = dealt.repartition(tasks_for(pages), bucket).sortWithinPartitions(bucket, key, F.col(ghost))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
