@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.byte_model import ByteModel, byte_grams, counts, models
-from lodestone.llm.common import bound_batches, free_name, materialize, tasks_for
+from lodestone.llm.common import bound_batches, free_name, materialize, squeezed, tasks_for, unsqueezed
 from lodestone.llm.kneser_ney import POOLED
 
 SYMBOLS = b"#*$%&|<>"
@@ -96,12 +96,12 @@ def measure(docs: DataFrame, found: DataFrame, text: str = "text", lang: str = "
     kept = [*(f for f in docs.schema.fields if f.name != text), T.StructField(spare, T.IntegerType(), False)]
     new = COUNTS | {"base_failed": T.BooleanType()} | MEASURES
     parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / PART_CHARS)).cast("int")
-    # A row for each language: a small table, which Spark broadcasts if its size allows, and joins by language otherwise.
     plan = materialize(found.filter(F.col("group") != POOLED).select(F.col("group").alias("g"), parts.alias("parts"), F.col("keys").isNotNull().alias("own")), "plan")
     group = F.coalesce(F.nullif(F.col(f"`{lang}`").cast("string"), F.lit(POOLED)), F.lit(POOLED))
     rows = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in kept[:-1]], F.lit(0).alias(spare)).alias("row"), F.col(f"`{text}`").alias("text"), group.alias("g"), F.monotonically_increasing_id().alias("id"))
     rest = found.filter(F.col("group") == POOLED).select(parts.alias("p")).first()
-    known = rows.join(plan, "g", "left")
+    # A narrow row for each language, broadcast behind a check of their number.
+    known = rows.join(F.broadcast(plan) if plan.count() <= FEW_GROUPS else plan, "g", "left")
     own = F.coalesce("own", F.lit(False))
     # Parts of languages without a model of their own are numbered together, as parts of the common one.
     texts = known.select("row", "text", F.when(own, F.col("g")).otherwise(POOLED).alias("g"), F.pmod(F.col("id"), F.when(own, F.col("parts")).otherwise(rest["p"] if rest else 1)).cast("int").alias("part"))
@@ -110,6 +110,7 @@ def measure(docs: DataFrame, found: DataFrame, text: str = "text", lang: str = "
     places = numbered(plan.filter("own").select("g", "parts")).unionByName(numbered(found.filter(F.col("group") == POOLED).select(F.col("group").alias("g"), parts.alias("parts"))))
     mine = places.join(found.select(F.col("group").alias("g"), *arrays), "g").select("g", "part", F.lit(1).alias("kind"), *arrays)
     shared = places.crossJoin(found.filter(F.col("group") == POOLED).select(*arrays)).select("g", "part", F.lit(0).alias("kind"), *arrays)  # the one common model, for each part
+    texts = squeezed(texts, "text")
     both = texts.withColumn("kind", F.lit(2)).unionByName(mine.unionByName(shared), allowMissingColumns=True)
     dealt = both.repartition(tasks_for(docs, 24_000_000), "g", "part").sortWithinPartitions("g", "part", "kind")
     columns = ["g", "kind", "text", *arrays]
@@ -120,6 +121,7 @@ def measure(docs: DataFrame, found: DataFrame, text: str = "text", lang: str = "
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
                 g, kind, text = (part.column(c).to_pylist() for c in columns[:3])
+                text = unsqueezed(text)
                 low = 0
                 for k in range(len(kind) + 1):
                     if k == len(kind) or kind[k] < 2:
@@ -134,8 +136,10 @@ def measure(docs: DataFrame, found: DataFrame, text: str = "text", lang: str = "
                             model = ByteModel(*blobs)
 
     own_columns = ["row"] if drop_text else ["row", "text"]
+    spoken = [] if drop_text else ["text"]
 
     def judged(part: pa.RecordBatch, texts: list, group: list, model, common) -> pa.RecordBatch:
+        told = [pa.array(texts, pa.string()) for _ in spoken]
         texts = [t or "" for t in texts]
         base = [base_counts(t) for t in texts]
         found = [byte_grams(t) for t in texts]
@@ -151,13 +155,22 @@ def measure(docs: DataFrame, found: DataFrame, text: str = "text", lang: str = "
         columns = [pa.array([b[k] for b in base], pa.int64()) for k in range(5)]
         columns += [pa.array(failed, pa.bool_()), pa.array(group, pa.string()), pa.array(sizes, pa.int64()), pa.array(entropy), pa.array(pooled)]
         columns.append(pa.array([not f and is_reference(t) for f, t in zip(failed, texts, strict=True)], pa.bool_()))
-        return pa.RecordBatch.from_arrays([*(part.column(c) for c in own_columns), *columns], names=[*own_columns, *new])
+        return pa.RecordBatch.from_arrays([part.column("row"), *told, *columns], names=[*own_columns, *new])
 
     kinds = [T.StructField("row", T.StructType(kept)), T.StructField("text", T.StringType())][: len(own_columns)]
     return dealt.mapInArrow(run, T.StructType([*kinds, *(T.StructField(k, v) for k, v in new.items())]))
 
 
-def bands(measured: DataFrame) -> DataFrame:
+#: Groups up to which their bands, some 80 bytes each, are broadcast; more are joined by group.
+FEW_GROUPS = 50_000
+
+
+def by_group(rows: DataFrame, table: DataFrame, n_groups: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one narrow row for each model_group, of which there are n_groups at most: broadcast behind a check of their number, as a third of all rows may be of one group."""
+    return rows.join(F.broadcast(table) if n_groups <= FEW_GROUPS else table, "model_group", how)
+
+
+def bands(measured: DataFrame, n_groups: int = 1) -> DataFrame:
     """(model_group, middle, below, above, common_middle, common_above) from the reference documents: medians of the entropies, and of their deviations times the root of the length."""
     reference = measured.filter("reference").select("model_group", "n_scored", "entropy", "common")
     median = lambda c: F.percentile_approx(c, 0.5, 10_000)
@@ -165,8 +178,7 @@ def bands(measured: DataFrame) -> DataFrame:
     apart = lambda c, m: (F.col(c) - F.col(m)) * F.sqrt("n_scored")
     side = lambda x, sign: F.coalesce(median(F.when(sign * x > 0, sign * x)), F.lit(0.0))
     own, common = apart("entropy", "middle"), apart("common", "common_middle")
-    # A row for each language, joined as Spark finds best.
-    return reference.join(middle, "model_group").groupBy("model_group").agg(F.first("middle").alias("middle"), side(own, -1).alias("below"), side(own, 1).alias("above"), F.first("common_middle").alias("common_middle"), side(common, 1).alias("common_above"))
+    return by_group(reference, middle, n_groups).groupBy("model_group").agg(F.first("middle").alias("middle"), side(own, -1).alias("below"), side(own, 1).alias("above"), F.first("common_middle").alias("common_middle"), side(common, 1).alias("common_above"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = WIDTH, slack: float = SLACK, drop_text: bool = False, least_texts: int = 50) -> DataFrame:
@@ -176,8 +188,10 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", width
     bound_batches(docs.sparkSession)
     added = [*COUNTS, "base_failed", "entropy", "low", "high", "kept"]
     columns = [c for c in docs.columns if c not in added]
-    measured = materialize(measure(docs.select(*[f"`{c}`" for c in columns]), language_models(docs, text, lang, least_texts), text, lang, drop_text), "quality")
-    judged = measured.join(bands(measured), "model_group", "left")
+    found = language_models(docs, text, lang, least_texts)
+    measured = materialize(measure(docs.select(*[f"`{c}`" for c in columns]), found, text, lang, drop_text), "quality")
+    n_groups = found.select("group").count()
+    judged = by_group(measured, bands(measured, n_groups), n_groups, "left")
     reach = lambda side: F.lit(slack) + width * 1.4826 * F.col(side) / F.sqrt(F.greatest("n_scored", F.lit(1)))
     judged = judged.withColumn("low", F.col("middle") - reach("below")).withColumn("high", F.col("middle") + reach("above"))
     inside = (F.col("entropy") >= F.col("low")) & ((F.col("entropy") <= F.col("high")) | (F.col("common") <= F.col("common_middle") + reach("common_above")))
