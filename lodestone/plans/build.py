@@ -32,9 +32,11 @@ def build_index(files: DataFrame, manifests: DataFrame | None = None, gate_by_st
     keywords = R.module_keywords(files, symbols)
     routes, models = RT.routes(files), D.models(files)
     if gate_by_stack and versions is not None:
-        kinds = {r["kind"] for r in stack_of(files, versions).select("kind").distinct().collect()}
-        routes = routes if "framework" in kinds else routes.limit(0)
-        models = models if "orm" in kinds else models.limit(0)
+        # At most one row for each language and each entry of the fixed table. Server languages bring frameworks of their own.
+        stack = {(r["kind"], r["value"]) for r in stack_of(files, versions).collect()}
+        kinds = {k for k, _ in stack} | {"server" for k, v in stack if k == "language" and v not in ("typescript", "javascript")}
+        routes = routes if kinds & {"framework", "server"} else routes.limit(0)
+        models = models if kinds & {"orm", "server"} else models.limit(0)
     names = X.test_names(files)
     return {
         "files": files, "symbols": symbols, "imports": used, "edges": edges, "symbol_refs": X.symbol_refs(resolved), "ranks": ranks, "refs": refs, "complexity": complexity,

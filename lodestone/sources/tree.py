@@ -138,13 +138,45 @@ def scripts_of(manifests: DataFrame) -> DataFrame:
 
 
 def stack_of(files: DataFrame, versions: DataFrame) -> DataFrame:
-    """(kind, value): languages by extension; frameworks, ORM and test framework by dependency, the first of each kind's list."""
+    """(kind, value): languages by extension; frameworks, ORM and test framework by dependency, the first of each kind's list. Next.js is shown by its display name here; detect_stack gives the plain one."""
     languages = files.select(F.lit("language").alias("kind"), F.create_map(*[F.lit(x) for kv in rules.EXTENSION_LANGUAGE.items() for x in kv])[F.col("ext")].alias("value")).filter("value IS NOT NULL").distinct()
-    table = [(k, p, v, n) for k, items in {"framework": (("next", "Next.js"), ("express", "Express"), ("fastify", "Fastify"), ("react", "React"), ("vue", "Vue"), ("svelte", "Svelte")), "orm": (("@prisma/client", "prisma"), ("drizzle-orm", "drizzle"), ("typeorm", "typeorm")), "test": (("vitest", "vitest"), ("jest", "jest"), ("mocha", "mocha"))}.items() for n, (p, v) in enumerate(items)]
+    table = [(kind, name, "Next.js" if value == "next.js" else value, k) for k, (kind, names, value) in enumerate(rules.STACK_DEPENDENCIES) for name in names]
     known = files.sparkSession.createDataFrame(table, "kind string, name string, value string, priority int")
-    hit = versions.select("name").join(F.broadcast(known), "name")
+    hit = versions.select("name").join(F.broadcast(known), "name")  # the fixed table above
     single = hit.filter("kind != 'framework'").groupBy("kind").agg(F.min_by("value", "priority").alias("value"))
-    return languages.unionByName(hit.filter("kind = 'framework'").select("kind", "value")).unionByName(single)
+    return languages.unionByName(hit.filter("kind = 'framework'").select("kind", "value").distinct()).unionByName(single)
+
+
+def detect_stack(files: DataFrame) -> DataFrame:
+    """(kind, value, pos) of the project whose files (path, content) are given, paths from its root: language, framework, package_manager, orm, test and entry, in order.
+
+    One pass keeps a few texts and flags, whatever the size of the tree; no manifest, no row. A broken or null manifest counts as an empty one."""
+    path = F.col("path")
+    names = sorted({f for f, _ in (*rules.LOCK_FILES, *rules.LANGUAGE_MANIFESTS)} | {"main.go", "src/main.rs", "src/lib.rs"})
+    text = lambda p: F.coalesce(F.max(F.when(path == p, F.col("content"))), F.lit(""))
+    under = lambda d: F.coalesce(F.bool_or(path.startswith(d + "/")), F.lit(False))
+    seen = files.agg(F.collect_set(F.when(path.isin(*names), path)).alias("there"), text("package.json").alias("package"), text("pyproject.toml").alias("pyproject"), text("go.mod").alias("gomod"), under("src/app").alias("src_app"), under("app").alias("app"), under("cmd").alias("cmd"))
+    has = lambda *p: reduce(or_, [F.array_contains("there", x) for x in p])
+    keys = lambda field: F.coalesce(F.map_keys(F.from_json(F.get_json_object("package", f"$.{field}"), "map<string,string>")), F.array().cast("array<string>"))
+    deps = F.array_union(keys("dependencies"), keys("devDependencies"))
+    needs = lambda names_: has("package.json") & reduce(or_, [F.array_contains(deps, n) for n in names_])
+    words = {"pyproject.toml": F.col("pyproject"), "go.mod": F.col("gomod")}
+    one = lambda kind, value, when: F.when(when, F.struct(F.lit(kind).alias("kind"), value.alias("value")))
+    first = lambda kind, choices: one(kind, F.coalesce(*[F.when(c, v) for v, c in choices]), reduce(or_, [c for _, c in choices]))
+    kinds = lambda kind: [(F.lit(v), needs(n)) for k, n, v in rules.STACK_DEPENDENCIES if k == kind]
+    said = lambda kind: [(F.lit(v), words[f].contains(w)) for f, w, k, v in rules.STACK_WORDS if k == kind]
+    languages = list(dict.fromkeys(x for _, ls in rules.LANGUAGE_MANIFESTS for x in ls))
+    found = [one("language", F.lit(x), has(*[f for f, ls in rules.LANGUAGE_MANIFESTS if x in ls])) for x in languages]
+    found += [one("framework", v, c) for v, c in kinds("framework") + said("framework")]
+    found.append(one("package_manager", F.coalesce(*[F.when(has(f), m) for f, m in rules.LOCK_FILES], F.lit("npm")), has("package.json")))
+    # What a Python manifest names goes before the dependencies of a script project.
+    found += [first(kind, said(kind) + kinds(kind)) for kind in ("orm", "test")]
+    main = F.get_json_object("package", "$.main")
+    found.append(one("entry", F.when(F.col("src_app"), "src/app/layout.tsx").when(F.col("app"), "app/layout.tsx").otherwise("pages/index.tsx"), needs(("next",))))
+    found.append(one("entry", main, has("package.json") & (F.coalesce(main, F.lit("")) != "")))
+    found.append(one("entry", F.when(has("main.go"), "main.go").otherwise("cmd/"), has("go.mod") & (has("main.go") | F.col("cmd"))))
+    found.append(one("entry", F.when(has("src/main.rs"), "src/main.rs").otherwise("src/lib.rs"), has("Cargo.toml") & has("src/main.rs", "src/lib.rs")))
+    return seen.select(F.posexplode(F.array_compact(F.array(*found))).alias("pos", "x")).select("x.kind", "x.value", "pos")
 
 
 def installed_versions(declared: DataFrame, installed: DataFrame) -> DataFrame:
