@@ -118,15 +118,18 @@ def synth_symbols_by_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT concat('src/customer/c', c_custkey, '.ts') AS path, CAST(CASE WHEN c_custkey % 4 = 0 THEN 4 ELSE 4 END AS INTEGER) - 1 AS line, concat('f', c_custkey) AS name, 'function' AS kind, concat('f', c_custkey, '(id: number): string') AS signature FROM customer
-UNION ALL SELECT concat('src/nation/n', n_nationkey, '.ts'), 3, concat('n', n_nationkey), 'function', concat('n', n_nationkey, '(id: number): string') FROM nation""")
+UNION ALL SELECT concat('src/nation/n', n_nationkey, '.ts'), 3, concat('n', n_nationkey), 'function', concat('n', n_nationkey, '(id: number): string') FROM nation
+UNION ALL SELECT concat('src/supplier/s', s_suppkey, '.ts'), 2, concat('g', s_suppkey), 'function', concat('g', s_suppkey, '(id: number)') FROM supplier
+UNION ALL SELECT concat('src/region/r', r_regionkey, '/index.ts'), 1, concat('r', r_regionkey), 'function', concat('r', r_regionkey, '(id: number)') FROM region
+UNION ALL SELECT concat('src/region/r', r_regionkey, '/index.ts'), 2, 'other', 'variable', 'other' FROM region""")
 def synth_function_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    s = X.symbols(sources(spark, sf)).filter(F.col("path").rlike("^src/(customer|nation)/"))
-    return s.select("path", F.col("line").cast("int").alias("line"), "name", "kind", "signature")
+    return X.symbols(sources(spark, sf)).select("path", F.col("line").cast("int").alias("line"), "name", "kind", "signature")
 
 
-@query("SELECT concat('n', n_nationkey) AS name, concat('nation number ', n_nationkey) AS description FROM nation")
+@query("""SELECT concat('n', n_nationkey) AS name, concat('nation number ', n_nationkey) AS description FROM nation UNION ALL SELECT concat('f', c_custkey), NULL FROM customer
+UNION ALL SELECT concat('g', s_suppkey), NULL FROM supplier UNION ALL SELECT unnest([concat('r', r_regionkey), 'other']), NULL FROM region""")
 def synth_descriptions(spark: SparkSession, sf: str) -> DataFrame:
-    return X.symbols(sources(spark, sf)).filter(F.col("path").startswith("src/nation/")).select("name", "description")
+    return X.symbols(sources(spark, sf)).select("name", "description")
 
 
 @query("""SELECT concat('src/customer/c', c_custkey, '.ts') AS src, concat('src/nation/n', c_nationkey, '.ts') AS dst, CAST(1 AS BIGINT) AS weight FROM customer
@@ -138,11 +141,11 @@ def synth_import_edges(spark: SparkSession, sf: str) -> DataFrame:
     return X.import_edges(X.resolve_imports(files, X.imports(files))).select("src", "dst", "weight")
 
 
-@query("SELECT concat('n', n_nationkey) AS name, count(DISTINCT p) AS importers FROM (SELECT c_nationkey AS n_nationkey, concat('c', c_custkey) AS p FROM customer UNION ALL SELECT s_nationkey, concat('s', s_suppkey) FROM supplier) GROUP BY n_nationkey")
+@query("SELECT concat('n', n_nationkey) AS name, count(DISTINCT p) AS importers FROM (SELECT c_nationkey AS n_nationkey, concat('c', c_custkey) AS p FROM customer UNION ALL SELECT s_nationkey, concat('s', s_suppkey) FROM supplier) GROUP BY n_nationkey UNION ALL SELECT concat('r', n_regionkey), count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'other', count(*) FROM nation HAVING count(*) > 0")
 def synth_symbol_refs(spark: SparkSession, sf: str) -> DataFrame:
     files = sources(spark, sf)
     refs = X.symbol_refs(X.resolve_imports(files, X.imports(files)))
-    return refs.filter(F.col("def_path").startswith("src/nation/")).groupBy("name").agg(F.count_distinct("importer").alias("importers"))
+    return refs.groupBy("name").agg(F.count_distinct("importer").alias("importers"))
 
 
 @query("""SELECT name, import_count, is_private FROM (
@@ -180,29 +183,43 @@ def synth_route_filter(spark: SparkSession, sf: str) -> DataFrame:
     return RT.filter_routes(RT.routes(sources(spark, sf)), "post", "/C/4").select("file", "path", F.col("group").alias("grp"))
 
 
-@query("""SELECT concat('src/customer/c', c_custkey, '.ts') AS path, CAST(1 AS BIGINT) AS fan_out, CAST(CASE WHEN c_custkey % 6 = 0 THEN 3 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS branch_count,
-  floor(least(10.0, 1 / 3.0::DOUBLE + least(CASE WHEN c_custkey % 6 = 0 THEN 3 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END / 15.0::DOUBLE, 2.0) + (8 + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END) / 200.0::DOUBLE + 0.1::DOUBLE) * 10 + 0.5) / 10 AS score
-FROM customer""")
+_FAN_IN = """SELECT concat('src/nation/n', c_nationkey, '.ts') AS path, count(*) AS fan_in FROM (SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY 1
+UNION ALL SELECT concat('src/region/r', n_regionkey, '/index.ts'), count(*) FROM nation GROUP BY 1"""
+
+
+@query(f"""WITH f AS (SELECT concat('src/customer/c', c_custkey, '.ts') AS path, 1 AS fan_out, CASE WHEN c_custkey % 6 = 0 THEN 3 WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS branch_count,
+    8 + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 10 = 0 THEN 1 ELSE 0 END AS lines, 1 AS symbols FROM customer
+  UNION ALL SELECT concat('src/customer/c', c_custkey, '.test.ts'), 0, 0, 4, 0 FROM customer WHERE c_custkey % 5 = 0
+  UNION ALL SELECT concat('src/supplier/s', s_suppkey, '.ts'), 1, 0, 3, 1 FROM supplier UNION ALL SELECT concat('src/nation/n', n_nationkey, '.ts'), 1, 0, 6, 1 FROM nation
+  UNION ALL SELECT concat('src/region/r', r_regionkey, '/index.ts'), 0, 0, 3, 2 FROM region), i AS ({_FAN_IN})
+SELECT f.path, CAST(fan_out AS BIGINT) AS fan_out, coalesce(fan_in, 0) AS fan_in, CAST(branch_count AS BIGINT) AS branch_count,
+  floor(least(10.0::DOUBLE, fan_out / 3.0::DOUBLE + least(coalesce(fan_in, 0) / 3.0::DOUBLE, 3.0) + branch_count / 15.0::DOUBLE + lines / 200.0::DOUBLE + symbols / 10.0::DOUBLE) * 10 + 0.5) / 10 AS score
+FROM f LEFT JOIN i ON i.path = f.path""")
 def synth_complexity(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter(F.col("path").startswith("src/customer/") & ~S.is_test_file(F.col("path")))
+    files = sources(spark, sf)
     used = X.imports(files)
+    edges = X.import_edges(X.resolve_imports(files, used))
     n = X.symbols(files).groupBy("path").agg(F.count("*").alias("symbol_count"))
-    none = files.select("path", F.lit(0).alias("fan_in"))
-    return X.complexity(files, none, n, used).select("path", "fan_out", "branch_count", "score")
+    fan_in = G.ref_counts(files.select(F.col("path").alias("id")), edges).select(F.col("id").alias("path"), F.col("refs").alias("fan_in"))
+    return X.complexity(files, fan_in, n, used).select("path", "fan_out", "fan_in", "branch_count", "score")
 
 
-@query("SELECT concat('f', c_custkey) AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('n', c_nationkey) ELSE '' END AS calls, CASE WHEN c_custkey % 6 = 0 THEN 'CaseError' ELSE '' END AS throws FROM customer")
+@query("""SELECT concat('f', c_custkey) AS name, CASE WHEN c_custkey % 3 = 0 THEN concat('n', c_nationkey) ELSE '' END AS calls, CASE WHEN c_custkey % 6 = 0 THEN 'CaseError' ELSE '' END AS throws FROM customer
+UNION ALL SELECT concat('g', s_suppkey), concat('n', s_nationkey), '' FROM supplier UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), '' FROM nation
+UNION ALL SELECT unnest([concat('r', r_regionkey), 'other']), '', '' FROM region""")
 def synth_calls_and_throws(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter(F.col("path").startswith("src/customer/") & ~S.is_test_file(F.col("path")))
+    files = sources(spark, sf)
     return X.bodies(files, X.symbols(files), X.imports(files)).select("name", F.array_join("calls", ",").alias("calls"), F.array_join("throws", ",").alias("throws"))
 
 
-@query("""SELECT concat('src/customer/c', c_custkey, '.ts') AS source, concat('src/customer/c', c_custkey, '.test.ts') AS test, CAST(24 AS BIGINT) AS score, CAST(1 AS DOUBLE) AS confidence, concat('handles ', c_custkey) AS names FROM customer WHERE c_custkey % 5 = 0""")
+@query("""WITH s AS (SELECT c_custkey AS k FROM customer), t AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 = 0), c AS (
+  SELECT concat('src/customer/c', s.k, '.ts') AS source, concat('src/customer/c', t.k, '.test.ts') AS test, CAST(CASE WHEN s.k = t.k THEN 24 ELSE 2 END AS BIGINT) AS score, t.k FROM s, t
+  WHERE contains(concat('c', t.k), concat('c', s.k)) OR contains(concat('c', s.k), concat('c', t.k)))
+SELECT source, test, score, least(score / 10.0::DOUBLE, 1.0::DOUBLE) AS confidence, concat('handles ', k) AS names FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, test) = 1""")
 def synth_test_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """Sources with a test of their own."""
+    """The best test of each source, its own or one of a kindred name."""
     files = sources(spark, sf)
-    found = M.test_mapping(files.select("path"), X.test_names(files))
-    return found.filter("score >= 10").select("source", "test", "score", "confidence", F.array_join("test_names", ",").alias("names"))
+    return M.test_mapping(files.select("path"), X.test_names(files)).select("source", "test", "score", "confidence", F.array_join("test_names", ",").alias("names"))
 
 
 @query("""WITH s AS (SELECT c_custkey AS k FROM customer), t AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 = 0)
@@ -210,8 +227,7 @@ SELECT concat('src/customer/c', s.k, '.ts') AS source, concat('src/customer/c',
 WHERE contains(concat('c', t.k), concat('c', s.k)) OR contains(concat('c', s.k), concat('c', t.k))""")
 def synth_test_candidates(spark: SparkSession, sf: str) -> DataFrame:
     paths = sources(spark, sf).select("path")
-    customers = paths.filter(F.col("path").startswith("src/customer/"))
-    return M.test_candidates(customers.filter(~S.is_test_file(F.col("path"))), customers.filter(S.is_test_file(F.col("path"))))
+    return M.test_candidates(paths.filter(~S.is_test_file(F.col("path"))), paths.filter(S.is_test_file(F.col("path"))))
 
 
 @query("SELECT concat('src/customer/c', c_custkey, '.test.ts') AS path, concat('handles ', c_custkey) AS test, concat('  expect(f', c_custkey, '(1)).toBe(\"x\");') AS text FROM customer WHERE c_custkey % 5 = 0")
@@ -219,20 +235,25 @@ def synth_test_assertions(spark: SparkSession, sf: str) -> DataFrame:
     return X.test_assertions(sources(spark, sf)).select("path", "test", "text")
 
 
-@query("""SELECT concat('src/customer/c', c_custkey, '.ts') AS path, 4 AS line, concat('if (id > ', c_nationkey, ') { return n', c_nationkey, '(id); }') AS context FROM (SELECT * FROM customer WHERE c_nationkey = 3 AND c_custkey % 3 = 0 ORDER BY concat('src/customer/c', c_custkey, '.ts') LIMIT 100000)
-QUALIFY row_number() OVER (ORDER BY path) <= 20 - (SELECT least(20, count(*)) FROM supplier WHERE s_nationkey = 3 AND false)""")
+@query("""WITH u AS (SELECT concat('src/customer/c', c_custkey, '.ts') AS path, 4 AS line, concat('if (id > ', c_nationkey, ') { return n', c_nationkey, '(id); }') AS context FROM customer WHERE c_nationkey = 3 AND c_custkey % 3 = 0
+  UNION ALL SELECT concat('src/supplier/s', s_suppkey, '.ts'), 1, 'const { n3 } = require("../nation/n3");' FROM supplier WHERE s_nationkey = 3
+  UNION ALL SELECT concat('src/supplier/s', s_suppkey, '.ts'), 2, concat('export const g', s_suppkey, ' = (id: number) => n3(id);') FROM supplier WHERE s_nationkey = 3)
+SELECT * FROM u WHERE path IN (SELECT DISTINCT path FROM u ORDER BY path LIMIT 20)""")
 def synth_usages(spark: SparkSession, sf: str) -> DataFrame:
-    """Usages of n3 in customer files: the first 20 files, as the report shows."""
-    files = sources(spark, sf).filter(~F.col("path").startswith("src/supplier/"))
+    """Usages of n3: the first 20 files, as the report shows."""
+    files = sources(spark, sf)
     used = X.resolve_imports(files, X.imports(files))
     return M.usages(files, X.symbols(files), X.symbol_refs(used), "n3")
 
 
-@query("""SELECT concat('src/nation/n', c_nationkey, '.ts') AS def_path, concat('src/customer/c', c_custkey, '.ts') AS importer, 4 AS line FROM (
-  SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY p) AS k FROM (SELECT c_nationkey, c_custkey, concat('src/customer/c', c_custkey, '.ts') AS p FROM customer)) WHERE k <= 3 AND c_custkey % 3 = 0""")
+@query("""WITH r AS (SELECT concat('src/nation/n', c_nationkey, '.ts') AS def_path, concat('src/customer/c', c_custkey, '.ts') AS importer, CASE WHEN c_custkey % 3 = 0 THEN 4 END AS line FROM customer
+  UNION ALL SELECT concat('src/nation/n', s_nationkey, '.ts'), concat('src/supplier/s', s_suppkey, '.ts'), 1 FROM supplier
+  UNION ALL SELECT concat('src/region/r', n_regionkey, '/index.ts'), concat('src/nation/n', n_nationkey, '.ts'), 4 FROM nation)
+SELECT def_path, importer, line FROM r QUALIFY row_number() OVER (PARTITION BY def_path ORDER BY importer) <= 3 AND line IS NOT NULL""")
 def synth_caller_context(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter(~F.col("path").startswith("src/supplier/"))
-    refs = X.symbol_refs(X.resolve_imports(files, X.imports(files))).filter(F.col("def_path").startswith("src/nation/"))
+    """Callers of every symbol; the second export of a region is imported but never used, so it has no line."""
+    files = sources(spark, sf)
+    refs = X.symbol_refs(X.resolve_imports(files, X.imports(files)))
     return M.caller_context(files, refs).select("def_path", "importer", F.col("line").cast("int").alias("line"))
 
 
@@ -342,9 +363,12 @@ def page_href_edges(spark: SparkSession, sf: str) -> DataFrame:
     return links.groupBy("host").agg(F.count_distinct("href").alias("targets"))
 
 
-@query("""SELECT concat('src/customer/c', c_custkey, '.ts') AS id, CAST(2 AS DOUBLE) AS weight FROM customer UNION ALL SELECT concat('src/region/r', r_regionkey, '/index.ts'), 3 + CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) >= 3) THEN 1 ELSE 0 END + CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) >= 10) THEN 1 ELSE 0 END FROM region""")
+@query(f"""WITH i AS ({_FAN_IN}), n AS (SELECT concat('src/nation/n', n_nationkey, '.ts') AS id, CASE WHEN coalesce(fan_in, 0) = 0 THEN 2 ELSE 0 END AS w, coalesce(fan_in, 0) AS f FROM nation LEFT JOIN i ON i.path = concat('src/nation/n', n_nationkey, '.ts')
+  UNION ALL SELECT concat('src/region/r', r_regionkey, '/index.ts'), 3, coalesce(fan_in, 0) FROM region LEFT JOIN i ON i.path = concat('src/region/r', r_regionkey, '/index.ts'))
+SELECT concat('src/customer/c', c_custkey, '.ts') AS id, CAST(2 AS DOUBLE) AS weight FROM customer UNION ALL SELECT concat('src/supplier/s', s_suppkey, '.ts'), 2 FROM supplier
+UNION ALL SELECT id, w + CASE WHEN f >= 3 THEN 1 ELSE 0 END + CASE WHEN f >= 10 THEN 1 ELSE 0 END FROM n WHERE w > 0 OR f >= 3""")
 def synth_entry_seeds(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter(F.col("path").startswith("src/customer/") & ~S.is_test_file(F.col("path")) | F.col("path").startswith("src/region/") | F.col("path").startswith("src/nation/"))
+    files = sources(spark, sf)
     resolved = X.resolve_imports(files, X.imports(files))
     edges = X.import_edges(resolved)
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count_distinct("dst").alias("out_edges"))
@@ -352,7 +376,7 @@ def synth_entry_seeds(spark: SparkSession, sf: str) -> DataFrame:
     own = X.symbols(files).groupBy(F.col("path").alias("id")).agg(F.count_if("exported").alias("exported"))
     nodes = files.select(F.col("path").alias("id"))
     wide = G.ref_counts(nodes, edges).withColumnRenamed("refs", "in_edges").join(out, "id", "left").join(callers, "id", "left").join(own, "id", "left").fillna(0)
-    return G.entry_seeds(wide).filter(~F.col("id").startswith("src/nation/"))
+    return G.entry_seeds(wide)
 
 
 # Ranking
@@ -420,7 +444,7 @@ def context_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT path, score FROM (SELECT concat('src/customer/c', c_custkey, '.ts') AS path, CAST(CASE WHEN contains(concat('f', c_custkey), 'f12') THEN 2 ELSE 0 END + 2 + 1 AS BIGINT) AS score FROM customer
 UNION ALL SELECT concat('src/customer/c', c_custkey, '.test.ts'), 1 FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT concat('src/nation/n', n_nationkey, '.ts'), 2 FROM nation UNION ALL SELECT concat('src/supplier/s', s_suppkey, '.ts'), 2 FROM supplier UNION ALL SELECT concat('src/region/r', r_regionkey, '/index.ts'), 2 FROM region) ORDER BY score DESC, path LIMIT 8""")
 def issue_candidates_top8(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter(~F.col("path").startswith("src/none"))
+    files = sources(spark, sf)
     return R.issue_candidates(X.symbols(files), files, R.terms_of(spark, "The f12 number on customer", "issue"))
 
 
@@ -644,17 +668,20 @@ def route_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT dir, keyword FROM (SELECT 'src/customer' AS dir, unnest(['customer', concat('c', c_custkey), concat('f', c_custkey)]) AS keyword FROM customer WHERE true)
-WHERE length(keyword) > 3 OR starts_with(keyword, 'c') GROUP BY dir, keyword""")
+WHERE length(keyword) > 3 OR starts_with(keyword, 'c') GROUP BY dir, keyword
+UNION SELECT 'src/supplier', k FROM (SELECT unnest(['supplier', concat('s', s_suppkey), concat('g', s_suppkey)]) AS k FROM supplier) WHERE length(k) > 3 OR starts_with(k, 's')
+UNION SELECT 'src/nation', unnest(['nation', concat('n', n_nationkey)]) FROM nation UNION SELECT concat('src/region/r', r_regionkey), unnest(['region', 'other']) FROM region""")
 def synth_module_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter(F.col("path").startswith("src/customer/"))
+    files = sources(spark, sf)
     return R.module_keywords(files, X.symbols(files))
 
 
-@query("SELECT dir, files, complexity FROM (SELECT 'src/nation' AS dir, count(*) AS files, floor((1 / 3.0::DOUBLE + 6 / 200.0::DOUBLE + 0.1::DOUBLE) * 10 + 0.5) / 10 AS complexity FROM nation)")
+@query(f"SELECT regexp_extract(path, '^(.*)/', 1) AS dir, count(*) AS files, floor(avg(score) * 10 + 0.5) / 10 AS complexity FROM ({_SQL['synth_complexity']}) GROUP BY 1")
 def synth_modules(spark: SparkSession, sf: str) -> DataFrame:
-    files = sources(spark, sf).filter(F.col("path").startswith("src/nation/"))
-    declared, none = X.symbols(files), files.select("path", F.lit(0).alias("fan_in"))
-    cx = X.complexity(files, none, declared.groupBy("path").agg(F.count("*").alias("symbol_count")), X.imports(files))
+    files = sources(spark, sf)
+    used, declared = X.imports(files), X.symbols(files)
+    fan_in = G.ref_counts(files.select(F.col("path").alias("id")), X.import_edges(X.resolve_imports(files, used))).select(F.col("id").alias("path"), F.col("refs").alias("fan_in"))
+    cx = X.complexity(files, fan_in, declared.groupBy("path").agg(F.count("*").alias("symbol_count")), used)
     return R.modules(files, R.module_keywords(files, declared), cx).select("dir", F.size("files").cast("long").alias("files"), "complexity")
 
 
