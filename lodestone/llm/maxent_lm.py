@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,24 +97,31 @@ class WordCodes(dict):
 
 
 class Lexicon:
-    """The frequent words with their counts, classes and features. words: as `short` has them; whole: the word's class and features come with it, as they can't be told from a digest."""
+    """The frequent words, as `short` has them, with their counts, classes and features: arrays, so the driver holds no object for each word."""
 
-    def __init__(self, words: list[bytes], counts: list[int], buckets: list[int] | None = None, features: list[tuple[int, int]] | None = None):
-        self.words, self.counts, self.stamp = words, np.array(counts, np.int64), uuid.uuid4().hex
-        self.classes = np.array([k if k < SINGLE else buckets[k] if buckets else bucket_class(w) for k, w in enumerate(words)], np.int64)
-        given = features or [hashed_features(w) for w in words]
-        self.first = np.array([k if k < FIRST else x for k, (x, _) in enumerate(given)], np.int64)
-        self.second = np.array([k if k < SECOND else x for k, (_, x) in enumerate(given)], np.int64)
+    def __init__(self, words: pa.Array, counts: np.ndarray, buckets: np.ndarray, hashes: np.ndarray):
+        self.words, self.counts, self.stamp = words, counts.astype(np.int64), uuid.uuid4().hex
+        place = np.arange(len(words))
+        self.classes = np.where(place < SINGLE, place, buckets)
+        self.first = np.where(place < FIRST, place, FIRST + hashes % (BEFORE - FIRST))
+        self.second = np.where(place < SECOND, place, SECOND + (hashes >> 16) % (SKIPS - SECOND))
 
     def end(self) -> tuple[int, int]:
         """The features of the end token, which stands before each text."""
-        return next(((int(a), int(b)) for w, a, b in zip(self.words, self.first, self.second, strict=True) if w == END), hashed_features(END))
+        at = pc.index(self.words, END).as_py()
+        return (int(self.first[at]), int(self.second[at])) if at >= 0 else hashed_features(END)
 
 
 def word_codes(shared) -> tuple[Lexicon, WordCodes]:
     """One table for each worker process and lexicon."""
     lexicon = shared.value
-    return worker_cached(("lexicon", lexicon.stamp), lambda: (lexicon, WordCodes(lexicon.words)))
+    return worker_cached(("lexicon", lexicon.stamp), lambda: (lexicon, WordCodes(lexicon.words.to_pylist())))
+
+
+def scorer(shared, model) -> tuple[Lexicon, WordCodes, np.ndarray]:
+    """One table for each worker process and model, with the scores of all contexts."""
+    lexicon = shared.value
+    return worker_cached(("scorer", lexicon.stamp), lambda: (lexicon, WordCodes(lexicon.words.to_pylist()), score_table(model.value[0])))
 
 
 def coded(texts: list[str | None], lexicon: Lexicon, codes: WordCodes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,11 +245,11 @@ def train(rows: DataFrame, updates: int = 12, rate: float = 0.3, ridge: float =
     two = rows.groupBy(F.floor(F.col("ctx") / SKIPS).cast("int").alias("before"), "class").agg(F.sum("n").alias("n")).toArrow()  # BEFORE * CLASSES rows at most
     by = np.zeros((BEFORE, CLASSES))
     by[two.column("before").to_numpy(), two.column("class").to_numpy()] = two.column("n").to_numpy()
-    weights = first_weights(by)
+    weights = {k: w.astype(np.float32) for k, w in first_weights(by).items()}
     scale = {k: np.full_like(w, 1e-8) for k, w in weights.items()}
     arrays = materialize(packed(rows), "arrays")  # read in each update: bytes cost less than rows
     for _ in range(updates):
-        shared = spark.sparkContext.broadcast({k: w.astype(np.float32) for k, w in weights.items()})  # of fixed size
+        shared = spark.sparkContext.broadcast(weights)  # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -253,22 +261,29 @@ def train(rows: DataFrame, updates: int = 12, rate: float = 0.3, ridge: float =
                         used = np.flatnonzero(w.any(axis=1))
                         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([used.astype("<i4").tobytes()]), pa.array([w[used].astype("<f4").tobytes()]), pa.array([fit * (k == 0)], pa.float64())], names=["name", "used", "g", "fit"])
 
-        got = arrays.mapInArrow(run, "name string, used binary, g binary, fit double").collect()  # TRAINERS parts of one gradient
-        if not got:
+        got = arrays.mapInArrow(run, "name string, used binary, g binary, fit double").toArrow()  # parts of one gradient
+        if not got.num_rows:
             break
+        got = got.sort_by([("name", "ascending"), ("used", "ascending"), ("g", "ascending")])  # sums don't depend on the order of tasks
         for name, w in weights.items():
-            step = np.zeros((w.size // CLASSES, CLASSES))
-            for r in sorted((r for r in got if r["name"] == name), key=lambda r: (r["used"], r["g"])):
-                step[np.frombuffer(r["used"], "<i4")] += np.frombuffer(r["g"], "<f4").reshape(-1, CLASSES)
-            step = step.reshape(w.shape) - ridge * w * (name != "bias")
-            scale[name] += step**2
-            weights[name] = w + rate * step / np.sqrt(scale[name])
+            step = np.zeros((w.size // CLASSES, CLASSES), np.float32)
+            own = got.filter(pc.field("name") == name)
+            for used, g in zip(own.column("used"), own.column("g"), strict=True):
+                step[np.frombuffer(used.as_buffer(), "<i4")] += np.frombuffer(g.as_buffer(), "<f4").reshape(-1, CLASSES)
+            step = step.reshape(w.shape)
+            for low in range(0, len(w), 1024):  # in slices and in place
+                at = slice(low, low + 1024)
+                move = step[at] - ridge * w[at] * (name != "bias")
+                scale[name][at] += move**2
+                w[at] += rate * move / np.sqrt(scale[name][at])
+        del got
         shared.destroy()
     return weights
 
 
 def score_table(weights: dict[str, np.ndarray]) -> np.ndarray:
     """log10 probabilities of the classes in all contexts."""
+    weights = weights | {"bias": weights["bias"].astype(np.float64)}  # sums are of this type then
     out = np.empty((BEFORE * SKIPS, CLASSES), np.float32)
     for low in range(0, len(out), 2048):
         out[low : low + 2048] = log_softmax(weights, np.arange(low, low + 2048)) / np.log(10)
@@ -283,9 +298,7 @@ def frequent_words(counts: DataFrame) -> Lexicon:
     bucket = (F.crc32(F.encode(last, "UTF-8")) % (CLASSES - SINGLE) + SINGLE).cast("int")
     key = F.when(long_, F.concat(F.unhex(F.lit("00")), F.unhex(F.md5("word")))).otherwise(F.col("word"))
     rows = top.select(key.alias("key"), "c", bucket.alias("bucket"), F.crc32("word").alias("h"), F.monotonically_increasing_id().alias("k")).orderBy(F.desc("c"), "k").toArrow()
-    h = rows.column("h").to_numpy()
-    features = list(zip((FIRST + h % (BEFORE - FIRST)).tolist(), (SECOND + (h >> 16) % (SKIPS - SECOND)).tolist(), strict=True))
-    return Lexicon(rows.column("key").to_pylist(), rows.column("c").to_pylist(), rows.column("bucket").to_pylist(), features)
+    return Lexicon(rows.column("key").combine_chunks(), *(rows.column(k).to_numpy() for k in ("c", "bucket", "h")))
 
 
 def score_texts(docs: DataFrame, learn_from: str, text: str = "text") -> DataFrame:
@@ -303,20 +316,21 @@ def score_texts(docs: DataFrame, learn_from: str, text: str = "text") -> DataFra
     # The same classes in SQL: the most frequent words by place, all others by their last two characters.
     bucket = (F.crc32(F.encode(F.right(F.decode("word", "UTF-8"), F.lit(2)), "UTF-8")) % (CLASSES - SINGLE) + SINGLE).cast("int")
     class_ = bucket
-    for k, w in enumerate(lexicon.words[:SINGLE]):
+    for k, w in enumerate(lexicon.words[:SINGLE].to_pylist()):
         same = F.concat(F.unhex(F.lit("00")), F.unhex(F.md5("word"))) == F.lit(w) if w[:1] == b"\x00" and len(w) == 17 else F.col("word") == F.lit(w)
         class_ = F.when(same, k).otherwise(class_)
     sums = {r["k"]: (r["c"], r["v"]) for r in counts.groupBy(class_.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
     n, v = sum(c for c, _ in sums.values()), sum(v for _, v in sums.values())
     within = np.array([np.log10(sums.get(k, (0, 0))[0] + sums.get(k, (0, 0))[1] + 1) for k in range(CLASSES)])
-    model = spark.sparkContext.broadcast((score_table(train(class_counts(training, text, shared))), within))  # of fixed size
+    model = spark.sparkContext.broadcast((train(class_counts(training, text, shared)), within))  # of fixed size; workers make the table of scores
+    release_memory()
     kept = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in kept]
     added = {"n_tokens": T.LongType(), known: T.LongType(), counted: T.DoubleType(), classed: T.DoubleType(), others: T.ArrayType(T.BinaryType())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, codes = word_codes(shared)
-        table, within = model.value
+        lexicon, codes, table = scorer(shared, model)
+        within = model.value[1]
         logc = np.log10(np.append(lexicon.counts, 0) + 1.0)
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
