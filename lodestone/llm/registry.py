@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.best_fit_packing import pack, token_pieces
 from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, read_loss, records_of
-from lodestone.llm.common import table, text_of
+from lodestone.llm.common import lower_ascii, table, text_of
 from lodestone.llm.fingerprints import as_text, likeness, with_vectors
 from lodestone.llm.maxent_lm import score_texts
+from lodestone.llm.merkle_manifest import as_hex, fold_proof, leaf_hash, merkle_manifest, siblings
 from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.neighbours import with_next
 from lodestone.llm.page_text import main_text
@@ -152,9 +153,68 @@ FROM d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.d
 """
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents").select(*fields)
+    changed = F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(3)) == 0, F.lit(False))
+    # The digest of what is there at the time of verification, where it may differ from the leaf.
+    found = F.when(changed, leaf_hash(*[lower_ascii(F.col(f)) if f == "text" else F.col(f) for f in fields]))
+    proven = merkle_manifest(docs, fields, "lang", "doc_id", {"doc_id": F.col("doc_id"), "found": found})
+    folded = fold_proof(F.coalesce("found", "leaf"), F.col("proof"))
+    shown = proven.select("doc_id", *[as_hex(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")], F.sha2(as_hex(siblings(F.col("proof"))), 256).alias("proof_sha256"), as_hex(folded).alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: CRC-32 of a column's UTF-8 bytes, by the table of its 256 single-byte remainders.
+CRC_TABLE_SQL = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t"
+
+
+def crc_sql(text: str) -> str:
+    """SQL of the CRC-32 of an ASCII text; t is the table of CRC_TABLE_SQL."""
+    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT))"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE crc AS MATERIALIZED ({CRC_TABLE_SQL}),
+d AS (
+  SELECT doc_id, text, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+    coalesce('=' || lang, '') AS g, coalesce({crc_sql("doc_id::VARCHAR")} % 3 = 0, false) AS changed
+  FROM documents, crc
+), hashed AS (
+  SELECT doc_id, g, changed, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered
+  FROM d
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed
+), low AS (
+  SELECT 0 AS lv, g, i, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lv + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY lv, g, n, i // 8
+), subroots AS MATERIALIZED (
+  SELECT g, digest AS subroot, row_number() OVER (ORDER BY g) - 1 AS gi, count(*) OVER () AS gn FROM low WHERE n = 1
+), high AS (
+  SELECT 100 AS lv, gi AS i, gn AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT lv + 1, i // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lv, n, i // 8
+), nodes AS MATERIALIZED (
+  SELECT lv, g, i, n, digest FROM low UNION ALL SELECT high.lv, subroots.g, high.i, high.n, high.digest FROM high, subroots
+), path AS (
+  SELECT l.g, l.i AS id, 0 AS lv, l.i, l.n, CASE WHEN changed THEN lowered ELSE leaf END AS own, '' AS proof FROM leaves l
+  UNION ALL
+  SELECT p.g, p.id, CASE WHEN p.n > 1 THEN p.lv + 1 ELSE 100 END, CASE WHEN p.n > 1 THEN p.i // 8 ELSE any_value(s.gi) END, CASE WHEN p.n > 1 THEN (p.n + 7) // 8 ELSE any_value(s.gn) END,
+    CASE WHEN p.n > 1 THEN sha256(string_agg(CASE WHEN x.i = p.i THEN p.own ELSE x.digest END, '' ORDER BY x.i)) ELSE p.own END,
+    CASE WHEN p.n > 1 THEN p.proof || coalesce(string_agg(CASE WHEN x.i <> p.i THEN x.digest END, '' ORDER BY x.i), '') ELSE p.proof END
+  FROM path p JOIN subroots s ON s.g = p.g JOIN nodes x ON x.g = p.g AND x.lv = p.lv AND x.i // 8 = p.i // 8
+  WHERE p.n > 1 OR p.lv < 100 GROUP BY p.g, p.id, p.lv, p.i, p.n, p.own, p.proof
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.digest AS root, sha256(p.proof) AS proof_sha256, p.own AS folded_root, p.own = r.digest AS verified
+FROM leaves l JOIN path p ON p.g = l.g AND p.id = l.i AND p.lv >= 100 AND p.n = 1 JOIN subroots s ON s.g = l.g JOIN high r ON r.n = 1
+"""
+
+
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash, "op10_lm_scores": op10_lm_scores}
+    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash, "op10_lm_scores": op10_lm_scores, "op13_manifest": op13_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL, "op9_minhash": OP9_SQL}
+    return {"op7_chat": OP7_SQL, "op9_minhash": OP9_SQL, "op13_manifest": OP13_SQL}
