@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.best_fit_packing import pack, token_pieces
 from lodestone.llm.chat_format import canonical_turns, format_chat, read_chat, read_loss, records_of
 from lodestone.llm.common import lower_ascii, table, text_of
+from lodestone.llm.conversation_repair import COUNTS as REPAIR_COUNTS
+from lodestone.llm.conversation_repair import damage, repair_conversations
 from lodestone.llm.fingerprints import as_text, likeness, with_vectors
 from lodestone.llm.maxent_lm import score_texts
 from lodestone.llm.merkle_manifest import as_hex, fold_proof, leaf_hash, merkle_manifest, siblings
@@ -153,6 +155,10 @@ FROM d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.d
 """
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations"))).select("conv_id", *REPAIR_COUNTS, "audit", "repaired_sha256")
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     docs = table(spark, sf_dir, "documents").select(*fields)
@@ -213,7 +219,7 @@ FROM leaves l JOIN path p ON p.g = l.g AND p.id = l.i AND p.lv >= 100 AND p.n =
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash, "op10_lm_scores": op10_lm_scores, "op13_manifest": op13_manifest}
+    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash, "op10_lm_scores": op10_lm_scores, "op12_repair": op12_repair, "op13_manifest": op13_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
