@@ -17,6 +17,7 @@ from lodestone.llm.merkle_manifest import as_hex, fold_proof, leaf_hash, merkle_
 from lodestone.llm.minhash_dedup import near_duplicates
 from lodestone.llm.neighbours import with_next
 from lodestone.llm.page_text import main_text
+from lodestone.llm.quality_classifier import quality
 from lodestone.llm.quality_rules import COUNTS, quality_rules
 from lodestone.llm.sentencepiece_codec import encode_decode
 from lodestone.llm.shuffle_shards import shuffle_shards
@@ -155,6 +156,14 @@ FROM d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.d
 """
 
 
+def op11_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", held_out(4).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    labelled = docs.filter(~F.col("held_out")).join(labels, "doc_id").select("doc_id", "text", F.col("n_chars").alias("recorded"), "label")
+    scored = quality(docs, labelled)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damage(table(spark, sf_dir, "conversations"))).select("conv_id", *REPAIR_COUNTS, "audit", "repaired_sha256")
 
@@ -219,7 +228,7 @@ FROM leaves l JOIN path p ON p.g = l.g AND p.id = l.i AND p.lv >= 100 AND p.n =
 
 
 def queries() -> dict:
-    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash, "op10_lm_scores": op10_lm_scores, "op12_repair": op12_repair, "op13_manifest": op13_manifest}
+    return {"op1_toxicity": op1_toxicity, "op2_sentencepiece": op2_sentencepiece, "op3_shards": op3_shards, "op4_packing": op4_packing, "op5_fingerprints": op5_fingerprints, "op6_quality": op6_quality, "op7_chat": op7_chat, "op8_main_text": op8_main_text, "op9_minhash": op9_minhash, "op10_lm_scores": op10_lm_scores, "op11_quality_scores": op11_quality_scores, "op12_repair": op12_repair, "op13_manifest": op13_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
