@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
 
-RANK = 8
+RANK = 4
 #: Tasks that share the gradient of one update.
 TRAINERS = 8
 
@@ -78,16 +78,15 @@ def packed(rows: DataFrame) -> DataFrame:
     return dealt.select("label", "features", "values").mapInArrow(run, "labels binary, lengths binary, features binary, values binary")
 
 
-def fit(rows: DataFrame, size: int, updates: int = 40, rate: float = 0.1, ridge: float = 0.001) -> tuple[dict[str, np.ndarray], list[float]]:
+def fit(rows: DataFrame, size: int, updates: int = 30, rate: float = 0.1, ridge: float = 0.0003) -> tuple[dict[str, np.ndarray], list[float]]:
     """Weights after so many updates by Adam's rule, and the mean loss before each. rows: (label 0 or 1, features, values), see packed; each row's features are distinct numbers below size."""
-    spark = rows.sparkSession
     arrays = materialize(packed(rows), "machine")
     weights, losses = first_weights(size), []
     mean, square = ({k: np.zeros(w.shape) for k, w in weights.items()} for _ in range(2))
     for update in range(1, updates + 1):
-        shared = spark.sparkContext.broadcast(weights)  # of fixed size
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        # The weights go with the task: under a megabyte, they leave no files behind as broadcasts to Python do.
+        def run(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             total, loss, n = None, 0.0, 0
             for b in batches:
                 for i in range(b.num_rows):
@@ -95,14 +94,13 @@ def fit(rows: DataFrame, size: int, updates: int = 40, rate: float = 0.1, ridge:
                     if not len(labels):
                         continue
                     starts = np.concatenate([[0], np.cumsum(lengths[:-1])]).astype(np.int64)
-                    g, own = gradient(shared.value, Sparse(features.astype(np.int64), values.astype(np.float64), starts), labels.astype(np.float64))
+                    g, own = gradient(weights, Sparse(features.astype(np.int64), values.astype(np.float64), starts), labels.astype(np.float64))
                     total = g if total is None else {k: total[k] + g[k] for k in g}
                     loss, n = loss + own, n + len(labels)
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([n], pa.int64()), *(pa.array([total[k].astype("<f4").tobytes()], pa.binary()) for k in weights)], names=["loss", "n", *weights])
 
         got = arrays.mapInArrow(run, "loss double, n long, " + ", ".join(f"{k} binary" for k in weights)).toArrow()  # TRAINERS parts of one gradient, or a few more
-        shared.destroy()
         if not got.num_rows:
             break
         got = got.sort_by([("loss", "ascending"), ("n", "ascending")])  # sums don't depend on the order of tasks

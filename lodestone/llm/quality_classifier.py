@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lodestone.llm.common import bound_batches
 from lodestone.llm.factorisation_machine import Sparse, fit, margins, sigmoid
 
-WORDS, BINS, STATISTICS = 1 << 16, 16, 14
+WORDS, BINS, STATISTICS = 1 << 15, 16, 14
 SIZE = STATISTICS * BINS + WORDS
 #: Length of the word part of a row, and value of each bin.
 WORD_PART, BIN_PART = 2.0, 0.5
@@ -106,7 +106,7 @@ def sample_rows(labelled: DataFrame, key: str, train_rows: int) -> DataFrame:
     return known.filter(F.xxhash64(key, F.lit(1)).cast("double") / 2.0**64 + 0.5 <= share)
 
 
-def learn(labelled: DataFrame, key: str, train_rows: int = 20_000, updates: int = 40) -> dict[str, np.ndarray]:
+def learn(labelled: DataFrame, key: str, train_rows: int = 20_000, updates: int = 30) -> dict[str, np.ndarray]:
     """Weights from labelled (key, text, recorded, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
