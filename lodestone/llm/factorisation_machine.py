@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
 
@@ -66,7 +65,7 @@ def gradient(weights: dict[str, np.ndarray], rows: Sparse, labels: np.ndarray) -
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """Rows (label, features as bytes of 32-bit integers, values as bytes of 32-bit floats) put together for TRAINERS tasks, which take them by the hash of their features."""
+    """Rows (deal, label, features as bytes of 32-bit integers, values as bytes of 32-bit floats) put together for TRAINERS tasks, which take them by `deal`, a number that spreads equal rows too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,12 +73,12 @@ def packed(rows: DataFrame) -> DataFrame:
             lengths = np.array([len(f) // 4 for f in features], "<i4")
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (b.column(0).to_numpy().astype("<f4").tobytes(), lengths.tobytes(), b"".join(features), b"".join(values))], names=["labels", "lengths", "features", "values"])
 
-    dealt = rows.repartition(TRAINERS, F.xxhash64("features")).sortWithinPartitions(F.xxhash64("features"), "label")
+    dealt = rows.repartition(TRAINERS, "deal").sortWithinPartitions("deal", "features", "label")
     return dealt.select("label", "features", "values").mapInArrow(run, "labels binary, lengths binary, features binary, values binary")
 
 
 def fit(rows: DataFrame, size: int, updates: int = 30, rate: float = 0.1, ridge: float = 0.0003) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Weights after so many updates by Adam's rule, and the mean loss before each. rows: (label 0 or 1, features, values), see packed; each row's features are distinct numbers below size."""
+    """Weights after so many updates by Adam's rule, and the mean loss before each. rows: (deal, label 0 or 1, features, values), see packed; each row's features are distinct numbers below size."""
     arrays = materialize(packed(rows), "machine")
     weights, losses = first_weights(size), []
     mean, square = ({k: np.zeros(w.shape) for k, w in weights.items()} for _ in range(2))

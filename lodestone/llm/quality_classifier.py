@@ -112,10 +112,10 @@ def learn(labelled: DataFrame, key: str, train_rows: int = 20_000, updates: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [entries(t, r) for t, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["label", "features", "values"])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array([f.astype("<i4").tobytes() for f, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["label", "deal", "features", "values"])
 
-    taken = sample_rows(labelled, key, train_rows).select("text", F.col("recorded").cast("long"), F.col("label").cast("double"))
-    return fit(taken.mapInArrow(run, "label double, features binary, values binary"), SIZE, updates)[0]
+    taken = sample_rows(labelled, key, train_rows).select("text", F.col("recorded").cast("long"), F.col("label").cast("double"), F.xxhash64(key, F.lit(2)))
+    return fit(taken.mapInArrow(run, "label double, deal long, features binary, values binary"), SIZE, updates)[0]
 
 
 def score_quality(docs: DataFrame, weights: dict[str, np.ndarray], text: str = "text", recorded: str = "n_chars") -> DataFrame:

@@ -49,7 +49,7 @@ def test_gradient_is_the_slope_of_the_loss():
 
 def test_tasks_sum_one_gradient(spark):
     rows, sparse, labels = random_rows(200, 30, 5)
-    frame = spark.createDataFrame([(float(y), f.astype("<i4").tobytes(), v.astype("<f4").tobytes()) for y, (f, v) in zip(labels, rows)], "label double, features binary, values binary")
+    frame = spark.createDataFrame([(k, float(y), f.astype("<i4").tobytes(), v.astype("<f4").tobytes()) for k, (y, (f, v)) in enumerate(zip(labels, rows))], "deal long, label double, features binary, values binary")
     found = [M.fit(frame.repartition(k), 30, updates=6) for k in (1, 7)]
     whole = M.gradient(M.first_weights(30), sparse, labels)[1] / 200
     assert found[0][1][0] == pytest.approx(whole, rel=1e-5) and found[0][1][-1] < found[0][1][0]
@@ -59,7 +59,7 @@ def test_tasks_sum_one_gradient(spark):
 def test_pairs_tell_what_single_features_cannot(spark):
     """Exclusive or of two features."""
     kinds = [((0, 2), 0.0), ((1, 3), 0.0), ((0, 3), 1.0), ((1, 2), 1.0)] * 50
-    frame = spark.createDataFrame([(y, np.array(f, "<i4").tobytes(), np.ones(2, "<f4").tobytes()) for f, y in kinds], "label double, features binary, values binary")
+    frame = spark.createDataFrame([(k, y, np.array(f, "<i4").tobytes(), np.ones(2, "<f4").tobytes()) for k, (f, y) in enumerate(kinds)], "deal long, label double, features binary, values binary")
     weights, _ = M.fit(frame, 4, updates=200, ridge=0.0)
     z = M.margins(weights, M.Sparse(np.array([f for f, _ in kinds[:4]]).ravel(), np.ones(8), np.arange(0, 8, 2)))[0]
     assert (z > 0).tolist() == [False, False, True, True]
