@@ -24,21 +24,21 @@ def _known(rows: Column) -> Column:
 
 
 def prisma(files: DataFrame) -> DataFrame:
-    line = r"^(\w+)\s+(\w+)(\[\])?([?!]?)\s*(.*)"
-    blocks = matches(files.filter(F.col("path").endswith(".prisma")), r"model\s+(\w+)\s*\{([\s\S]*?)\n\}", {"name": 1, "body": 2}, "path")
+    line = rules.PRISMA_LINE
+    blocks = matches(files.filter(F.col("path").endswith(".prisma")), rules.PRISMA_MODEL, {"name": 1, "body": 2}, "path")
     rows = F.filter(F.transform(F.split("body", "\n"), lambda t: F.trim(t)), lambda t: (t != "") & ~t.startswith("//") & ~t.startswith("@@") & t.rlike(line))
     part = lambda t, g: F.regexp_extract(t, line, g)
     related = lambda t: part(t, 2).rlike("^[A-Z]") & ~part(t, 2).isin(*rules.PRISMA_SCALARS)
     many = lambda t: part(t, 3) != ""
-    field = lambda t: _field(part(t, 1), F.concat(part(t, 2), F.when(many(t), "[]").otherwise("")), part(t, 4) == "?", part(t, 5).contains("@unique"), F.nullif(F.regexp_extract(part(t, 5), r"@default\((.+?)\)", 1), F.lit("")), part(t, 5).contains("@id"))
+    field = lambda t: _field(part(t, 1), F.concat(part(t, 2), F.when(many(t), "[]").otherwise("")), part(t, 4) == "?", part(t, 5).contains("@unique"), F.nullif(F.regexp_extract(part(t, 5), rules.PRISMA_DEFAULT, 1), F.lit("")), part(t, 5).contains("@id"))
     relation = lambda t: F.struct(part(t, 1).alias("field"), part(t, 2).alias("target"), F.when(many(t), "one-to-many").otherwise("one-to-one").alias("type"))
     return blocks.select("name", F.col("path").alias("source"), F.transform(F.filter(rows, lambda t: ~related(t)), field).alias("fields"), F.transform(F.filter(rows, related), relation).alias("relations"))
 
 
 def drizzle(files: DataFrame) -> DataFrame:
     """Whether a field is optional or a key is read off the whole table, as far as no `serial` says otherwise."""
-    blocks = matches(files.filter(F.col("ext").isin(".ts", ".js")), r"(?:export\s+const\s+)?\w+\s*=\s*(?:pgTable|mysqlTable|sqliteTable)\s*\(\s*['\"](\w+)['\"]\s*,\s*\{([\s\S]*?)\}\s*\)", {"name": 1, "body": 2}, "path")
-    pattern = r"(\w+)\s*:\s*(\w+)\s*\(\s*['\"]?(?:\w+)?['\"]?\s*\)"
+    blocks = matches(files.filter(F.col("ext").isin(".ts", ".js")), rules.DRIZZLE_TABLE, {"name": 1, "body": 2}, "path")
+    pattern = rules.DRIZZLE_FIELD
     pairs = F.arrays_zip(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("t"))
     body = F.col("body")
     field = lambda p: _field(p["n"], p["t"], body.contains(".default("), F.lit(False), F.lit(None).cast("string"), (p["t"] == "serial") | body.contains(".primaryKey()"))
@@ -47,8 +47,8 @@ def drizzle(files: DataFrame) -> DataFrame:
 
 def django(files: DataFrame) -> DataFrame:
     """Flags are read off the whole class."""
-    blocks = matches(files.filter(F.col("path").rlike(r"(?:^|/)models(?:\.py$|/.*\.py$)")), r"class\s+(\w+)\s*\([^)]*models\.Model[^)]*\)\s*:([\s\S]*?)(?=\nclass\s|\n\S|\Z)", {"name": 1, "body": 2}, "path")
-    pattern = r"(\w+)\s*=\s*models\.(\w+)\s*\(\s*['\"]?(\w+)?"
+    blocks = matches(files.filter(F.col("path").rlike(r"(?:^|/)models(?:\.py$|/.*\.py$)")), rules.DJANGO_MODEL, {"name": 1, "body": 2}, "path")
+    pattern = rules.DJANGO_FIELD
     triple = F.arrays_zip(*[F.regexp_extract_all("body", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "n"), (2, "t"), (3, "target"))])
     links, body = ("ForeignKey", "OneToOneField", "ManyToManyField"), F.col("body")
     field = lambda p: _field(p["n"], p["t"], body.contains("null=True") | body.contains("blank=True"), body.contains("unique=True"), F.lit(None).cast("string"), (p["t"] == "AutoField") | (p["n"] == "id"))
@@ -58,9 +58,9 @@ def django(files: DataFrame) -> DataFrame:
 
 def typeorm(files: DataFrame) -> DataFrame:
     """The first class of a file that has column decorators."""
-    own = files.filter(F.col("ext").isin(".ts", ".js") & F.col("content").rlike(r"@Entity|@(?:Column|PrimaryGeneratedColumn|PrimaryColumn)\s*\("))
-    column = r"(@(?:Column|PrimaryGeneratedColumn|PrimaryColumn)\s*\([^)]*\))\s*\n\s*(\w+)\s*[!?]?\s*:\s*(\w+)"
-    link = r"@(ManyToOne|OneToMany|OneToOne|ManyToMany)\s*\([^)]*\)\s*\n\s*(\w+)\s*[!?]?\s*:\s*(\w+)"
+    own = files.filter(F.col("ext").isin(".ts", ".js") & F.col("content").rlike(rules.TYPEORM_ENTITY))
+    column = rules.TYPEORM_COLUMN
+    link = rules.TYPEORM_RELATION
     zipped = lambda p: F.arrays_zip(*[F.regexp_extract_all("content", F.lit(p), F.lit(g)).alias(n) for g, n in ((1, "d"), (2, "n"), (3, "t"))])
     field = lambda p: _field(p["n"], p["t"], p["d"].contains("nullable: true"), p["d"].contains("unique: true"), F.lit(None).cast("string"), p["d"].contains("PrimaryGeneratedColumn") | p["d"].contains("PrimaryColumn"))
     relation = lambda p: F.struct(p["n"].alias("field"), p["t"].alias("target"), F.when(p["d"] == "ManyToMany", "many-to-many").when(p["d"] == "OneToMany", "one-to-many").otherwise("one-to-one").alias("type"))

@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a local master. Executors of a cluster would not see that, so there it is an error."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    base = sc.getConf().get("spark.checkpoint.dir") or (known.get() if known.isDefined() else None)
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(base)
+        base = tempfile.mkdtemp(prefix="lodestone-")
+        sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
