@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.functions.scalars import base_name
-from lodestone.plans.state import materialize
+from lodestone.plans.state import materialize, new_folder
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, rounds: int = 20, damping: float = 0.85) -> DataFrame:
@@ -43,21 +43,51 @@ def ref_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(counted, "id", "left").select("id", F.coalesce("refs", F.lit(0)).cast("long").alias("refs"))
 
 
-def transitive_dependents(edges: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(id, depth) of all nodes from which a start (id) can be reached; a start is among them only through a cycle."""
-    into = materialize(edges.select(F.col("dst").alias("id"), F.col("src").alias("next")).distinct(), "reverse")
-    found = None
-    frontier = start.select("id").distinct()
+def _bits(numbers: DataFrame) -> DataFrame:
+    """(bucket, bits): numbers (n, from 0) as bitmaps of 32768 each."""
+    return numbers.groupBy(F.bitmap_bucket_number(F.col("n") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("n") + 1)).alias("bits"))
+
+
+def _unmarked(rows: DataFrame, marked: DataFrame, column: str) -> DataFrame:
+    """The rows whose number isn't in the bitmaps."""
+    place = F.bitmap_bit_position(F.col(column) + 1)
+    at = rows.withColumn("bucket", F.bitmap_bucket_number(F.col(column) + 1)).join(marked, "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", F.coalesce(byte, F.lit(0)), (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return at.filter(~held).select(*rows.columns)
+
+
+def transitive_dependents(edges: DataFrame, start: DataFrame, most_rounds: int = 100_000, wide: float = 0.05) -> DataFrame:
+    """(id, depth) of all nodes from which a start (id) can be reached; a start is among them only through a cycle.
+
+    Nodes are numbered once, so rounds move longs. A round writes its new nodes as one more folder and a bitmap of all reached so far (a bit for each node of the buckets touched, rewritten in each round); it reads the last frontier and that bitmap, never the folders before, so what is written
+    grows with the result. A frontier of more than a share `wide` of the nodes turns the step round: edges from unreached nodes are picked by the bitmap first, and only these look for the frontier."""
+    spark, into = edges.sparkSession, edges.select(F.col("dst").alias("id"), F.col("src").alias("next"))
+    ids = into.select("id").unionByName(into.select(F.col("next").alias("id"))).distinct()
+    # Numbers of a partition follow each other, so buckets are dense but for the last of each.
+    nodes = materialize(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("n", F.monotonically_increasing_id()), "nodes")
+    total = nodes.count()
+    numbered = into.join(nodes.select("id", F.col("n").alias("a")), "id").join(nodes.select(F.col("id").alias("next"), F.col("n").alias("b")), "next")
+    steps = materialize(numbered.select("a", "b").distinct(), "steps")
+    folder = new_folder(spark, "closure")
+    frontier, marked = materialize(nodes.join(start.select("id").distinct(), "id", "left_semi").select("n"), "start"), None
+    size = frontier.count()
     for depth in range(1, most_rounds + 1):
-        new = frontier.join(into, "id").select(F.col("next").alias("id")).distinct()
-        if found is not None:
-            new = new.join(found, "id", "left_anti")
-        frontier = materialize(new.withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
-            return frontier if found is None else found
-        found = frontier if found is None else materialize(found.unionByName(frontier), "reached")
-        frontier = frontier.select("id")
-    raise RuntimeError("the closure did not end")
+        if size > wide * total and marked is not None:
+            new = _unmarked(steps, marked, "b").join(frontier.select(F.col("n").alias("a")), "a", "left_semi").select(F.col("b").alias("n")).distinct()
+        else:
+            new = frontier.join(steps.withColumnRenamed("a", "n"), "n").select(F.col("b").alias("n")).distinct()
+            new = new if marked is None else _unmarked(new, marked, "n")
+        new.write.parquet(f"{folder}/depth={depth}")
+        frontier = spark.read.schema("n long").parquet(f"{folder}/depth={depth}")
+        size = frontier.count()  # from the footers
+        if not size:
+            break
+        bits = _bits(frontier)
+        marked = materialize(bits if marked is None else bits.unionByName(marked).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")), "marked")
+    else:
+        raise RuntimeError("the closure did not end")
+    return spark.read.schema("n long, depth int").option("basePath", folder).parquet(folder).join(nodes, "n").select("id", "depth")
 
 
 def dependents_within_two(edges: DataFrame) -> DataFrame:

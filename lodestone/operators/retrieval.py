@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.functions.scalars import dir_name, query_terms, round_half_up, split_identifier, stem, token_estimate
+from lodestone.plans.state import materialize
 
 
 def module_keywords(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -109,6 +112,35 @@ def pack_skipping(items: DataFrame, group: list[str], order: str, name: str, siz
     return items.groupBy(*group).agg(listed.alias("l")).select(*group, F.aggregate("l", start, step).alias("r")).select(*group, F.col("r.picked").alias("picked"), F.col("r.used").alias("used"))
 
 
+def pack_ranked(items: DataFrame, order: list[Column], name: str, size: str, budget: int, parts: int = 200, few: int = 10_000) -> DataFrame:
+    """(name, used_before): items of one ranked list, each taken if it still fits, those that don't passed over; any number of items in bounded memory. Items of equal order go by name.
+
+    What is taken before the first item that doesn't fit is a prefix by running size. Each of `parts` parts of the list keeps its own prefix, which is all that the whole's can hold, and these meet in one. Behind the item that stopped the prefix only smaller
+    ones than it can fit, so the next round looks at these alone, with what is left. A list of at most `few` is packed by pack_skipping."""
+    ranked = materialize(items.filter(F.col(size) <= budget).select(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.col(name).cast("string").alias("name")).alias("o"), F.col(name).cast("string").alias("x"), F.col(size).cast("long").alias("s")), "ranked")
+    taken, used, after = [], 0, None
+    while True:
+        rest = ranked.filter(F.col("s") <= budget - used)
+        rest = rest if after is None else rest.join(F.broadcast(after), rest["o"] > after["stop"]).drop("stop")  # one row
+        if rest.limit(few + 1).count() <= few:
+            break
+        left, running = budget - used, lambda by: F.sum("s").over(by.orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+        own = rest.withColumn("part", F.pmod(F.xxhash64("x"), F.lit(parts))).withColumn("run", running(Window.partitionBy("part")))
+        # One item beyond the prefix of each part goes along, so the first that doesn't fit is there.
+        near = own.filter(F.col("run") - F.col("s") <= left).withColumn("one", F.lit(1))
+        whole = materialize(near.withColumn("run", running(Window.partitionBy("one"))).select("o", "x", "s", "run"), "prefix")
+        stop = whole.filter(F.col("run") > left).agg(F.min("o").alias("stop"))
+        taken.append(whole.filter(F.col("run") <= left).select(F.col("x").alias(name), (F.col("run") - F.col("s") + used).alias("used_before")))
+        used += whole.filter(F.col("run") <= left).agg(F.coalesce(F.max("run"), F.lit(0))).first()[0]
+        after = materialize(stop, "stop")
+        if after.first()["stop"] is None:
+            return reduce(DataFrame.unionByName, taken)
+    start = F.struct(F.lit(used).cast("long").alias("used"), F.array().cast("array<struct<x:string,at:bigint>>").alias("picked"))
+    step = lambda a, i: F.when(a["used"] + i["s"] <= budget, F.struct((a["used"] + i["s"]).alias("used"), F.concat(a["picked"], F.array(F.struct(i["x"].alias("x"), a["used"].alias("at")))).alias("picked"))).otherwise(a)
+    last = rest.groupBy().agg(F.array_sort(F.collect_list(F.struct("o", "x", "s"))).alias("l")).select(F.explode(F.aggregate("l", start, step)["picked"]).alias("p")).select(F.col("p.x").alias(name), F.col("p.at").alias("used_before"))
+    return reduce(DataFrame.unionByName, [*taken, last])
+
+
 def skeleton(files: DataFrame, symbols: DataFrame, n_files: int) -> DataFrame:
     """(dir, path, text, tokens, used_before): the most central files of the most central directories, within the adaptive budget. files: path, rank, refs, score (complexity)."""
     budget, most = min(8000, 1000 + 2 * n_files), min(200, 50 + n_files // 5)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract as X
@@ -61,8 +61,10 @@ class Tools:
     def context(self, query: str, budget: int = 12_000) -> DataFrame:
         spark = self.index["files"].sparkSession
         hits = R.context_hits(self.index["keywords"], R.terms_of(spark, query, "context"))
-        ranked = hits.join(self.index["modules"], "dir").withColumn("size", F.length(F.concat_ws(",", "files")).cast("long")).withColumn("order", F.concat(F.lpad((100_000 - F.col("hits")).cast("string"), 6, "0"), F.lpad(((100 - F.col("complexity")) * 10).cast("int").cast("string"), 5, "0"), F.col("dir"))).withColumn("one", F.lit(1))
-        return R.pack_skipping(ranked, ["one"], "order", "dir", "size", budget).select(F.explode("picked").alias("dir"), "used")
+        ranked = hits.join(self.index["modules"], "dir").withColumn("size", F.length(F.concat_ws(",", "files")).cast("long"))
+        picked = R.pack_ranked(ranked, [-F.col("hits"), -F.col("complexity"), F.col("dir")], "dir", "size", budget)
+        sized = picked.join(ranked.select("dir", "size"), "dir")
+        return sized.select("dir", F.max(F.col("used_before") + F.col("size")).over(Window.partitionBy()).alias("used"))
 
     def env_audit(self) -> DataFrame:
         return self.index["env_vars"].join(M.env_consumers(self.index["files"], self.index["env_vars"]), "name")

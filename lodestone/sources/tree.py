@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 from lodestone.functions.scalars import extension, hash16, in_skipped_dir, is_sensitive
+from lodestone.plans.state import materialize
 
 
 def scan_files(spark: SparkSession, root: str, ignore: list[str] | None = None, most_bytes: int = rules.MOST_FILE_BYTES) -> DataFrame:
@@ -74,11 +75,26 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fill_forward(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
+    """rows with the last known value at or before each in the order of its key, null before the first.
+
+    Rows are dealt by ranges of (key, order), so one key spreads over many tasks. The last value of each range, a row for each key and range, is carried on to the ranges after it; within a range a window fills. Rows of one key and order are taken in order of the value, nulls last."""
+    columns = rows.columns
+    dealt = rows.withColumn("_v", value).repartitionByRange(F.col(key), F.col(order), F.asc_nulls_last("_v")).sortWithinPartitions(key, order, F.asc_nulls_last("_v"))
+    placed = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_part", F.shiftright("_at", 33))
+    by = Window.partitionBy(key).orderBy("_part")
+    ends = placed.groupBy(key, "_part").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_at"))).alias("_end"))
+    carried = ends.select(F.col(key).alias("_k"), F.col("_part").alias("_p"), F.last("_end", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = F.last("_v", ignorenulls=True).over(Window.partitionBy(key, "_part").orderBy("_at"))
+    filled = placed.withColumn("_own", own).join(carried, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")), "left")
+    return filled.select(*[c for c in columns if c != name], F.coalesce("_own", "_before").alias(name))
+
+
 def git_log(lines: DataFrame) -> DataFrame:
     """(log, author, file) from logs whose commits start with COMMIT:author; the lines after it are files. lines: (log, line, text); log tells repositories apart."""
-    by = Window.partitionBy("log").orderBy("line")
     head = F.when(F.col("text").startswith("COMMIT:"), F.substr("text", F.lit(8)))
-    return lines.withColumn("author", F.last(head, ignorenulls=True).over(by)).filter(~F.col("text").startswith("COMMIT:") & (F.trim("text") != "")).select("log", "author", F.trim("text").alias("file"))
+    filled = fill_forward(lines.select("log", "line", "text"), "log", "line", head, "author")
+    return filled.filter(~F.col("text").startswith("COMMIT:") & (F.trim("text") != "")).select("log", "author", F.trim("text").alias("file"))
 
 
 def git_signals(commits: DataFrame) -> DataFrame:
