@@ -264,23 +264,28 @@ def synth_module_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return R.module_contracts(files, edges).select("module", F.array_join("dependencies", ",").alias("dependencies"), F.array_join("dependents", ",").alias("dependents"))
 
 
-@query("""WITH e AS (SELECT concat('src/nation/n', c_nationkey, '.ts') AS id, 1 AS n FROM customer UNION ALL SELECT concat('src/nation/n', s_nationkey, '.ts'), 1 FROM supplier UNION ALL SELECT concat('src/region/r', n_regionkey, '/index.ts'), 1 FROM nation),
-f AS (SELECT id, count(*) AS fan_in FROM e GROUP BY id ORDER BY fan_in DESC, id LIMIT 30),
-far AS (SELECT concat('src/region/r', n_regionkey, '/index.ts') AS id, count(*) AS m FROM nation JOIN (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) ON k = n_nationkey GROUP BY 1)
-SELECT f.id, f.fan_in, f.fan_in + coalesce(far.m, 0) AS dependents FROM f LEFT JOIN far ON f.id = far.id""")
+@query(f"""WITH direct AS (SELECT concat('src/nation/n', c_nationkey, '.ts') AS id, concat('src/customer/c', c_custkey, '.ts') AS dependent, c_nationkey AS n FROM customer
+  UNION ALL SELECT concat('src/nation/n', s_nationkey, '.ts'), concat('src/supplier/s', s_suppkey, '.ts'), s_nationkey FROM supplier UNION ALL SELECT concat('src/region/r', n_regionkey, '/index.ts'), concat('src/nation/n', n_nationkey, '.ts'), NULL FROM nation),
+f AS (SELECT id, count(*) AS fan_in FROM direct GROUP BY id ORDER BY fan_in DESC, id LIMIT 30),
+near AS (SELECT id, dependent FROM direct UNION SELECT concat('src/region/r', n_regionkey, '/index.ts'), dependent FROM direct JOIN nation ON n = n_nationkey),
+wide AS (SELECT id, dependent FROM near SEMI JOIN f USING (id) UNION SELECT id, id FROM f),
+r AS (SELECT DISTINCT id, concat(method, ' ', path) AS r FROM wide JOIN ({_SQL["synth_routes"]}) ON file = dependent), t AS (SELECT DISTINCT id, test FROM wide JOIN ({_SQL["synth_test_mapping"]}) ON source = dependent)
+SELECT f.id, f.fan_in, (SELECT count(*) FROM near WHERE near.id = f.id) AS dependents, (SELECT array_to_string(list_sort(list(r))[1:10], ',') FROM r WHERE r.id = f.id) AS routes, (SELECT array_to_string(list_sort(list(test))[1:10], ',') FROM t WHERE t.id = f.id) AS tests FROM f""")
 def synth_impact_map(spark: SparkSession, sf: str) -> DataFrame:
     files = sources(spark, sf)
     edges = X.import_edges(X.resolve_imports(files, X.imports(files)))
-    names = X.test_names(files)
-    tests = M.test_mapping(files.select("path"), names).filter("score >= 10").select("source", "test")
-    return M.impact_map(edges, RT.routes(files), tests).select("id", "fan_in", "dependents")
+    tests = M.test_mapping(files.select("path"), X.test_names(files)).select("source", "test")
+    return M.impact_map(edges, RT.routes(files), tests).select("id", "fan_in", "dependents", F.array_join("routes", ",").alias("routes"), F.array_join("tests", ",").alias("tests"))
 
 
-@query("SELECT 'camelCase' AS habit, 0 AS x WHERE false UNION ALL SELECT 'patterns: prefers named exports over default exports', 1 UNION ALL SELECT 'testing: uses .test.{ext} naming convention', 1")
+@query("""WITH f AS (SELECT c_custkey AS k FROM customer ORDER BY concat('src/customer/c', c_custkey, '.ts') LIMIT 20), n AS (SELECT count(*) AS files, count(*) FILTER (k % 6 = 0) AS throws FROM f)
+SELECT 'patterns: prefers named exports over default exports' AS habit FROM n WHERE files > 0
+UNION ALL SELECT 'testing: uses .test.{ext} naming convention' FROM (SELECT count(*) AS t FROM customer WHERE c_custkey % 5 = 0) WHERE t > 0
+UNION ALL SELECT 'imports: prefers relative imports' FROM n WHERE files > 2 * files""")
 def synth_conventions(spark: SparkSession, sf: str) -> DataFrame:
+    """All habits that the first twenty files show; their imports are half relative, their names hold digits, their errors are no classes of their own."""
     files = sources(spark, sf)
-    found = M.conventions(files, X.symbols(files), X.imports(files))
-    return found.filter("category IN ('patterns', 'testing')").select(F.concat_ws(": ", "category", "text").alias("habit"), F.lit(1).alias("x"))
+    return M.conventions(files, X.symbols(files), X.imports(files)).select(F.concat_ws(": ", "category", "text").alias("habit"))
 
 
 @query()
@@ -449,10 +454,9 @@ def issue_candidates_top8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, greatest(1, least(10, 3 + CASE WHEN length(text) > 200 THEN 1 ELSE 0 END + CASE WHEN length(text) > 500 THEN 1 ELSE 0 END - CASE WHEN length(text) < 30 THEN 1 ELSE 0 END
- + CASE WHEN regexp_matches(text, '(?i)\\btest') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\\badd\\b') THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '[A-Za-z0-9_]+\\.[A-Za-z0-9_]{2,4}')) >= 2 THEN 2 ELSE 0 END)) AS complexity FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS text FROM conversations WHERE role = 'user')""")
+ + CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])test') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])add($|[^\\p{L}\\p{N}_])') THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '[A-Za-z0-9_]+\\.[A-Za-z0-9_]{2,4}')) >= 2 THEN 2 ELSE 0 END)) AS complexity FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)""")
 def prompt_complexity_score(spark: SparkSession, sf: str) -> DataFrame:
-    plain = table(spark, sf, "conversations").filter("role = 'user'").withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
-    return plain.select("conv_id", "turn", S.prompt_complexity(F.col("text")).alias("complexity"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.prompt_complexity(F.coalesce("text", F.lit(""))).alias("complexity"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'env-audit' WHEN 1 THEN 'auth-context' WHEN 2 THEN 'route-graph' WHEN 3 THEN 'impact-map' ELSE '' END AS labels FROM customer""")
@@ -482,10 +486,10 @@ def topk_per_group_cap5(spark: SparkSession, sf: str) -> DataFrame:
     return M.group_top(table(spark, sf, "orders"), F.col("o_custkey"), [F.desc("o_totalprice"), "o_orderkey"], None, 5).select("o_custkey", "o_orderkey")
 
 
-@query("WITH s AS (SELECT DISTINCT concat('src/c', c_custkey % 40) AS path, greatest(1, (c_custkey % 97) - 2 + i) AS line FROM customer, range(0, 27) t(i) WHERE c_custkey % 97 - 2 + i >= 1 AND c_custkey % 97 >= 1), k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS k, coalesce(line - lag(line) OVER (PARTITION BY path ORDER BY line) > 1, false) AS gap FROM s) SELECT path, CAST(line AS INTEGER) AS line, gap FROM k WHERE k <= 180")
+@query("WITH s AS (SELECT DISTINCT concat('src/c', c_custkey % 40) AS path, greatest(1, (c_custkey % 97 + 1) - 2 + i) AS line FROM customer, range(0, 27) t(i) WHERE c_custkey % 97 + 1 - 2 + i >= 1), k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS k, coalesce(line - lag(line) OVER (PARTITION BY path ORDER BY line) > 1, false) AS gap FROM s) SELECT path, CAST(line AS INTEGER) AS line, gap FROM k WHERE k <= 180")
 def code_windows(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
-    marks = table(spark, sf, "customer").filter(key % 97 >= 1).select(F.concat(F.lit("src/c"), key % 40).alias("path"), (key % 97).cast("int").alias("line"))
+    marks = table(spark, sf, "customer").select(F.concat(F.lit("src/c"), key % 40).alias("path"), (key % 97 + 1).cast("int").alias("line"))
     return M.code_windows(marks)
 
 
@@ -619,15 +623,14 @@ def token_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return P.token_statistics(documents_as_files(spark, sf).select(F.col("dir").alias("layer"), F.col("content").alias("text"))).select("layer", "files", "tokens")
 
 
-@query("SELECT concat('pkg', p_size) AS name, max(concat('1.', p_partkey)) AS version FROM part WHERE p_partkey % 3 = 0 GROUP BY p_size HAVING count(*) = 1 UNION ALL SELECT concat('own', p_partkey), concat('2.', p_size) FROM part WHERE p_partkey % 3 = 1")
+@query("""SELECT concat('pkg', p_partkey) AS name, CASE p_partkey % 3 WHEN 0 THEN concat('1.', p_size) WHEN 1 THEN concat('2.', p_size) ELSE concat('3.', p_size) END AS version FROM part""")
 def manifest_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """Manifests made from parts; names that only one manifest has."""
+    """A manifest of each part, with one kind of dependencies, two or three; the later kind counts."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    shared = F.concat(F.lit('{"dependencies":{"pkg'), size, F.lit('":"^1.'), key, F.lit('"}}'))
-    own = F.concat(F.lit('{"dependencies":{"own'), key, F.lit('":"~9"},"devDependencies":{"own'), key, F.lit('":"^2.'), size, F.lit('"}}'))
-    m = table(spark, sf, "part").filter(key % 3 != 2).select(F.when(key % 3 == 0, shared).otherwise(own).alias("content"))
-    once = table(spark, sf, "part").filter(key % 3 == 0).groupBy("p_size").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat(F.lit("pkg"), "p_size").alias("name"))
-    return tree.manifest_versions(m).join(once, "name", "left_anti")
+    kind = lambda name, mark: F.concat(F.lit(f'"{name}":{{"pkg'), key, F.lit(f'":"{mark}'), size, F.lit('"}'))
+    one, two, three = kind("dependencies", "^1."), kind("devDependencies", "~2."), kind("peerDependencies", ">=3.")
+    body = F.when(key % 3 == 0, one).when(key % 3 == 1, F.concat_ws(",", two, kind("dependencies", "~9."))).otherwise(F.concat_ws(",", three, two, kind("dependencies", "8.")))
+    return tree.manifest_versions(table(spark, sf, "part").select(F.concat(F.lit("{"), body, F.lit("}")).alias("content")))
 
 
 @query("SELECT concat('packages/', source, '/', doc_id) AS path, CASE WHEN doc_id % 2 = 0 THEN concat('packages/', source) END AS package FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT concat('misc/', doc_id), NULL FROM documents WHERE doc_id % 2 = 1")
@@ -698,7 +701,8 @@ def call_trace_capped(spark: SparkSession, sf: str) -> DataFrame:
     return G.call_trace(calls, calls.select(F.col("caller").alias("id")).distinct()).groupBy("id").agg(F.count("*").alias("callees"))
 
 
-@query("SELECT category, text FROM (VALUES ('auth', 'V10_TOKEN, V11_TOKEN, V12_TOKEN +22 more')) v(category, text)")
+@query("""WITH r AS (SELECT concat('V', n_nationkey + 1, '_TOKEN') AS name, row_number() OVER (ORDER BY concat('V', n_nationkey + 1, '_TOKEN')) AS k, count(*) OVER () AS n FROM nation)
+SELECT 'auth' AS category, concat(string_agg(name, ', ' ORDER BY name) FILTER (k <= 3), ' +', max(n) - 3, ' more') AS text FROM r""")
 def required_variables(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "nation").select(F.concat(F.lit("V"), F.col("n_nationkey") + 1, F.lit("_TOKEN")).alias("name"))
     return P.required_variables(n.select("name", F.lit(False).alias("has_default"), F.lit(True).alias("required"), S.env_category(F.col("name")).alias("category")))

@@ -13,8 +13,9 @@ from lodestone.operators import models as D
 from lodestone.operators import routes as RT
 from lodestone.operators.scripts import scan_scripts, scope_names
 from lodestone.plans.contracts import table
-from lodestone.plans.state import materialize
+from lodestone.plans.state import materialize, new_folder
 from lodestone.sources import tree
+from lodestone.sources.tree_source import read_tree
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -225,6 +226,23 @@ def stack_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return tree.detect_stack(sources.unionByName(manifests)).select("kind", "value")
 
 
+# The tree
+
+_FOLDER = "CASE WHEN doc_id % 5 = 0 THEN 'node_modules/' WHEN doc_id % 7 = 0 THEN '.hidden/' ELSE 'src/' END"
+_EXT = "CASE WHEN doc_id % 3 = 0 THEN '.md' WHEN doc_id % 3 = 1 THEN '.ts' ELSE '.py' END"
+
+
+@query(f"""SELECT concat('src/', source, '/', doc_id, {_EXT}) AS path, {_EXT} AS ext, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size_bytes, sha256(coalesce(text, '')) AS content_sha256, false AS unreadable
+FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0 AND doc_id % 3 <> 0 AND strlen(coalesce(text, '')) <= 500000""")
+def tree_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents written as files of a tree, some in skipped and hidden directories or with other extensions, and scanned again with what can't be read."""
+    root = new_folder(spark, "tree")
+    files = table(spark, sf, "documents").select(F.concat(F.expr(_FOLDER), "source", F.lit("/"), F.col("doc_id").cast("string"), F.expr(_EXT)).alias("path"), F.col("text").alias("content"))
+    tree.write_files(files, root)
+    found = read_tree(spark, root)
+    return found.select("path", "ext", "size_bytes", F.sha2(F.encode("content", "UTF-8"), 256).alias("content_sha256"), F.col("error").isNotNull().alias("unreadable"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -10,18 +10,45 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
-from lodestone.functions.scalars import extension, hash16, in_skipped_dir, is_sensitive
+from lodestone.functions.scalars import hash16, is_sensitive
 from lodestone.plans.state import materialize
+from lodestone.sources.tree_source import _store, read_tree
 
 
 def scan_files(spark: SparkSession, root: str, ignore: list[str] | None = None, most_bytes: int = rules.MOST_FILE_BYTES) -> DataFrame:
-    """(path, ext, size_bytes, modified, content) of a tree's source files: known extensions, no skipped or dot directories, nothing ignored or beyond the size. Size and time reach the scan before any content is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= most_bytes)
-    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/"), f"^{re.escape(base)}/", "")
-    named = raw.withColumn("path", path).withColumn("ext", extension(F.col("path")))
-    kept = named.filter(F.col("ext").isin(*rules.EXTENSION_LANGUAGE) & ~in_skipped_dir(F.col("path")) & ~F.col("path").rlike(r"(?:^|/)\.[^/]+/") & ~ignored(F.col("path"), ignore or []))
-    return kept.select("path", "ext", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
+    """(path, ext, size_bytes, modified, content) of a tree's source files that can be read: known extensions, no skipped or dot directories, nothing ignored or beyond the size. What is left out is never opened; see tree_source."""
+    return read_tree(spark, root, ignore, most_bytes).filter("error IS NULL").drop("error")
+
+
+def split_unreadable(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files of read_tree that were read, and (path, error) of what could not be. One pass over the tree gives both."""
+    kept = materialize(scanned, "scanned-tree")
+    return kept.filter("error IS NULL").drop("error"), kept.filter("error IS NOT NULL").select("path", "error")
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each row (path, content) as a file below root, each under another name first and then renamed, so a repeated task leaves whole files; the number of files written."""
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        store, base = _store(root)
+        for batch in batches:
+            n = 0
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"the path leaves the folder: {path}")
+                folder, _, name = f"{base.rstrip('/')}/{path}".rpartition("/")
+                store.create_dir(folder, recursive=True)
+                staged = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(staged) as out:
+                    out.write((content or "").encode("utf-8", "surrogatepass"))
+                store.move(staged, f"{folder}/{name}")
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def without_sensitive(files: DataFrame) -> DataFrame:
