@@ -4,9 +4,9 @@ Pages are put in order of host and URL path. Each is aligned, line by line, with
 beginning of the path (a longest common subsequence), and the lines that both have are deleted: a site's own text stands on all its pages. What
 differencing can't tell, the markup does: menus, footers, forms, scripts and classes such as `ad` are out even where they differ from page to page, and lines within an article
 or main element are safe from deletion, as articles may share passages. Outside such an element every line stays that is not
-shared, but for lines that are links from end to end (menus without markup of their own). A neighbour that carries the same text (the whole article, or more of a page without one than it lacks) says nothing of the
+shared, but for lines that are links from end to end: all of them beside an article, and in a page without one those that stand together (a menu without markup of its own; a single one is a paragraph). A neighbour that carries the same text (the whole article, or every line of a page without one) says nothing of the
 site's: it is passed over for the next one, within a bucket of the order and one
-page beyond its ends; where there is none, no line goes.
+page beyond its ends; where there is none, no line goes. Of a page without an article, differencing deletes whatever its neighbour has too, however much of the page that is.
 
 The order is made without a window by host, as one host may have a third of the pages: bounds from a sample of the keys cut the order
 into buckets, and the last and first page of each bucket, found by an aggregation, go to the neighbouring bucket as well.
@@ -44,20 +44,25 @@ def shared_lines(lines: list[Line], near: list[Line]) -> set[int]:
 
 
 def is_copy(lines: list[Line], near: list[Line]) -> bool:
-    """Whether near carries the same text: the whole article, or of a page without one more than it lacks. Not asked of pages with nothing open to deletion."""
+    """Whether near carries the same text: the whole article, or all lines of a page without one. Not asked of pages with nothing open to deletion."""
     if not open_lines(lines):
         return False
     shared = shared_lines(lines, near)
     article = [k for k, x in enumerate(lines) if x.content]
-    if article:
-        return shared.issuperset(article)
-    return sum(len(x.text) * (1 if k in shared else -1) for k, x in enumerate(lines)) > 0
+    return shared.issuperset(article or range(len(lines)))
+
+
+def menu_lines(lines: list[Line]) -> set[int]:
+    """Positions of lines outside an article that are links from end to end and so a menu: all beside an article, two or more in a row in a page without one."""
+    links = {k for k, x in enumerate(lines) if not x.content and x.linked >= 1}
+    return links if any(x.content for x in lines) else {k for k in links if k - 1 in links or k + 1 in links}
 
 
 def main_lines(lines: list[Line], near: list[Line] | None) -> list[str]:
     """The lines of a page that are its main text, given its neighbour's."""
     gone = shared_lines(lines, near) if near and open_lines(lines) and not is_copy(lines, near) else set()
-    return [x.text for k, x in enumerate(lines) if x.content or (k not in gone and x.linked < 1)]
+    menu = menu_lines(lines)
+    return [x.text for k, x in enumerate(lines) if x.content or (k not in gone and k not in menu)]
 
 
 def _shared_start(a: str, b: str) -> int:
