@@ -52,6 +52,57 @@ def summary(runs: DataFrame, arm: str, metrics: list[str]) -> DataFrame:
     return runs.groupBy(arm).agg(F.count("*").alias("n"), *[f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("sum", F.sum))])
 
 
+def short_number(n: Column) -> Column:
+    """1234 as 1.2K, 1234567 as 1.2M; halves of the last digit are rounded up."""
+    n = n.cast("double")
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1_000_000)).when(n >= 1_000, F.format_string("%.1fK", n / 1_000)).otherwise(n.cast("long").cast("string"))
+
+
+def _padded(text: Column, width: int, left: bool = True) -> Column:
+    """A text filled up with spaces; longer ones stay whole."""
+    wide = F.greatest(F.length(text), F.lit(width))
+    return F.lpad(text, wide, F.lit(" ")) if left else F.rpad(text, wide, F.lit(" "))
+
+
+def quality_lines(cells: DataFrame) -> DataFrame:
+    """(task, arm, text): a line for each cell of the quality matrix. cells: (task, arm, duration_ms, input_tokens, cost, overall, coverage, accuracy, error); a cell without a duration failed, one without scores is unscored."""
+    score = lambda c, width, none: _padded(F.when(F.col("overall").isNull(), none).otherwise(F.concat(F.col(c).cast("string"), F.lit("/5"))), width)
+    text = F.concat(
+        F.lit("    "), _padded(F.col("arm"), 5, left=False), F.lit(" "), _padded(F.format_string("%.1f", F.col("duration_ms") / 1000), 7), F.lit("s "), _padded(short_number(F.col("input_tokens")), 10),
+        F.lit(" $"), _padded(F.format_string("%.4f", F.col("cost")), 6), F.lit(" "), score("overall", 8, "unscored"), F.lit(" "), score("coverage", 9, "-"), F.lit(" "), score("accuracy", 9, "-"),
+    )
+    failed = F.concat(F.lit("    "), _padded(F.col("arm"), 5, left=False), F.lit(" "), F.left(F.coalesce(F.nullif("error", F.lit("")), F.lit("error")), F.lit(60)))
+    return cells.select("task", "arm", F.when(F.col("duration_ms").isNull(), failed).otherwise(text).alias("text"))
+
+
+def quality_summary(cells: DataFrame) -> DataFrame:
+    """(arm, cells, seconds, tokens, cost, overall): means over the cells of each arm that didn't fail; overall over the scored ones, null if none is."""
+    whole = cells.filter("duration_ms IS NOT NULL").groupBy("arm").agg(F.count("*").alias("cells"), (F.avg("duration_ms") / 1000).alias("seconds"), F.avg("input_tokens").alias("tokens"), F.avg("cost").alias("cost"), F.avg("overall").alias("overall"))
+    return whole.select("arm", "cells", F.round("seconds", 1).alias("seconds"), short_number(F.floor(F.col("tokens") + 0.5)).alias("tokens"), F.round("cost", 4).alias("cost"), F.round("overall", 2).alias("overall"))
+
+
+def _of_both(runs: DataFrame, task: str, arm: str, base: str, other: str) -> DataFrame:
+    """Runs of the two arms for tasks that have both."""
+    two = runs.filter(F.col(arm).isin(base, other))
+    return two.join(two.groupBy(task).agg(F.count_distinct(arm).alias("_n")).filter("_n = 2").select(task), task, "left_semi")
+
+
+def server_calls(runs: DataFrame, task: str, arm: str, base: str, other: str, calls: str = "mcp_by_server") -> DataFrame:
+    """(server, before, after): calls by server, summed over the tasks that both arms have; servers that only one arm called count 0 in the other. calls: a map by server."""
+    each = _of_both(runs, task, arm, base, other).select(arm, F.explode(calls).alias("server", "n"))
+    part = lambda a: F.coalesce(F.sum(F.when(F.col(arm) == a, F.col("n"))), F.lit(0)).cast("long")
+    return each.groupBy("server").agg(part(base).alias("before"), part(other).alias("after"))
+
+
+def comparison_summary(runs: DataFrame, task: str, arm: str, base: str, other: str, metrics: list[str]) -> DataFrame:
+    """(metric, tasks, before, after, delta): means over the tasks that both arms have, and the change of the sums in percent."""
+    both = _of_both(runs, task, arm, base, other)
+    long_ = both.select(task, arm, F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in metrics]), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", "value"))
+    of = lambda a: F.sum(F.when(F.col(arm) == a, F.col("value")))
+    sums = long_.groupBy("metric").agg(F.count_distinct(task).alias("tasks"), of(base).alias("a"), of(other).alias("b"))
+    return sums.select("metric", "tasks", (F.col("a") / F.col("tasks")).alias("before"), (F.col("b") / F.col("tasks")).alias("after"), percent_delta(F.col("a"), F.col("b")).alias("delta"))
+
+
 def pivot_report(cells: DataFrame, task: str, arm: str, value: str, arms: list[str]) -> DataFrame:
     """A row for each task and a column for each arm."""
     return cells.groupBy(task).pivot(arm, arms).agg(F.first(value))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators import evaluation as E
 from lodestone.operators import extract as X
 from lodestone.operators import models as D
 from lodestone.operators import routes as RT
@@ -226,6 +227,75 @@ def stack_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return tree.detect_stack(sources.unionByName(manifests)).select("kind", "value")
 
 
+# Commands of projects: each customer is one, with some of the manifests
+
+_PACKAGE = """CASE WHEN c_custkey % 2 = 0 THEN concat('{"scripts": {"serve": "s', c_custkey, '", "start": "run --watch", "test": "", "test:unit": "t', c_custkey, '", "prepare": "p", "docs', c_nationkey, '": "d", "a-name-of-twenty-letters": "x"}}')
+  WHEN c_custkey % 3 = 0 THEN '{broken' END"""
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 2 = 0 AS pkg, c_custkey % 5 <> 0 AS make, c_custkey % 7 = 0 AS go, c_custkey % 11 = 0 AS cargo, c_custkey % 4 = 0 AS py FROM customer), f AS (
+  SELECT k, 'dev' AS slot, CASE WHEN pkg THEN concat('s', k) WHEN make THEN 'make dev' END AS command FROM p
+  UNION ALL SELECT k, 'start', CASE WHEN pkg THEN 'run --watch' END FROM p
+  UNION ALL SELECT k, 'test', CASE WHEN pkg THEN concat('t', k) WHEN make THEN 'make test' WHEN go THEN 'go test ./...' WHEN cargo THEN 'cargo test' WHEN py THEN 'pytest' END FROM p
+  UNION ALL SELECT k, 'build', CASE WHEN go THEN 'go build ./...' WHEN cargo THEN 'cargo build' END FROM p)
+SELECT k AS project, slot, slot AS name, command FROM f WHERE command IS NOT NULL
+UNION ALL SELECT k, 'other', concat('docs', n), 'd' FROM p WHERE pkg UNION ALL SELECT k, 'other', 'test:unit', concat('t', k) FROM p WHERE pkg""")
+def project_commands(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    texts = (("package.json", F.expr(_PACKAGE)), ("Makefile", F.when(F.col("c_custkey") % 5 != 0, F.lit("all: x\n\tmake y\ntest : unit\ndev:\nlint-all:\n"))), ("go.mod", F.when(F.col("c_custkey") % 7 == 0, F.lit("module m"))), ("Cargo.toml", F.when(F.col("c_custkey") % 11 == 0, F.lit(""))), ("pyproject.toml", F.when(F.col("c_custkey") % 4 == 0, F.lit(""))))
+    files = c.select(F.col("c_custkey").alias("project"), F.explode(F.array(*[F.struct(F.lit(p).alias("path"), t.alias("content")) for p, t in texts])).alias("x")).select("project", "x.path", "x.content").filter("content IS NOT NULL")
+    return tree.project_scripts(files)
+
+
+# Reports of the quality matrix and of two arms: a cell for each order of a customer, the arm by its priority
+
+_CELLS_SQL = """SELECT o_custkey AS task, concat('arm', o_orderkey % 3) AS arm, max(CASE WHEN o_orderkey % 10 = 9 THEN NULL ELSE (o_orderkey % 977) * 1000.0::DOUBLE END) AS duration_ms, max(CAST(floor(o_totalprice) AS BIGINT) * 100 + 3) AS input_tokens, max(o_orderkey % 1000 / 4.0::DOUBLE) AS cost,
+  max(CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderkey % 5 + 1 AS INTEGER) END) AS overall, max(CAST(o_orderkey % 5 + 1 AS INTEGER)) AS coverage, max(CAST(o_orderkey % 5 + 1 AS INTEGER)) AS accuracy FROM orders GROUP BY 1, 2"""
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "orders").createOrReplaceTempView("orders_of_reports")
+    return spark.sql(_CELLS_SQL.replace("::DOUBLE", "D").replace("FROM orders", "FROM orders_of_reports")).withColumn("error", F.concat(F.lit("failed "), F.col("task").cast("string")))
+
+
+_SHORT = "CASE WHEN {n} >= 1000000 THEN printf('%.1fM', {n} / 1000000.0::DOUBLE) WHEN {n} >= 1000 THEN printf('%.1fK', {n} / 1000.0::DOUBLE) ELSE CAST(CAST({n} AS BIGINT) AS VARCHAR) END"
+_PAD = "lpad({x}, greatest(length({x}), {w})::INTEGER, ' ')"
+
+
+def _line_sql() -> str:
+    pad = lambda x, w: _PAD.format(x=x, w=w)
+    score = lambda c, w, none: pad(f"CASE WHEN overall IS NULL THEN '{none}' ELSE concat({c}, '/5') END", w)
+    return f"concat('    ', arm, '  ', {pad("printf('%.1f', duration_ms / 1000)", 7)}, 's ', {pad(_SHORT.format(n='input_tokens'), 10)}, ' $', {pad("printf('%.4f', cost)", 6)}, ' ', {score('overall', 8, 'unscored')}, ' ', {score('coverage', 9, '-')}, ' ', {score('accuracy', 9, '-')})"
+
+
+@query(f"SELECT task, arm, CASE WHEN duration_ms IS NULL THEN concat('    ', arm, '  failed ', task) ELSE {_line_sql()} END AS text FROM ({_CELLS_SQL})")
+def quality_matrix_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return E.quality_lines(_cells(spark, sf))
+
+
+@query(f"""SELECT arm, count(*) AS cells, round(avg(duration_ms) / 1000, 1) AS seconds, {_SHORT.format(n="floor(avg(input_tokens) + 0.5)")} AS tokens, round(avg(cost), 4) AS cost, round(avg(overall), 2) AS overall
+FROM ({_CELLS_SQL}) WHERE duration_ms IS NOT NULL GROUP BY arm""")
+def quality_matrix_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return E.quality_summary(_cells(spark, sf))
+
+
+_BOTH_SQL = f"WITH c AS ({_CELLS_SQL}), b AS (SELECT * FROM c WHERE arm <> 'arm2' AND task IN (SELECT task FROM c WHERE arm <> 'arm2' GROUP BY task HAVING count(DISTINCT arm) = 2))"
+
+
+@query(f"""{_BOTH_SQL} SELECT server, CAST(sum(CASE WHEN arm = 'arm0' THEN n ELSE 0 END) AS BIGINT) AS before, CAST(sum(CASE WHEN arm = 'arm1' THEN n ELSE 0 END) AS BIGINT) AS after FROM (
+  SELECT arm, concat('server', task % 4) AS server, coverage AS n FROM b UNION ALL SELECT arm, 'shared', 1 FROM b WHERE arm = 'arm1') GROUP BY server""")
+def calls_by_server(spark: SparkSession, sf: str) -> DataFrame:
+    own = F.create_map(F.concat(F.lit("server"), F.col("task") % 4), F.col("coverage").cast("long"))
+    shared = F.when(F.col("arm") == "arm1", F.map_concat(own, F.create_map(F.lit("shared"), F.lit(1).cast("long")))).otherwise(own)
+    return E.server_calls(_cells(spark, sf).withColumn("mcp_by_server", shared), "task", "arm", "arm0", "arm1")
+
+
+@query(f"""{_BOTH_SQL}, l AS (SELECT task, arm, 'cost' AS metric, cost AS v FROM b UNION ALL SELECT task, arm, 'input_tokens', input_tokens FROM b), s AS (SELECT metric, count(DISTINCT task) AS tasks, sum(v) FILTER (arm = 'arm0') AS x, sum(v) FILTER (arm = 'arm1') AS y FROM l GROUP BY metric)
+SELECT metric, tasks, round(x / tasks, 6) AS before, round(y / tasks, 6) AS after FROM s""")
+def arms_compared(spark: SparkSession, sf: str) -> DataFrame:
+    return E.comparison_summary(_cells(spark, sf), "task", "arm", "arm0", "arm1", ["cost", "input_tokens"]).select("metric", "tasks", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
+
+
 # The tree
 
 _FOLDER = "CASE WHEN doc_id % 5 = 0 THEN 'node_modules/' WHEN doc_id % 7 = 0 THEN '.hidden/' ELSE 'src/' END"

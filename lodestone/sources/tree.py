@@ -180,6 +180,32 @@ def scripts_of(manifests: DataFrame) -> DataFrame:
     return found.select(F.explode(slots).alias("x")).select("x.*").filter("command IS NOT NULL")
 
 
+#: Slots of commands and the scripts of a package.json that fill them, in order; names that are no further commands.
+SCRIPT_SLOTS = {"build": ("build",), "dev": ("dev", "serve"), "test": ("test", "test:unit"), "lint": ("lint", "lint:fix"), "start": ("start",), "deploy": ("deploy", "release")}
+KNOWN_SCRIPTS = ("build", "dev", "test", "lint", "start", "deploy", "serve", "postinstall", "prepare", "precommit")
+MAKE_SLOTS = ("build", "test", "dev", "lint", "deploy")
+#: What a manifest's being there gives, in order of the manifests.
+MANIFEST_COMMANDS = (("go.mod", "build", "go build ./..."), ("go.mod", "test", "go test ./..."), ("Cargo.toml", "build", "cargo build"), ("Cargo.toml", "test", "cargo test"), ("pyproject.toml", "test", "pytest"))
+OTHER_NAME = 20
+
+
+def project_scripts(files: DataFrame) -> DataFrame:
+    """(project, slot, name, command) of projects: how each is built, run, tested and so on. files: (project, path, content), paths from the project's root.
+
+    A slot takes the first of package.json, Makefile, go.mod, Cargo.toml and pyproject.toml that fills it; an empty command fills nothing. Further scripts of package.json with short names are slots named other. Broken manifests count as empty ones."""
+    named = lambda n: files.filter(F.col("path") == n)
+    listed = named("package.json").select("project", F.from_json(F.get_json_object("content", "$.scripts"), "map<string,string>").alias("s")).filter("s IS NOT NULL")
+    filled = F.array(*[F.struct(F.lit(slot).alias("slot"), F.coalesce(*[F.nullif(F.get(F.array(F.col("s")[n]), F.lit(0)), F.lit("")) for n in names]).alias("command")) for slot, names in SCRIPT_SLOTS.items()])
+    package = listed.select("project", F.explode(filled).alias("x")).select("project", "x.slot", F.lit(0).alias("rank"), "x.command").filter("command IS NOT NULL")
+    targets = named("Makefile").select("project", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^(\w[\w-]*)\s*:"), F.lit(1)))).alias("slot"))
+    make = targets.filter(F.col("slot").isin(*MAKE_SLOTS)).select("project", "slot", F.lit(1).alias("rank"), F.concat(F.lit("make "), "slot").alias("command"))
+    given = F.array(*[F.struct(F.lit(m).alias("path"), F.lit(slot).alias("slot"), F.lit(2 + k).alias("rank"), F.lit(c).alias("command")) for k, (m, slot, c) in enumerate(MANIFEST_COMMANDS)])
+    there = files.filter(F.col("path").isin(*{m for m, _, _ in MANIFEST_COMMANDS})).select("project", F.explode(F.filter(given, lambda g: g["path"] == F.col("path"))).alias("x")).select("project", "x.slot", "x.rank", "x.command")
+    slots = package.unionByName(make).unionByName(there).groupBy("project", "slot").agg(F.min_by("command", "rank").alias("command"))
+    other = listed.select("project", F.explode("s").alias("name", "command")).filter(~F.col("name").isin(*KNOWN_SCRIPTS) & (F.length("name") < OTHER_NAME) & F.col("command").isNotNull())
+    return slots.select("project", "slot", F.col("slot").alias("name"), "command").unionByName(other.select("project", F.lit("other").alias("slot"), "name", "command"))
+
+
 def stack_of(files: DataFrame, versions: DataFrame) -> DataFrame:
     """(kind, value): languages by extension; frameworks, ORM and test framework by dependency, the first of each kind's list. Next.js is shown by its display name here; detect_stack gives the plain one."""
     languages = files.select(F.lit("language").alias("kind"), F.create_map(*[F.lit(x) for kv in rules.EXTENSION_LANGUAGE.items() for x in kv])[F.col("ext")].alias("value")).filter("value IS NOT NULL").distinct()
