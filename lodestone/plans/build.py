@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract as X
@@ -12,15 +12,21 @@ from lodestone.operators import models as D
 from lodestone.operators import retrieval as R
 from lodestone.operators import routes as RT
 from lodestone.plans.state import materialize
+from lodestone.sources import bundle
 from lodestone.sources.tree import without_sensitive
 
 
 def build_index(files: DataFrame, manifests: DataFrame | None = None, gate_by_stack: bool = False) -> dict[str, DataFrame]:
     """files (path, ext, content): symbols, imports, edges, ranks, complexity, tests, packages, routes, models, variables, keywords, modules, contracts. Symbols and imports are written to the shared folder, as most others read them.
 
+    files may be rows of read_tree, with an error where content couldn't be read: these are the table unreadable, and the index holds all others.
+
     gate_by_stack: routes only where a server framework or language is there, models only where an ORM is."""
-    from lodestone.sources.tree import manifest_versions, stack_of
+    from lodestone.sources.tree import manifest_versions, split_unreadable, stack_of
 
+    unreadable = files.select("path", F.lit("").alias("error")).limit(0)
+    if "error" in files.columns:
+        files, unreadable = split_unreadable(files)
     files = without_sensitive(files)
     symbols, used = materialize(X.symbols(files), "symbols"), materialize(X.imports(files), "imports")
     resolved = materialize(X.resolve_imports(files, used), "resolved")
@@ -42,10 +48,20 @@ def build_index(files: DataFrame, manifests: DataFrame | None = None, gate_by_st
         "files": files, "symbols": symbols, "imports": used, "edges": edges, "symbol_refs": X.symbol_refs(resolved), "ranks": ranks, "refs": refs, "complexity": complexity,
         "tests": M.test_mapping(files.select("path"), names), "assertions": X.test_assertions(files), "packages": X.packages(used, versions), "routes": routes, "models": models,
         "env_vars": X.env_vars(files), "keywords": keywords, "idf": R.idf(keywords), "modules": R.modules(files, keywords, complexity), "contracts": R.module_contracts(files, edges),
-        "conventions": M.conventions(files, symbols, used),
+        "conventions": M.conventions(files, symbols, used), "unreadable": unreadable,
     }
 
 
+def publish_index(index: dict[str, DataFrame], root: str, tables: list[str] | None = None) -> int:
+    """Publish the tables of an index, or some of them, as the next version below root: all at once, see bundle. The version's number is given back; read_index reads the newest."""
+    spark = index["files"].sparkSession
+    return bundle.publish(spark, {name: index[name] for name in tables or index}, root)
+
+
+def read_index(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    return bundle.open_bundle(spark, root, version)
+
+
 def register(index: dict[str, DataFrame], prefix: str = "") -> None:
     """The tables of an index as temporary views, for SQL."""
     for name, df in index.items():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.matching import merge_annotations
 from lodestone.plans.annotate import annotate_index
-from lodestone.plans.build import build_index
+from lodestone.plans.build import build_index, publish_index, read_index
 
 FILES = [
     ("src/db.ts", ".ts", "export function save(q: Req): string {\n  return q;\n}\n"),
@@ -15,7 +15,11 @@ FILES = [
 
 
 def test_annotations_are_cached_and_survive_a_restart(spark, tmp_path):
-    index = build_index(spark.createDataFrame(FILES, "path string, ext string, content string"))
+    rows = [(*f, None) for f in FILES] + [("src/lost.ts", ".ts", None, "OSError: gone")]
+    index = build_index(spark.createDataFrame(rows, "path string, ext string, content string, error string"))
+    assert [tuple(r) for r in index["unreadable"].collect()] == [("src/lost.ts", "OSError: gone")] and index["files"].count() == 3
+    assert publish_index(index, str(tmp_path / "index"), ["files", "symbols", "unreadable"]) == 1
+    assert {n: d.count() for n, d in read_index(spark, str(tmp_path / "index")).items()} == {"files": 3, "symbols": 3, "unreadable": 1}
     asked = []
 
     def ask(rows, broken=False):
