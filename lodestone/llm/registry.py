@@ -189,6 +189,51 @@ def crc_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT))"
 
 
+_NEXT_Q = "CASE q WHEN 2 THEN 3 ELSE 2 END"
+_SAID_Q = "CASE q WHEN 2 THEN 'assistant' ELSE 'user' END"
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS MATERIALIZED ({CRC_TABLE_SQL}),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS f FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM src, range(0, 2) AS c(c) WHERE f <> 0 AND (c = 0 OR f = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM damaged
+), k AS MATERIALIZED (
+  SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS kind,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed
+), back AS (
+  SELECT DISTINCT conv_id, n AS i, 0 AS c0, 6 AS c1, 3 AS c2, 0 AS c3 FROM k
+  UNION ALL
+  SELECT conv_id, i, least(b0, 3 + b2, 6 + b3), least(b1, 3 + b2, 6 + b3), least(b2, 3 + b3), least(b3, 3 + b2) FROM (
+    SELECT k.conv_id, k.i, least(4 + c0, e + CASE k.r WHEN 's' THEN c1 WHEN 'u' THEN c2 END, e + 3 + c2) AS b0, least(4 + c1, e + CASE k.r WHEN 'u' THEN c2 END, e + 3 + c2) AS b1,
+      least(4 + c2, e + CASE k.r WHEN 'a' THEN c3 END, e + 3 + c3) AS b2, least(4 + c3, e + CASE k.r WHEN 'u' THEN c2 END, e + 3 + c2) AS b3
+    FROM back JOIN (SELECT *, CASE WHEN kind IN ('blank', 'duplicate') THEN 1000000000 WHEN kind = 'truncated' THEN 3 ELSE 0 END AS e FROM k) k ON k.conv_id IS NOT DISTINCT FROM back.conv_id AND k.i = back.i - 1)
+), costs AS MATERIALIZED (SELECT conv_id, i, [c0, c1, c2, c3] AS c FROM back),
+walk AS (
+  SELECT DISTINCT conv_id, n, 0::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS said, NULL::VARCHAR AS edit FROM k
+  UNION ALL
+  SELECT conv_id, n, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN kept ELSE {_NEXT_Q} END, audit || e,
+    CASE e WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text) WHEN 'R' THEN list_append(said, {_SAID_Q} || ':' || text) ELSE list_append(said, {_SAID_Q} || ':') END, e
+  FROM (
+    SELECT *, CASE WHEN i = n THEN CASE WHEN here[q + 1] > 0 THEN 'I' END WHEN 4 + there[q + 1] = here[q + 1] THEN 'D' WHEN 3 + here[{_NEXT_Q} + 1] = here[q + 1] THEN 'I' WHEN sound AND kept > 0 AND extra + there[kept + 1] = here[q + 1] THEN 'K' ELSE 'R' END AS e FROM (
+      SELECT w.conv_id, w.n, w.i, w.q, w.audit, w.said, h.c AS here, t.c AS there, k.role, k.text, coalesce(k.kind NOT IN ('blank', 'duplicate'), false) AS sound, CASE WHEN k.kind = 'truncated' THEN 3 ELSE 0 END AS extra,
+        CASE WHEN w.q = 0 AND k.r = 's' THEN 1 WHEN w.q <> 2 AND k.r = 'u' THEN 2 WHEN w.q = 2 AND k.r = 'a' THEN 3 ELSE 0 END AS kept
+      FROM walk w JOIN costs h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i LEFT JOIN costs t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1 LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM w.conv_id AND k.i = w.i))
+  WHERE e IS NOT NULL
+), ends AS (SELECT conv_id, max_by(audit, length(audit)) AS audit, max_by(said, length(audit)) AS said FROM walk GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM k GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s.c[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN costs s ON s.conv_id IS NOT DISTINCT FROM o.conv_id AND s.i = 0
+"""
+
+
 OP13_SQL = rf"""
 WITH RECURSIVE crc AS MATERIALIZED ({CRC_TABLE_SQL}),
 d AS (
@@ -232,4 +277,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": OP7_SQL, "op9_minhash": OP9_SQL, "op13_manifest": OP13_SQL}
+    return {"op7_chat": OP7_SQL, "op9_minhash": OP9_SQL, "op12_repair": OP12_SQL, "op13_manifest": OP13_SQL}
