@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results: documents with null or empty texts fail the quality rules and go; very long texts are judged whole; repeated rows are near-duplicates, of which the one of least id stays; an empty table, or one of which nothing is kept,
+gives no pieces; further columns are kept by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
