@@ -8,18 +8,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars as S
 from lodestone.operators import evaluation as E
 from lodestone.operators import extract as X
+from lodestone.operators import graph as G
+from lodestone.operators import matching as M
 from lodestone.operators import models as D
+from lodestone.operators import retrieval as R
 from lodestone.operators import routes as RT
 from lodestone.operators.scripts import scan_scripts, scope_names
-from lodestone.plans.contracts import table
+from lodestone.plans.catalogue import oracle_sql as _catalogue_sql
+from lodestone.plans.contracts import sources, table
 from lodestone.plans.state import materialize, new_folder
 from lodestone.sources import tree
 from lodestone.sources.tree_source import read_tree
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
+_TEST_MAPPING = _catalogue_sql()["synth_test_mapping"]
 
 
 def query(sql: str):
@@ -296,6 +302,108 @@ def arms_compared(spark: SparkSession, sf: str) -> DataFrame:
     return E.comparison_summary(_cells(spark, sf), "task", "arm", "arm0", "arm1", ["cost", "input_tokens"]).select("metric", "tasks", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))
 
 
+# Predicates on paths and names
+
+_PATH = """concat(CASE p_partkey % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'node_modules/x/' WHEN 2 THEN 'a/__tests__/' WHEN 3 THEN 'a/test/' ELSE 'gen/out/' END,
+  CASE p_partkey % 7 WHEN 0 THEN concat('f', p_partkey, '.ts') WHEN 1 THEN concat('f', p_partkey, '.test.py') WHEN 2 THEN '.env.local' WHEN 3 THEN 'id_rsa' WHEN 4 THEN concat('f', p_partkey, '_test.go') WHEN 5 THEN concat('k', p_partkey, '.pem') ELSE concat('test_', p_partkey, '.rb') END)"""
+_IGNORE = ["gen/", "*.pem", "src/f1*0.ts", "a/test/f28.ts"]
+
+
+@query(rf"""WITH p AS (SELECT p_partkey, {_PATH} AS path FROM part), n AS (SELECT *, regexp_extract(path, '[^/]*$') AS name, regexp_extract(path, '[^/](\.[^./]+)$', 1) AS ext FROM p)
+SELECT p_partkey, path, ext, CASE ext WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.go' THEN 'go' WHEN '.rb' THEN 'ruby' END AS language, regexp_matches(name, '^\.env|^id_rsa$|\.(pem|key|p12)$') AS sensitive,
+  regexp_matches(path, '^node_modules/') AS skipped, regexp_matches(name, '\.test\.|_test\.|^test_') OR regexp_matches(path, '/(test|__tests__)/') AS test_file, regexp_matches(path, '^gen/|\.pem$|^src/f1.*0\.ts$|^a/test/f28\.ts$') AS ignored FROM n""")
+def path_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.col("path")
+    rows = table(spark, sf, "part").select("p_partkey", F.expr(_PATH).alias("path"))
+    return rows.select("p_partkey", "path", S.extension(path).alias("ext"), S.language_of(S.extension(path)).alias("language"), S.is_sensitive(path).alias("sensitive"), S.in_skipped_dir(path).alias("skipped"), S.is_test_file(path).alias("test_file"), tree.ignored(path, _IGNORE).alias("ignored"))
+
+
+_NAME = "CASE c_custkey % 6 WHEN 0 THEN concat('Card', c_custkey) WHEN 1 THEN 'PATCH' WHEN 2 THEN 'MAX_SIZE' WHEN 3 THEN concat('load', c_custkey) WHEN 4 THEN 'NODE_ENV' ELSE concat(c_mktsegment, '_API_', c_custkey) END"
+
+
+@query(f"""WITH n AS (SELECT c_custkey, {_NAME} AS name FROM customer)
+SELECT c_custkey, CASE WHEN name = 'PATCH' THEN 'route' WHEN regexp_matches(name, '^[A-Z]') AND NOT regexp_full_match(name, '[A-Z_]+') THEN 'component' ELSE 'function' END AS kind, regexp_matches(name, '^[A-Z]') AND NOT regexp_full_match(name, '[A-Z_]+') AS component, name <> 'NODE_ENV' AS accepted,
+  CASE WHEN contains(name, '_API_') THEN 'api' ELSE 'config' END AS category, concat('repo', c_custkey) AS repo, CASE c_custkey % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'str' ELSE 'own' END AS short FROM n""")
+def name_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows, key, name = table(spark, sf, "customer").withColumn("name", F.expr(_NAME)), F.col("c_custkey"), F.col("name")
+    url = F.concat(F.lit("https://host/team/repo"), key, F.when(key % 2 == 0, ".git").otherwise(F.when(key % 3 == 0, "/").otherwise("")))
+    kind = F.when(key % 3 == 0, "IntegerField").when(key % 3 == 1, "String").otherwise("Own")
+    return rows.select("c_custkey", S.symbol_kind(name).alias("kind"), S.is_component(name).alias("component"), S.is_accepted_var(name).alias("accepted"), S.env_category(name).alias("category"), S.repo_name(url).alias("repo"), S.short_type(kind).alias("short"))
+
+
+_OTHERS = (
+    (".go", "package a\nfunc Run{s_suppkey}(a int) error {\n}\nfunc (s *Store) get{s_suppkey}(k string) (int, error) {\ntype Shape{s_nationkey} interface {\ntype box{s_suppkey} struct {\n"),
+    (".rs", "pub fn run{s_suppkey}(x: u{s_nationkey}) -> u8 {\npub(crate) async fn go{s_suppkey}() {\npub struct A{s_suppkey} {\npub enum B{s_suppkey} {\npub trait C{s_suppkey} {\nfn hidden() {\n"),
+    (".java", "public class Main{s_suppkey} extends X{s_nationkey} {\n  public static int run{s_suppkey}(String[] a) {\n  private void no() {\n"),
+    (".rb", "def hello{s_suppkey}\nend\n"),
+)
+
+
+@query("""SELECT concat('other/', s_suppkey, v.ext) AS path, v.name, v.kind, v.signature, v.exported FROM supplier, LATERAL (VALUES
+  ('.go', concat('Run', s_suppkey), 'function', concat('Run', s_suppkey, '(a int) error'), true), ('.go', concat('Store.get', s_suppkey), 'method', concat('get', s_suppkey, '(k string) (int, error)'), true),
+  ('.go', concat('Shape', s_nationkey), 'interface', concat('Shape', s_nationkey, ' interface'), true), ('.go', concat('box', s_suppkey), 'class', concat('box', s_suppkey, ' struct'), false),
+  ('.rs', concat('run', s_suppkey), 'function', concat('run', s_suppkey, '(x: u', s_nationkey, ') -> u8'), true), ('.rs', concat('go', s_suppkey), 'function', concat('go', s_suppkey, '()'), true), ('.rs', concat('A', s_suppkey), 'class', concat('struct A', s_suppkey), true),
+  ('.rs', concat('B', s_suppkey), 'enum', concat('enum B', s_suppkey), true), ('.rs', concat('C', s_suppkey), 'interface', concat('trait C', s_suppkey), true),
+  ('.java', concat('Main', s_suppkey), 'class', concat('public class Main', s_suppkey, ' extends X', s_nationkey), true), ('.java', concat('run', s_suppkey), 'method', concat('public static int run', s_suppkey, '(String[] a)'), true),
+  ('.rb', concat('hello', s_suppkey), 'function', concat('hello', s_suppkey), true)) AS v(ext, name, kind, signature, exported)""")
+def other_language_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Go, Rust, Java and Ruby."""
+    files = None
+    for ext, template in _OTHERS:
+        more = made(spark, sf, "supplier", "s_suppkey", "other", ext, template)
+        files = more if files is None else files.unionByName(more)
+    return X.symbols(files).select("path", "name", "kind", F.trim(F.regexp_replace("signature", r"\s*\{$", "")).alias("signature"), "exported")
+
+
+# Lookups
+
+
+@query("""SELECT concat('User', s_suppkey) AS name, (SELECT array_to_string(list_sort(list(concat('Post', p.s_suppkey))), ',') FROM supplier p WHERE p.s_nationkey = 3) AS referrers FROM supplier WHERE s_suppkey = 3""")
+def model_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A model by its name in any case, with the models that refer to it."""
+    files = made(spark, sf, "supplier", "s_suppkey", "prisma", ".prisma", _PRISMA).unionByName(made(spark, sf, "supplier", "s_suppkey", "dj/models", ".py", _DJANGO))
+    return D.look_up(D.models(files), "uSER3").select("name", F.array_join("referrers", ",").alias("referrers"))
+
+
+@query("""WITH s AS (SELECT concat('src/nation/n', n_nationkey, '.ts') AS path, concat('n', n_nationkey) AS name, n_nationkey AS k FROM nation WHERE contains(concat('n', n_nationkey), 'n1') ORDER BY path LIMIT 5), u AS (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier)
+SELECT path, name, nullif((SELECT count(*) FROM u WHERE u.k = s.k), 0) AS importers, (SELECT count(*) FROM u WHERE u.k = s.k) AS rank FROM s""")
+def symbol_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five symbols that hold a name in any case, with their importers; the rank is their file's fan-in here."""
+    files = sources(spark, sf)
+    resolved = materialize(X.resolve_imports(files, X.imports(files)), "resolved")
+    fan_in = G.ref_counts(files.select(F.col("path").alias("id")), X.import_edges(resolved)).select("id", F.col("refs").alias("rank"))
+    return M.look_up_symbol(X.symbols(files), X.symbol_refs(resolved), fan_in, "N1").select("path", "name", "importers", "rank")
+
+
+@query(f"""SELECT source, test FROM ({_TEST_MAPPING}) WHERE source = 'src/customer/c10.ts'""")
+def test_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """A mapping found by its path without the extension, before any that only holds it."""
+    files = sources(spark, sf)
+    return M.look_up_tests(M.test_mapping(files.select("path"), X.test_names(files)), "src/customer/c10").select("source", "test")
+
+
+@query(f"""SELECT source, concat('# Tests for ', source, ': ', test, ' (1 tests)', chr(10), '  - ', names, chr(10), '    expect(f', replace(names, 'handles ', ''), '(1)).toBe("x");') AS text FROM ({_TEST_MAPPING})""")
+def tests_to_load(spark: SparkSession, sf: str) -> DataFrame:
+    """What is shown of the best test of each source: its names and their assertions."""
+    files = sources(spark, sf)
+    names = X.test_names(files)
+    return R.test_lines(M.test_mapping(files.select("path"), names), X.test_assertions(files))
+
+
+# Task files
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS instance_id, concat('org/', p_brand) AS repo, concat('say "', p_name, '",', chr(10), 'then ', p_type) AS problem_statement, language FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'Python' WHEN 1 THEN 'Go' ELSE 'go' END AS language FROM part) WHERE lower(language) = 'go' AND p_partkey % 10 <> 0""")
+def csv_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks of each part written as CSV, with quotes, commas and line breaks inside; rows without a commit are dropped, languages are chosen in any case."""
+    p, folder = table(spark, sf, "part"), new_folder(spark, "tasks")
+    text = F.concat(F.lit('say "'), "p_name", F.lit('",\nthen '), "p_type")
+    language = F.when(F.col("p_partkey") % 3 == 0, "Python").when(F.col("p_partkey") % 3 == 1, "Go").otherwise("go")
+    rows = p.select(F.col("p_partkey").cast("string").alias("instance_id"), F.concat(F.lit("org/"), "p_brand").alias("repo"), F.when(F.col("p_partkey") % 10 != 0, F.lit("abc")).alias("base_commit"), text.alias("problem_statement"), language.alias("language"))
+    rows.write.csv(folder, header=True, quote='"', escape='"')
+    return tree.read_tasks(spark, folder, ["GO"]).select("instance_id", "repo", "problem_statement", "language")
+
+
 # The tree
 
 _FOLDER = "CASE WHEN doc_id % 5 = 0 THEN 'node_modules/' WHEN doc_id % 7 = 0 THEN '.hidden/' ELSE 'src/' END"
