@@ -5,7 +5,7 @@ One SQL expression makes the sources for Spark and tells the oracle what must be
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars as S
@@ -14,6 +14,7 @@ from lodestone.operators import extract as X
 from lodestone.operators import graph as G
 from lodestone.operators import matching as M
 from lodestone.operators import models as D
+from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
 from lodestone.operators import routes as RT
 from lodestone.operators.scripts import scan_scripts, scope_names
@@ -37,14 +38,17 @@ def query(sql: str):
 
 
 def made(spark: SparkSession, sf: str, name: str, key: str, folder: str, ext: str, template: str, where: str = "true", path: str | None = None) -> DataFrame:
-    """A file for each row of a table: the template with {key} and any other {column} filled in. path overrides the place."""
+    """A file for each row of a table: the template with any {column} filled in, and so the path, which is the key in the folder if none is given; {key} there is the key."""
     rows, columns = table(spark, sf, name).filter(where), table(spark, sf, name).columns
-    text = F.lit(template)
-    for c in columns:
-        if "{" + c + "}" in template:
-            text = F.replace(text, F.lit("{" + c + "}"), F.col(c).cast("string"))
-    at = F.concat(F.lit(f"{folder}/"), F.col(key).cast("string"), F.lit(ext)) if path is None else F.replace(F.lit(path), F.lit("{key}"), F.col(key).cast("string"))
-    return rows.select(at.alias("path"), F.lit(ext).alias("ext"), text.alias("content"))
+
+    def filled(text: str) -> Column:
+        out = F.lit(text.replace("{key}", "{" + key + "}"))
+        for c in columns:
+            if "{" + c + "}" in text.replace("{key}", "{" + key + "}"):
+                out = F.replace(out, F.lit("{" + c + "}"), F.col(c).cast("string"))
+        return out
+
+    return rows.select(filled(path or f"{folder}/{{key}}{ext}").alias("path"), F.lit(ext).alias("ext"), filled(template).alias("content"))
 
 
 # Scripts
@@ -404,6 +408,45 @@ def csv_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return tree.read_tasks(spark, folder, ["GO"]).select("instance_id", "repo", "problem_statement", "language")
 
 
+# Further reports
+
+
+@query("""SELECT concat('src/size', p_size) AS dir, count(*) AS n, string_agg(concat('- make', p_partkey, ': ', p_name), chr(10) ORDER BY concat('- make', p_partkey, ': ', p_name)) AS text FROM part GROUP BY p_size ORDER BY n DESC, dir LIMIT 30""")
+def danger_by_directory(spark: SparkSession, sf: str) -> DataFrame:
+    notes = table(spark, sf, "part").select(F.concat(F.lit("src/size"), "p_size", F.lit("/part"), "p_partkey", F.lit(".ts")).alias("file"), F.concat(F.lit("make"), "p_partkey").alias("symbol"), F.col("p_name").alias("danger"))
+    return P.danger_rules(notes)
+
+
+@query("""WITH f AS (SELECT (SELECT sum(length(s_name)) FROM supplier) AS chars, (SELECT count(*) FROM nation) AS behind, (SELECT count(*) FROM region) AS modules), r AS (
+  SELECT unnest([CASE WHEN modules > 0 THEN 'pass' ELSE 'fail' END, CASE WHEN chars IS NULL THEN 'fail' WHEN chars > 40000 THEN 'warn' ELSE 'pass' END, CASE WHEN behind > 10 THEN 'warn' ELSE 'pass' END, CASE WHEN modules > 0 THEN 'pass' ELSE 'warn' END, 'warn']) AS status FROM f)
+SELECT status, count(*) AS n FROM r GROUP BY status""")
+def health_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts of an index as the tables give them: its size by the suppliers' names, its age by the nations, its modules by the regions."""
+    facts = table(spark, sf, "supplier").agg(F.sum(F.length("s_name")).alias("skeleton_chars")).crossJoin(table(spark, sf, "nation").agg(F.count("*").alias("commits_behind"))).crossJoin(table(spark, sf, "region").agg(F.count("*").alias("modules")))
+    return P.status_counts(P.check_report(facts.select("*", (F.col("modules") > 0).alias("has_index"), F.lit(False).alias("has_hooks"))))
+
+
+@query("""SELECT path, functions FROM (SELECT concat('src/auth', s_nationkey, '/s', s_suppkey, '.ts') AS path, concat('check', s_suppkey, ',login', s_suppkey, ',open,out,page') AS functions FROM supplier) ORDER BY path LIMIT 20""")
+def access_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The first twenty files whose paths tell of access, with their first five symbols; others stay out."""
+    text = "export function login{s_suppkey}() {}\nexport function check{s_suppkey}() {}\nexport function open() {}\nexport function out() {}\nexport function page() {}\nexport function rest() {}\n"
+    named = made(spark, sf, "supplier", "s_suppkey", "", ".ts", text, path="src/auth{s_nationkey}/s{key}.ts")
+    every = named.unionByName(made(spark, sf, "nation", "n_nationkey", "src/plain", ".ts", "export function other() {}\n"))
+    return P.auth_context(RT.routes(every), X.symbols(every), D.models(every))["files"].select("path", F.array_join("functions", ",").alias("functions"))
+
+
+@query("""SELECT p_partkey, CAST(floor(CASE WHEN p_size % 10 + 1 <= 3 THEN 1500 WHEN p_size % 10 + 1 <= 6 THEN 5000 ELSE 9000 END * CASE WHEN p_partkey % 40 >= 30 THEN 1.0 WHEN p_partkey % 40 >= 15 THEN 0.6 ELSE 0.3 END + 0.5) AS BIGINT) AS budget FROM part""")
+def injection_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", S.injection_budget(F.col("p_size") % 10 + 1, (F.col("p_partkey") % 40) / 10).alias("budget"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'error' WHEN o_orderkey % 5 = 0 THEN 'cached' WHEN o_orderkey % 3 = 0 THEN '—' ELSE concat(printf('$%.2f', o_custkey / 4.0::DOUBLE), ' / ', o_orderkey % 300, 's / ', coalesce(CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 50 AS VARCHAR) END, '?'), ' turns') END AS cell FROM orders""")
+def report_cells(spark: SparkSession, sf: str) -> DataFrame:
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    cost = F.when(k % 3 != 0, F.col("o_custkey") / 4)
+    return o.select("o_orderkey", S.cell_text(F.when(k % 7 == 0, "broken"), k % 5 == 0, cost, (k % 300).cast("double"), F.when(k % 2 == 0, F.col("o_custkey") % 50)).alias("cell"))
+
+
 # The tree
 
 _FOLDER = "CASE WHEN doc_id % 5 = 0 THEN 'node_modules/' WHEN doc_id % 7 = 0 THEN '.hidden/' ELSE 'src/' END"
