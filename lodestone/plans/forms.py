@@ -19,7 +19,7 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import routes as RT
 from lodestone.operators.scripts import scan_scripts, scope_names
 from lodestone.plans.catalogue import oracle_sql as _catalogue_sql
-from lodestone.plans.contracts import sources, table
+from lodestone.plans.contracts import file_tasks, sources, table
 from lodestone.plans.state import materialize, new_folder
 from lodestone.sources import tree
 from lodestone.sources.tree_source import read_tree
@@ -39,7 +39,7 @@ def query(sql: str):
 
 def made(spark: SparkSession, sf: str, name: str, key: str, folder: str, ext: str, template: str, where: str = "true", path: str | None = None) -> DataFrame:
     """A file for each row of a table: the template with any {column} filled in, and so the path, which is the key in the folder if none is given; {key} there is the key."""
-    rows, columns = table(spark, sf, name).filter(where), table(spark, sf, name).columns
+    rows, columns = table(spark, sf, name).filter(where).repartition(file_tasks(spark), key), table(spark, sf, name).columns
 
     def filled(text: str) -> Column:
         out = F.lit(text.replace("{key}", "{" + key + "}"))
