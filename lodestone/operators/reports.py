@@ -52,14 +52,14 @@ def danger_hits(notes: DataFrame, terms: DataFrame, least: float = 2.0, most: in
     """(file, symbol, danger, score): the notes that match a request's terms (term, times) best, above the confidence threshold."""
     k1, b = rules.BM25_K1, rules.BM25_B
     keys = danger_keywords(notes).withColumn("item", F.concat_ws("::", "file", "symbol"))
-    scored = keys.select("item", "keyword").join(idf(keys, "item"), "keyword")
+    # A request has a handful of terms: they choose among the distinct keywords before these meet any note. All else may be as long as the notes, so it is merged, never sent around whole.
+    match = idf(keys, "item").join(F.broadcast(terms), affix_match(F.col("keyword"), F.col("term"))).select("keyword", "idf", "term", "times")
     size = keys.groupBy("item").agg(F.count("*").alias("dl"))
     mean = size.agg(F.avg("dl").alias("avgdl"))
-    # A request has a handful of terms.
-    hit = scored.join(F.broadcast(terms), affix_match(F.col("keyword"), F.col("term"))).groupBy("item", "term", "times").agg(F.count("*").alias("tf"), F.max("idf").alias("best"))
+    hit = keys.select("item", "keyword").join(match.hint("merge"), "keyword").groupBy("item", "term", "times").agg(F.count("*").alias("tf"), F.max("idf").alias("best"))
     part = F.col("times") * F.col("best") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    total = hit.join(size, "item").crossJoin(F.broadcast(mean)).groupBy("item").agg(F.sum(part).alias("score")).filter(F.col("score") > least)
-    return notes.withColumn("item", F.concat_ws("::", "file", "symbol")).join(total, "item").orderBy(F.desc("score"), "item").limit(most).select("file", "symbol", "danger", "score")
+    total = hit.join(size.hint("merge"), "item").crossJoin(F.broadcast(mean)).groupBy("item").agg(F.sum(part).alias("score")).filter(F.col("score") > least)
+    return notes.withColumn("item", F.concat_ws("::", "file", "symbol")).join(total.hint("merge"), "item").orderBy(F.desc("score"), "item").limit(most).select("file", "symbol", "danger", "score")
 
 
 def danger_rules(notes: DataFrame, most_dirs: int = 30) -> DataFrame:

@@ -1,8 +1,12 @@
 """What must not grow with the input: joins of generated lines, tables sent to the driver, rows of a single task."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract as X
+from lodestone.operators import reports as P
+from lodestone.operators import retrieval as R
 
 
 def plan(df) -> str:
@@ -19,3 +23,17 @@ def test_script_descriptions_need_no_join(spark):
     got = {(r.path, r.name): (r.description, r.near) for r in declared.join(said, ["path", "line"]).collect()}
     assert got["a.ts", "a"] == ("Sums two numbers.",) * 2 and got["b.ts", "e"] == ("the only note",) * 2
     assert set(got) == {("a.ts", x) for x in ("a", "b", "c", "D", "D.run")} | {("b.ts", "e")} and all(a == b for a, b in got.values())
+
+
+def test_danger_notes_are_never_broadcast(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("src/pay/f"), "id", F.lit(".ts")).alias("file"), F.concat(F.lit("charge"), "id").alias("symbol"), F.when(F.col("id") < 3, "never retry without idempotency").otherwise("harmless words").alias("danger"))
+    rows.write.parquet(f"{tmp_path}/notes")
+    hits = P.danger_hits(spark.read.parquet(f"{tmp_path}/notes"), R.terms_of(spark, "payment retry idempotency retry", "bm25"))
+    assert "BroadcastHashJoin" not in plan(hits)  # only the terms and single rows go to all tasks
+    got = hits.collect()
+    assert [r.symbol for r in got] == ["charge0", "charge1", "charge2"]
+    # One keyword in three notes of 400 for each term; a note holds its symbol and its split word, stem, directory and words.
+    idf, dl = math.log((400 - 3 + 0.5) / 3.5 + 1), {r.symbol: r.n for r in P.danger_keywords(rows).groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    mean = sum(dl.values()) / len(dl)
+    one = idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl["charge0"] / mean))
+    assert abs(got[0].score - one * sum(r.times for r in R.terms_of(spark, "payment retry idempotency retry", "bm25").collect() if r.term != "payment")) < 1e-9
