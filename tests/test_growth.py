@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lodestone.operators import extract as X
 from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
+from lodestone.plans.catalogue import queries
+from lodestone.plans.contracts import file_tasks, sources
 
 
 def plan(df) -> str:
@@ -37,3 +39,13 @@ def test_danger_notes_are_never_broadcast(spark, tmp_path):
     mean = sum(dl.values()) / len(dl)
     one = idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl["charge0"] / mean))
     assert abs(got[0].score - one * sum(r.times for r in R.terms_of(spark, "payment retry idempotency retry", "bm25").collect() if r.term != "payment")) < 1e-9
+
+
+def test_symbols_used_twice_are_scanned_once(spark):
+    for name in ("synth_conventions", "synth_module_keywords", "synth_modules"):
+        assert "MapInArrow" not in plan(queries()[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_rows_are_dealt_before_they_become_files(spark):
+    # Of a table of one row group, one task would make all files.
+    assert plan(sources(spark, "/root/testdata/sf0.001")).count(f"{file_tasks(spark)}), REPARTITION_BY_NUM") >= 3
