@@ -49,3 +49,7 @@ def test_symbols_used_twice_are_scanned_once(spark):
 def test_rows_are_dealt_before_they_become_files(spark):
     # Of a table of one row group, one task would make all files.
     assert plan(sources(spark, "/root/testdata/sf0.001")).count(f"{file_tasks(spark)}), REPARTITION_BY_NUM") >= 3
+
+
+def test_bodies_and_symbols_share_one_scan(spark):
+    assert "MapInArrow" not in plan(queries()["synth_calls_and_throws"](spark, "/root/testdata/sf0.001"))
