@@ -74,7 +74,7 @@ def test_lines(mapping: DataFrame, assertions: DataFrame, names: int = 5, each:
     listed = mapping.select("source", "test", F.size("test_names").alias("n"), F.posexplode(F.slice("test_names", 1, names)).alias("i", "name"))
     few = assertions.withColumn("r", F.row_number().over(Window.partitionBy("path", "test").orderBy("k"))).filter(F.col("r") <= each)
     own = few.groupBy(F.col("path").alias("test"), F.col("test").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: F.concat(F.lit("\n    "), F.trim(x["text"]))), "").alias("a"))
-    wide = listed.join(own, ["test", "name"], "left").withColumn("line", F.concat(F.lit("\n  - "), "name", F.coalesce("a", F.lit(""))))
+    wide = listed.join(own.hint("merge"), ["test", "name"], "left").withColumn("line", F.concat(F.lit("\n  - "), "name", F.coalesce("a", F.lit(""))))
     return wide.groupBy("source", "test", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "").alias("lines")).select("source", F.concat(F.lit("# Tests for "), "source", F.lit(": "), "test", F.lit(" ("), F.col("n").cast("string"), F.lit(" tests)"), "lines").alias("text"))
 
 

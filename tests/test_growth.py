@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract as X
+from lodestone.operators import matching as M
 from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
 from lodestone.plans.catalogue import queries
@@ -53,3 +54,16 @@ def test_rows_are_dealt_before_they_become_files(spark):
 
 def test_bodies_and_symbols_share_one_scan(spark):
     assert "MapInArrow" not in plan(queries()["synth_calls_and_throws"](spark, "/root/testdata/sf0.001"))
+
+
+def test_numbered_names_meet_few_that_do_not_hold_them(spark):
+    names = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id") + 100_000).alias("name"))
+    assert M.contained_names(names, names).count() == 20_000
+    # Pieces of three characters alone made each name meet hundreds.
+    assert M._meeting_names(names, names).count() <= 2 * 20_000
+
+
+def test_matching_tests_sends_no_names_to_all_tasks(spark):
+    for name in ("synth_test_candidates", "synth_test_mapping"):
+        # Only the one empty name that all hold may be sent around (see _related_names).
+        assert "BroadcastHashJoin" not in plan(queries()[name](spark, "/root/testdata/sf0.001")), name
