@@ -14,27 +14,34 @@ def page_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None
     """(id, rank) after `rounds` synchronous rounds: shares by weight, dangling mass spread by teleport.
 
     seeds (id, weight): teleport goes to them in proportion, nowhere else; without any positive weight, to all alike. Each round is one
-    join and one aggregation on the edges; what the driver sees of a round is one number, the dangling mass.
+    join and one aggregation on the edges; what the driver sees of a round is one number, the dangling mass. What nothing links to has its teleport times
+    a rate, the same for all such nodes: they and their edges are summed up once, and the rounds move only the others.
     """
     total = F.sum("weight").over(Window.partitionBy("src"))
-    shares = materialize(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).withColumn("share", F.col("weight") / total).select("src", "dst", "share"), "shares")
+    shares = materialize(edges.repartition("src").groupBy("src", "dst").agg(F.sum("weight").alias("weight")).withColumn("share", F.col("weight") / total).select("src", "dst", "share"), "shares")
     n = nodes.count()
     teleport = nodes.select("id", F.lit(1.0 / max(1, n)).alias("tp"))
     if seeds is not None and (mass := seeds.agg(F.sum("weight")).first()[0]) and mass > 0:
         teleport = nodes.select("id").join(seeds.groupBy("id").agg(F.sum("weight").alias("weight")), "id", "left").select("id", F.coalesce(F.col("weight") / mass, F.lit(0.0)).alias("tp"))
-    out = shares.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    base = materialize(teleport.join(out, "id", "left").select("id", "tp", F.col("out").isNull().alias("dangling")), "teleport")
+    ends = shares.select(F.col("src").alias("id"), F.lit(True).alias("out"), F.lit(False).alias("in")).unionByName(shares.select(F.col("dst").alias("id"), F.lit(False).alias("out"), F.lit(True).alias("in"))).groupBy("id").agg(F.bool_or("out").alias("out"), F.bool_or("in").alias("in"))
+    base = materialize(teleport.join(ends.hint("merge"), "id", "left").select("id", "tp", (~F.coalesce("out", F.lit(False))).alias("dangling"), F.coalesce("in", F.lit(False)).alias("fed")), "teleport")
+    unfed, given = base.filter("NOT fed"), F.sum(F.col("tp") * F.col("share")).alias("given")
+    constant = shares.join(unfed.select(F.col("id").alias("src"), "tp").hint("merge"), "src").groupBy(F.col("dst").alias("id")).agg(given)
+    core = materialize(base.filter("fed").join(constant.hint("merge"), "id", "left").select("id", "tp", "dangling", F.coalesce("given", F.lit(0.0)).alias("given")), "core")
+    inner = materialize(shares.join(core.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi"), "inner")
+    lone = unfed.filter("dangling").agg(F.sum("tp")).first()[0] or 0.0
     mass_of = F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))
-    at = base.withColumn("rank", F.col("tp"))
-    dangling = at.agg(mass_of).first()[0] or 0.0
+    at, rate = core.withColumn("rank", F.col("tp")), 1.0
+    dangling = (at.agg(mass_of).first()[0] or 0.0) + lone
     for k in range(rounds):
-        sent = shares.join(at.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = (1 - damping) * F.col("tp") + damping * F.coalesce("got", F.lit(0.0)) + damping * dangling * F.col("tp")
+        sent = inner.join(at.select(F.col("id").alias("src"), "rank").hint("merge"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = (1 - damping) * F.col("tp") + damping * (F.coalesce("got", F.lit(0.0)) + rate * F.col("given")) + damping * dangling * F.col("tp")
         seen = Observation(f"round{k}")
-        new = base.join(sent, "id", "left").select("id", "tp", "dangling", rank.alias("rank"))
-        at = materialize(new.observe(seen, mass_of.alias("mass")), "rank")
-        dangling = seen.get["mass"] or 0.0
-    return at.select("id", "rank")
+        new = core.join(sent.hint("merge"), "id", "left").select("id", "dangling", rank.alias("rank"))
+        at = materialize(new.observe(seen, mass_of.alias("mass")).select("id", "rank"), "rank")
+        rate = 1 - damping + damping * dangling
+        dangling = (seen.get["mass"] or 0.0) + rate * lone
+    return at.select("id", "rank").unionByName(unfed.select("id", (rate * F.col("tp")).alias("rank")))
 
 
 def ref_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

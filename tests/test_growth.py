@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract as X
+from lodestone.operators import graph as G
 from lodestone.operators import matching as M
 from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
@@ -67,3 +68,18 @@ def test_matching_tests_sends_no_names_to_all_tasks(spark):
     for name in ("synth_test_candidates", "synth_test_mapping"):
         # Only the one empty name that all hold may be sent around (see _related_names).
         assert "BroadcastHashJoin" not in plan(queries()[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_rounds_of_page_rank_move_only_what_is_linked_to(spark, tmp_path, monkeypatch):
+    sizes = []
+    write = G.materialize
+    monkeypatch.setattr(G, "materialize", lambda df, label: (lambda out: sizes.append((label, out.count())) or out)(write(df, label)))
+    edges = spark.range(500).select(F.concat(F.lit("o"), "id").alias("src"), F.concat(F.lit("c"), F.col("id") % 5).alias("dst"), F.lit(1).alias("weight"))
+    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")).distinct()).unionByName(spark.createDataFrame([("lone",)], "id string"))
+    got = {r.id: r["rank"] for r in G.page_rank(nodes, edges, rounds=3).collect()}
+    assert {n for label, n in sizes if label in ("rank", "core")} == {5} and {n for label, n in sizes if label == "inner"} == {0}
+    rank = {n: 1 / 506 for n in got}
+    for _ in range(3):
+        spread = sum(r for x, r in rank.items() if not x.startswith("o"))
+        rank = {x: 0.15 / 506 + 0.85 * spread / 506 + (0.85 * sum(rank[f"o{k}"] for k in range(int(x[1:]), 500, 5)) if x.startswith("c") else 0) for x in rank}
+    assert len(got) == 506 and all(abs(got[x] - rank[x]) < 1e-12 for x in rank)
