@@ -9,6 +9,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import matching as M
 from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
+from lodestone.operators.scripts import _TOKEN, Tokens
 from lodestone.plans.catalogue import queries
 from lodestone.plans.contracts import file_tasks, sources
 
@@ -83,3 +84,10 @@ def test_rounds_of_page_rank_move_only_what_is_linked_to(spark, tmp_path, monkey
         spread = sum(r for x, r in rank.items() if not x.startswith("o"))
         rank = {x: 0.15 / 506 + 0.85 * spread / 506 + (0.85 * sum(rank[f"o{k}"] for k in range(int(x[1:]), 500, 5)) if x.startswith("c") else 0) for x in rank}
     assert len(got) == 506 and all(abs(got[x] - rank[x]) < 1e-12 for x in rank)
+
+
+def test_blanks_are_no_tokens():
+    tokens = Tokens("a \t b\n\n  `x${ c }y`\t;\r\n")
+    assert tokens.text == ["a", "b", "`x$", "{", "c", "}", "}y`", ";"] and tokens.line == [1, 1, 3, 3, 3, 3, 3, 3] and tokens.mate[3] == 5
+    # A search passes over blanks, so a run of them costs no step of the loop.
+    assert len(list(_TOKEN.finditer("a" + " " * 50 + "b"))) == 2 and [m[0] for m in _TOKEN.finditer("a  \n  b")] == ["a", "\n  ", "b"]
