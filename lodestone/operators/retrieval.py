@@ -156,9 +156,9 @@ def skeleton(files: DataFrame, symbols: DataFrame, n_files: int) -> DataFrame:
 
 
 def modules(files: DataFrame, keywords: DataFrame, complexity: DataFrame) -> DataFrame:
-    """(dir, name, files, keywords, complexity) of each directory."""
+    """(dir, name, files, n_files, keywords, complexity) of each directory. n_files needs no list of the files: where files is not asked for, none is made."""
     scored = files.select("path", dir_name(F.col("path")).alias("dir")).join(complexity.select("path", "score"), "path", "left")
-    grouped = scored.groupBy("dir").agg(F.array_sort(F.collect_list("path")).alias("files"), round_half_up(F.avg(F.coalesce("score", F.lit(0.0))), 1).alias("complexity"))
+    grouped = scored.groupBy("dir").agg(F.array_sort(F.collect_list("path")).alias("files"), F.count("*").alias("n_files"), round_half_up(F.avg(F.coalesce("score", F.lit(0.0))), 1).alias("complexity"))
     words = keywords.groupBy("dir").agg(F.array_sort(F.collect_set("keyword")).alias("keywords"))
     return grouped.join(words, "dir", "left").withColumn("name", F.coalesce(F.nullif(F.regexp_replace(F.translate("dir", "/\\", "--"), "^-", ""), F.lit("")), F.lit("root")))
 

@@ -105,3 +105,22 @@ def test_usages_scan_once(spark):
     used = M.usages(files, X.symbols(files), spark.createDataFrame([("a.ts", "n3", "b.ts")], "def_path string, name string, importer string"), "n3")
     assert plan(used).count("MapInArrow") == 1
     assert sorted(tuple(r) for r in used.collect()) == [("b.ts", k, "n3();") for k in range(2, 7)]
+
+
+def test_blanks_are_no_tokens():
+    tokens = Tokens("a \t b\n\n  `x${ c }y`\t;\r\n")
+    assert tokens.text == ["a", "b", "`x$", "{", "c", "}", "}y`", ";"] and tokens.line == [1, 1, 3, 3, 3, 3, 3, 3] and tokens.mate[3] == 5
+    # A search passes over blanks, so a run of them costs no step of the loop.
+    assert len(list(_TOKEN.finditer("a" + " " * 50 + "b"))) == 2 and [m[0] for m in _TOKEN.finditer("a  \n  b")] == ["a", "\n  ", "b"]
+
+
+def test_usages_scan_once(spark):
+    files = spark.createDataFrame([("a.ts", ".ts", "export function n3() {}"), ("b.ts", ".ts", "import { n3 } from './a';\n" + "  n3();\n" * 7)], "path string, ext string, content string")
+    used = M.usages(files, X.symbols(files), spark.createDataFrame([("a.ts", "n3", "b.ts")], "def_path string, name string, importer string"), "n3")
+    assert plan(used).count("MapInArrow") == 1
+    assert sorted(tuple(r) for r in used.collect()) == [("b.ts", k, "n3();") for k in range(2, 7)]
+
+
+def test_counted_files_are_not_listed(spark):
+    text = plan(queries()["synth_modules"](spark, "/root/testdata/sf0.001"))
+    assert "collect_list" not in text and "collect_set" not in text
