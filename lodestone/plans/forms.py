@@ -374,7 +374,7 @@ SELECT path, name, nullif((SELECT count(*) FROM u WHERE u.k = s.k), 0) AS import
 def symbol_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The first five symbols that hold a name in any case, with their importers; the rank is their file's fan-in here."""
     files = sources(spark, sf)
-    resolved = materialize(X.resolve_imports(files, X.imports(files)), "resolved")
+    resolved = materialize(X.resolve_imports(files, materialize(X.imports(files), "imports")), "resolved")
     fan_in = G.ref_counts(files.select(F.col("path").alias("id")), X.import_edges(resolved)).select("id", F.col("refs").alias("rank"))
     return M.look_up_symbol(X.symbols(files), X.symbol_refs(resolved), fan_in, "N1").select("path", "name", "importers", "rank")
 

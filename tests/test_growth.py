@@ -86,18 +86,18 @@ def test_rounds_of_page_rank_move_only_what_is_linked_to(spark, tmp_path, monkey
     assert len(got) == 506 and all(abs(got[x] - rank[x]) < 1e-12 for x in rank)
 
 
-def test_blanks_are_no_tokens():
-    tokens = Tokens("a \t b\n\n  `x${ c }y`\t;\r\n")
-    assert tokens.text == ["a", "b", "`x$", "{", "c", "}", "}y`", ";"] and tokens.line == [1, 1, 3, 3, 3, 3, 3, 3] and tokens.mate[3] == 5
-    # A search passes over blanks, so a run of them costs no step of the loop.
-    assert len(list(_TOKEN.finditer("a" + " " * 50 + "b"))) == 2 and [m[0] for m in _TOKEN.finditer("a  \n  b")] == ["a", "\n  ", "b"]
+def test_imports_that_share_a_base_are_tried_once(spark):
+    based = spark.range(1000).select(F.concat(F.lit("src/a/f"), "id", F.lit(".ts")).alias("path"), F.lit("src/n/n1").alias("base"))
+    assert X._candidates(based).count() == X._candidates(based.limit(1)).count() <= 17
+    files = based.select("path").unionByName(spark.createDataFrame([("src/n/n1.ts",), ("src/n/n1.js",)], "path string"))
+    used = based.select("path", F.lit("../n/n1").alias("source"), F.array(F.lit("n1")).alias("names"), F.lit(True).alias("is_relative"), F.lit(False).alias("is_type_only"))
+    assert [tuple(r) for r in X.resolve_imports(files, used).groupBy("dst").agg(F.count_distinct("src")).collect()] == [("src/n/n1.ts", 1000)]
 
 
-def test_blanks_are_no_tokens():
-    tokens = Tokens("a \t b\n\n  `x${ c }y`\t;\r\n")
-    assert tokens.text == ["a", "b", "`x$", "{", "c", "}", "}y`", ";"] and tokens.line == [1, 1, 3, 3, 3, 3, 3, 3] and tokens.mate[3] == 5
-    # A search passes over blanks, so a run of them costs no step of the loop.
-    assert len(list(_TOKEN.finditer("a" + " " * 50 + "b"))) == 2 and [m[0] for m in _TOKEN.finditer("a  \n  b")] == ["a", "\n  ", "b"]
+def test_imports_are_searched_for_once_after_rows_are_dealt(spark):
+    for name in ("synth_import_edges", "synth_routes"):
+        text = plan(queries()[name](spark, "/root/testdata/sf0.001"))
+        assert not [x for x in text.split("\n") if "Filter" in x and "regexp_extract_all" in x], name
 
 
 def test_usages_scan_once(spark):
@@ -107,20 +107,20 @@ def test_usages_scan_once(spark):
     assert sorted(tuple(r) for r in used.collect()) == [("b.ts", k, "n3();") for k in range(2, 7)]
 
 
+def test_counted_files_are_not_listed(spark):
+    text = plan(queries()["synth_modules"](spark, "/root/testdata/sf0.001"))
+    assert "collect_list" not in text and "collect_set" not in text
+
+
+def test_imports_used_twice_are_searched_for_once(spark):
+    from lodestone.plans.forms import queries as forms
+
+    for name, f in [(x, queries()[x]) for x in ("synth_complexity", "synth_modules", "synth_usages", "synth_entry_seeds", "synth_skeleton")] + [("symbol_lookup", forms()["symbol_lookup"])]:
+        assert "regexp_extract_all" not in plan(f(spark, "/root/testdata/sf0.001")), name
+
+
 def test_blanks_are_no_tokens():
     tokens = Tokens("a \t b\n\n  `x${ c }y`\t;\r\n")
     assert tokens.text == ["a", "b", "`x$", "{", "c", "}", "}y`", ";"] and tokens.line == [1, 1, 3, 3, 3, 3, 3, 3] and tokens.mate[3] == 5
     # A search passes over blanks, so a run of them costs no step of the loop.
     assert len(list(_TOKEN.finditer("a" + " " * 50 + "b"))) == 2 and [m[0] for m in _TOKEN.finditer("a  \n  b")] == ["a", "\n  ", "b"]
-
-
-def test_usages_scan_once(spark):
-    files = spark.createDataFrame([("a.ts", ".ts", "export function n3() {}"), ("b.ts", ".ts", "import { n3 } from './a';\n" + "  n3();\n" * 7)], "path string, ext string, content string")
-    used = M.usages(files, X.symbols(files), spark.createDataFrame([("a.ts", "n3", "b.ts")], "def_path string, name string, importer string"), "n3")
-    assert plan(used).count("MapInArrow") == 1
-    assert sorted(tuple(r) for r in used.collect()) == [("b.ts", k, "n3();") for k in range(2, 7)]
-
-
-def test_counted_files_are_not_listed(spark):
-    text = plan(queries()["synth_modules"](spark, "/root/testdata/sf0.001"))
-    assert "collect_list" not in text and "collect_set" not in text
