@@ -105,7 +105,7 @@ def script_scope_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Calls by the innermost function around them: the nested function has its own."""
     files = scripts(spark, sf)
     local = X.imports(files).filter("is_relative").select("path", F.explode("names").alias("word")).distinct()
-    found = scope_names(materialize(scan_scripts(files), "scanned"), local)
+    found = scope_names(scan_scripts(files), local)
     return found.select("path", "name", F.array_join("calls", ",").alias("calls"), F.array_join("throws", ",").alias("throws"))
 
 

@@ -9,7 +9,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import matching as M
 from lodestone.operators import reports as P
 from lodestone.operators import retrieval as R
-from lodestone.operators.scripts import _TOKEN, Tokens
+from lodestone.operators.scripts import _TOKEN, Tokens, scan_scripts, scope_names
 from lodestone.plans.catalogue import queries
 from lodestone.plans.contracts import file_tasks, sources
 
@@ -124,3 +124,13 @@ def test_blanks_are_no_tokens():
     assert tokens.text == ["a", "b", "`x$", "{", "c", "}", "}y`", ";"] and tokens.line == [1, 1, 3, 3, 3, 3, 3, 3] and tokens.mate[3] == 5
     # A search passes over blanks, so a run of them costs no step of the loop.
     assert len(list(_TOKEN.finditer("a" + " " * 50 + "b"))) == 2 and [m[0] for m in _TOKEN.finditer("a  \n  b")] == ["a", "\n  ", "b"]
+
+
+def test_scopes_read_the_scan_once_and_imports_the_text_once(spark):
+    files = spark.range(3).select(F.concat(F.lit("f"), "id", F.lit(".ts")).alias("path"), F.lit(".ts").alias("ext"), F.lit("import { a } from './l';\nimport type T, { type U as v } from \"./m\";\nconst { q, r: s } = require('./n'), x = 1;\nfunction f() { a(); if (q) throw new E(); }").alias("content"))
+    used = X.imports(files)
+    assert plan(used).count("Range (") == 1  # one pass over the rows searches for both forms
+    assert {(r.source, tuple(r.names), r.is_type_only) for r in used.collect()} == {("./l", ("a",), False), ("./m", ("T", "v"), True), ("./n", ("q", "r: s"), False)}
+    named = scope_names(scan_scripts(files), used.select("path", F.explode("names").alias("word")).distinct())
+    assert plan(named).count("MapInArrow") == 1
+    assert {tuple(map(str, (r.path, r.symbol, r.name, r.calls, r.throws))) for r in named.collect()} == {(f"f{k}.ts", "0", "f", "['a', 'q']", "['E']") for k in range(3)}
